@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from gatewatch.llm.graph import components
 from gatewatch.llm.tables import stash
-from gatewatch.llm.text import batches, grams, lists, mixed, raw, word_hashes
+from gatewatch.llm.text import batches, grams, lists, word_hashes
 
 #: Tokens that are counted together inside a task.
 BLOCK = 2_000_000
@@ -35,7 +35,8 @@ BLOCK = 2_000_000
 FREQUENT = 32
 LARGEST = 400_000
 
-ORDINARY, COMMON = 0, 1
+#: Rows of two numbers that are sent to every executor at most; beyond, joins shuffle.
+SENT = 1_000_000
 
 
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -46,10 +47,11 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 def _sets(it: Iterator[pa.RecordBatch], k: int):
-    hashed = word_hashes()
     for b in batches(it):
-        for doc_id, text in zip(b.column("doc_id").to_pylist(), raw(b, "text"), strict=True):
-            yield doc_id, shingles(hashed((text or b"").lower().split()), k)
+        hashes, ends = word_hashes(b, "text", lower=True)
+        every = grams(hashes, k)
+        for doc_id, x, y in zip(b.column("doc_id").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            yield doc_id, np.unique(every[x : y - k + 1]) if y - x >= k else shingles(hashes[x:y], k)
 
 
 def _repeated(block: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -115,34 +117,52 @@ def _signed(k: int, percent: int, common) -> Callable:
     return run
 
 
-def _tokens(k: int) -> Callable:
+#: Tokens below this are a set's sample, a quarter of it.
+QUARTER = np.uint64(1 << 62)
+
+
+def _tokens(k: int, part: bool) -> Callable:
     def run(it):
         for doc_id, own in _sets(it, k):
-            yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([own.tobytes()], pa.binary())], ["doc_id", "tokens"])
+            sent = own[: np.searchsorted(own, QUARTER)] if part else own
+            yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([len(own)], pa.int64()), pa.array([sent.tobytes()], pa.binary())], ["doc_id", "n", "tokens"])
 
     return run
 
 
-def _linked(percent: int) -> Callable:
+def _compared(percent: int, part: bool) -> Callable:
+    """Whether two sets can be near enough (from parts of them) or are (from all)."""
+
     def run(it):
         for b in it:
             keep = []
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
+            for x, y, n_x, n_y in zip(*(b.column(c).to_pylist() for c in ("x", "y", "n_x", "n_y")), strict=True):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
+                if part:  # what the parts do not share is missing from the whole
+                    both += min(n_x - len(p), n_y - len(q))
+                keep.append(100 * both >= percent * (n_x + n_y - both))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(keep, pa.bool_())], ["a", "b", "linked"])
 
     return run
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """pairs: a, b.  The same pairs with whether their whole sets are near enough."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_tokens(k), "doc_id long, tokens binary")
-    sets = stash(sets, "sets")
-    a, b = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
-    return stash(pairs.join(b, "b").join(a, "a").mapInArrow(_linked(percent), "a long, b long, linked boolean"), "verified")
+    """pairs: a, b.  Those whose sets are near enough; their low quarters rule most others out before whole sets move."""
+    for part in (True, False):
+        ids = stash(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+        sets = docs.join(sized(ids), "doc_id", "left_semi").mapInArrow(_tokens(k, part), "doc_id long, n long, tokens binary")
+        sets = stash(sets, "sets")
+        x = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n_x"), F.col("tokens").alias("x"))
+        y = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n_y"), F.col("tokens").alias("y"))
+        tested = pairs.join(y, "b").join(x, "a").mapInArrow(_compared(percent, part), "a long, b long, linked boolean")
+        pairs = stash(tested.where("linked").select("a", "b").distinct(), "near")
+    return pairs
+
+
+def sized(df: DataFrame, most: int = SENT) -> DataFrame:
+    """df, marked to be broadcast if it has few enough rows; df is a written table of narrow rows."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -160,36 +180,33 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     # pre-aggregated: a large group of copies is one row for each task
     firsts = sets.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("copy_of"))
     member = stash(sets.join(firsts, "key", "left").select("doc_id", "n", F.coalesce("copy_of", "doc_id").alias("copy_of")), "members")
-    reps = member.where("n > 0 and doc_id = copy_of").select("doc_id", "n").distinct()
+    reps = stash(member.where("n > 0 and doc_id = copy_of").select("doc_id", "n").distinct(), "reps")
 
     often = found.where("token is not null").groupBy("token").agg(F.sum("count").alias("count")).where(F.col("count") >= FREQUENT)
     common = np.sort(np.array([r.token for r in often.orderBy(F.desc("count"), "token").limit(LARGEST).select("token").collect()], np.int64).view(np.uint64))
     sent = spark.sparkContext.broadcast(common)  # 8 bytes * LARGEST at most
     signed = stash(docs.mapInArrow(_signed(k, percent, sent), "doc_id long, sigs array<long>"), "signed")
     sigs = signed.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.explode("sigs").alias("sig"))
-    shared = sigs.groupBy("sig").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("sig", "a")
-    buckets = stash(sigs.join(shared, "sig"), "buckets")
-
-    size = lambda name: reps.select(F.col("doc_id").alias(name), F.col("n").alias(f"n_{name}"))
+    shared = stash(sigs.groupBy("sig").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("sig", "a"), "shared")
+    buckets = stash(sigs.join(sized(shared), "sig"), "buckets")
+    size = lambda name, n: sized(reps.select(F.col("doc_id").alias(name), F.col("n").alias(n)))
     near = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        fitting = pairs.join(size("b"), "b").join(size("a"), "a").where(near).select("a", "b")
-        return verify(stash(fitting, "pairs"), docs, k, percent)
-
-    first = checked(buckets.where("rep > a").select("a", F.col("rep").alias("b")).distinct())
-    links = first.where("linked").select("a", "b")
+    tried = buckets.where("rep > a").select("a", F.col("rep").alias("b")).distinct()
+    tried = stash(tried.join(size("a", "n_a"), "a").join(size("b", "n_b"), "b").where(near).select("a", "b"), "pairs")
+    links = verify(tried, docs, k, percent)
     label = stash(components(links), "labels")
 
     # members of different components in one bucket
     placed = buckets.join(label, F.col("rep") == F.col("node"), "left").select("sig", "rep", F.coalesce("component_id", "rep").alias("part"))
     split = placed.groupBy("sig").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("sig")
-    left = stash(placed.join(split, "sig", "left_semi"), "split")
+    left = placed.join(split, "sig", "left_semi").join(size("rep", "n"), "rep")
+    left = stash(left.select("sig", "rep", "part", "n"), "split")
     if not left.isEmpty():
         x, y = left.alias("x"), left.alias("y")
-        rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.part") != F.col("y.part"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-        second = checked(rest.join(first, ["a", "b"], "left_anti"))
-        links = links.unionByName(second.where("linked").select("a", "b"))
-        label = stash(components(links), "labels")
+        rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.part") != F.col("y.part")))
+        rest = rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")).where(near).select("a", "b").distinct()
+        more = verify(stash(rest.join(tried, ["a", "b"], "left_anti"), "pairs"), docs, k, percent)
+        if not more.isEmpty():
+            label = stash(components(links.unionByName(more)), "labels")
     out = member.join(label, F.col("copy_of") == F.col("node"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "copy_of", F.coalesce("component_id", "copy_of").alias("component_id"))

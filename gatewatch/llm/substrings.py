@@ -117,12 +117,12 @@ def _summary(window: int, anchor: int) -> Callable:
     names = ["doc_id", "key", "n_words", "sha256", "grams"]
 
     def run(it):
-        hashed = word_hashes()
         for b in batches(it):
             rows, found = [], []
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), raw(b, "text"), strict=True):
+            hashes, ends = word_hashes(b, "text")
+            for i, (doc_id, text) in enumerate(zip(b.column("doc_id").to_pylist(), raw(b, "text"), strict=True)):
                 words = (text or b"").split()
-                g, at = anchors(hashed(words), window, anchor)
+                g, at = anchors(hashes[ends[i] : ends[i + 1]], window, anchor)
                 found.append(np.unique(g[np.unique(at)]).view(np.int64))
                 rows.append((doc_id, _key(words), len(words), hashlib.sha256(b" ".join(words)).hexdigest()))
             ids, keys, n, sha = zip(*rows, strict=True)
@@ -136,17 +136,17 @@ def _segments(window: int, anchor: int) -> Callable:
     names = ["ref", "role", "doc_id", "start", "words"]
 
     def run(it):
-        hashed = word_hashes()
         for b in batches(it, 64):
             rows = []
             shared = b.column("shared")
-            for i, (doc_id, text) in enumerate(zip(b.column("doc_id").to_pylist(), raw(b, "text"), strict=True)):
+            every, ends = word_hashes(b, "text")
+            for i, doc_id in enumerate(b.column("doc_id").to_pylist()):
                 pairs = shared[i].values
                 gram = pairs.field("gram").to_numpy(zero_copy_only=False).view(np.uint64)
                 ref = pairs.field("ref").to_numpy(zero_copy_only=False)
                 order = np.argsort(gram)
                 gram, ref = gram[order], ref[order]
-                hashes = hashed((text or b"").split())
+                hashes = every[ends[i] : ends[i + 1]]
                 g, at = anchors(hashes, window, anchor)
                 if not len(at):
                     continue

@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,10 +55,42 @@ def raw(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return pc.cast(batch.column(name), pa.large_binary()).to_pylist()
 
 
-def word_hashes() -> Callable[[list[bytes]], np.ndarray]:
-    cache = Cached(xxhash.xxh3_64_intdigest)
-    get = cache.__getitem__
-    return lambda found: np.fromiter(map(get, found), np.uint64, len(found))
+_TABLE = np.random.default_rng(1).integers(0, 1 << 64, (64, 256), np.uint64, endpoint=False)
+_IS_GAP = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def word_hashes(batch: pa.RecordBatch, name: str, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in a row, and where each text's words begin (one more than rows).
+
+    Tabulation hashing over bytes and their places in the word, for a whole
+    batch at once; lower: A-Z as a-z.  A null text has no words.
+    """
+    texts = pc.cast(pc.fill_null(batch.column(name), ""), pa.large_binary())
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if ends[0] == ends[-1]:
+        return np.empty(0, np.uint64), np.zeros(len(ends), np.int64)
+    b = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    gap = _IS_GAP[b]
+    first = ~gap
+    first[1:] &= gap[:-1]
+    begins = ends[:-1][ends[:-1] < ends[1:]]
+    first[begins] = ~gap[begins]
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return np.empty(0, np.uint64), np.zeros(len(ends), np.int64)
+    inside = np.flatnonzero(~gap)
+    at = np.flatnonzero(first[inside])
+    place = inside - np.repeat(starts, np.diff(at, append=len(inside)))
+    own = b[inside]
+    value = _TABLE[place & 63, _LOWER[own] if lower else own]
+    far = place >= 64
+    if far.any():
+        value[far] *= (2 * (place[far] >> 6) + 1).astype(np.uint64)
+    return mixed(np.add.reduceat(value, at)), np.searchsorted(starts, ends)
 
 
 _M = np.uint64(0x9E3779B97F4A7C15)
