@@ -11,9 +11,9 @@ other such bin can join) are closed where they are.
 from __future__ import annotations
 
 import re
-import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -30,17 +30,21 @@ FULL = 64
 #: Underfull bins that a node hands to the next level at most.
 CARRY = 512
 FAN = 8
+#: Entries of a task's two word caches.
+WORDS = 900_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, at long, load long, open boolean"
 _NODE = 1 << 32  # a bin's number is its node times this, plus its place there
 
 
+@lru_cache(maxsize=2)
 def encoder(vocabulary: str) -> Callable[[bytes], bytes]:
     """Text -> little-endian ids of ``word_bpe``-style tokenizers, kept per word.
 
     White space never reaches such a tokenizer's model, so the ids of a text
-    are those of its words in a row.  Words of plain Latin letters are split
-    into model words here; all others go through the whole tokenizer.
+    are those of its words in a row.  Words of plain Latin letters (composed
+    ones, as normal form C leaves them) are split into model words here; all others go through the whole tokenizer.
+    A Python worker keeps its encoder from task to task.
     """
     import regex
     from tokenizers import Tokenizer
@@ -58,17 +62,18 @@ def encoder(vocabulary: str) -> Callable[[bytes], bytes]:
         spelled = word.encode().decode("latin-1").translate(alphabet)
         return b"".join(t.id.to_bytes(4, "little") for t in model.tokenize(spelled))
 
-    known = Cached(model_word)
+    known = Cached(model_word, WORDS)
 
     def chunk(word: bytes) -> bytes:
         text = word.decode(errors="replace")
-        if plain(text) and "<|" not in text and unicodedata.is_normalized("NFC", text):
+        if plain(text) and "<|" not in text:
             return b"".join(map(known.__getitem__, cut(text.lower())))
         ids = tokenizer.encode(text, add_special_tokens=False).ids
         return b"".join(i.to_bytes(4, "little") for i in ids)
 
-    get = Cached(chunk).__getitem__
-    return lambda text: b"".join(map(get, text.split()))
+    get = Cached(chunk, WORDS).__getitem__
+    # case is lost anyway, but for special tokens, which are looked for first
+    return lambda text: b"".join(map(get, (text if b"<|" in text else text.lower()).split()))
 
 
 def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int], list[int]]:

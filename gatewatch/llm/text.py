@@ -39,12 +39,12 @@ CACHE = 400_000
 class Cached(dict):
     """word -> value, filled on demand and bounded."""
 
-    def __init__(self, make: Callable):
+    def __init__(self, make: Callable, most: int = CACHE):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, word):
-        if len(self) >= CACHE:
+        if len(self) >= self.most:
             self.clear()
         self[word] = value = self.make(word)
         return value
