@@ -1,6 +1,6 @@
 """Point-in-time window features, exact at any rate: groups are (key, chunk of time) with a halo.
 
-A hot key is cut into chunks of CHUNK seconds; each chunk also gets the last
+A hot key is cut into chunks of CHUNK_S seconds; each chunk also gets the last
 minute before it, so no window looks outside its group and no key is one task.
 """
 
@@ -16,6 +16,7 @@ from gatewatch.functions.columns import BUCKET_US, bucket_of, header_flags, rout
 SECOND = 1_000_000
 SPAN = 60 * SECOND
 CHUNK_S = 300
+CALLS = 4
 
 
 def chunked(df: DataFrame, key: str, chunk_s: int = CHUNK_S) -> DataFrame:
@@ -44,27 +45,39 @@ def distinct_in(codes: np.ndarray, lo: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def _sliding(pdf: pd.DataFrame, value: str) -> pd.DataFrame:
-    pdf = pdf.sort_values(["ts_us", "seq"], kind="stable")
-    ts = pdf["ts_us"].to_numpy()
+def _sliding(pdf: pd.DataFrame, key: str, value: str, chunk_us: int) -> pd.DataFrame:
+    """Many whole (key, chunk) groups in one call: each gets a stretch of its own on one time axis."""
+    keys = pd.factorize(pdf[key], use_na_sentinel=False)[0]
+    chunk, ts = pdf["chunk"].to_numpy(), pdf["ts_us"].to_numpy()
+    order = np.lexsort((pdf["seq"].to_numpy(), ts, chunk, keys))
+    keys, chunk, ts = keys[order], chunk[order], ts[order]
+    group = np.cumsum((np.diff(keys, prepend=-1) != 0) | (np.diff(chunk, prepend=chunk[:1]) != 0))
+    # a group's own times and its halo, then a gap longer than any window
+    ts = group * (chunk_us + 2 * SPAN) + ts - chunk * chunk_us
     i = np.arange(len(ts))
     lo, lo10 = np.searchsorted(ts, ts - SPAN, "left"), np.searchsorted(ts, ts - 10 * SECOND, "left")
-    gaps = np.diff(ts, prepend=ts[:1]).astype(np.float64)
-    squares = np.cumsum(gaps * gaps)
+    gaps = np.diff(ts, prepend=ts[:1]).astype(np.uint64)
+    squares = np.cumsum(gaps * gaps)  # modulo 2**64; differences within a window are exact
     n1, total = i - lo, (ts - ts[lo]).astype(np.float64)
-    q = squares - squares[lo]
+    q = (squares - squares[lo]).astype(np.float64)
     with np.errstate(divide="ignore", invalid="ignore"):
         mean = np.where(n1 > 0, total / np.maximum(n1, 1) / SECOND, 30.0)
         cv = np.where(n1 == 0, 1.0, np.where(total > 0, np.sqrt(np.maximum(n1 * q - total * total, 0.0)) / total, 0.0))
-    codes = pd.factorize(pdf[value])[0]
-    out = pd.DataFrame({"seq": pdf["seq"].to_numpy(), "n10": i - lo10 + 1, "n60": i - lo + 1, "different": distinct_in(codes, lo), "iat_mean": mean, "iat_cv": cv})
-    return out[~pdf["halo"].to_numpy()]
+    codes = pd.factorize(pdf[value], use_na_sentinel=False)[0][order]
+    out = pd.DataFrame({"seq": pdf["seq"].to_numpy()[order], "n10": i - lo10 + 1, "n60": i - lo + 1, "different": distinct_in(codes, lo), "iat_mean": mean, "iat_cv": cv})
+    return out[~pdf["halo"].to_numpy()[order]]
 
 
 def sliding(df: DataFrame, key: str, value: str, chunk_s: int = CHUNK_S) -> DataFrame:
-    """Per row (by seq) of its key's last 60 s, itself and earlier arrivals included: n10, n60, different values, gaps."""
+    """Per row (by seq) of its key's last 60 s, itself and earlier arrivals included: n10, n60, different values, gaps.
+
+    Small (key, chunk) groups share calls: a call gets those of one bucket, of
+    which there are CALLS for each shuffle partition.
+    """
     narrow = chunked(df.select("seq", "ts_us", key, value), key, chunk_s)
-    return narrow.groupBy(key, "chunk").applyInPandas(lambda pdf: _sliding(pdf, value), "seq long, n10 long, n60 long, different long, iat_mean double, iat_cv double")
+    calls = CALLS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucket = F.pmod(F.xxhash64(key, "chunk"), F.lit(calls)).alias("bucket")
+    return narrow.groupBy(bucket).applyInPandas(lambda pdf: _sliding(pdf, key, value, chunk_s * SECOND), "seq long, n10 long, n60 long, different long, iat_mean double, iat_cv double")
 
 
 def with_target(df: DataFrame) -> DataFrame:
