@@ -11,8 +11,10 @@ two of them at most and a token of the partner's own one, so 2 * (d - r) + 2
 combinations leave one in common.  Candidates are then verified exactly.
 
 Exact copies are one class from the start.  A bucket emits links to its least
-member only; members of different components that still share a bucket are
-compared in a last round, so no link is lost and large groups do not expand.
+member only.  Members of different components that still share a bucket are
+compared in a last round, so no link is lost: pair by pair in small buckets;
+in large ones by their differences from the bucket's least member, block
+against block, so that near misses of a large group never become rows.
 """
 
 from __future__ import annotations
@@ -35,6 +37,14 @@ BLOCK = 2_000_000
 FREQUENT = 32
 LARGEST = 400_000
 
+#: Sets are first compared by their tokens' counts in 2 to this power bins.
+BIN_BITS = 10
+#: Buckets of more members than this are compared as families.
+SMALL = 32
+#: Members and bytes of a family's block; two blocks are in one task.
+TOGETHER = 1000
+TOGETHER_BYTES = 16_000_000
+
 #: Rows of two numbers that are sent to every executor at most; beyond, joins shuffle.
 SENT = 1_000_000
 
@@ -117,49 +127,155 @@ def _signed(k: int, percent: int, common) -> Callable:
     return run
 
 
-#: Tokens below this are a set's sample, a quarter of it.
-QUARTER = np.uint64(1 << 62)
-
-
-def _tokens(k: int, part: bool) -> Callable:
+def _tokens(k: int, short: bool) -> Callable:
     def run(it):
         for doc_id, own in _sets(it, k):
-            sent = own[: np.searchsorted(own, QUARTER)] if part else own
+            sent = _in_bins(own) if short else own
             yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([len(own)], pa.int64()), pa.array([sent.tobytes()], pa.binary())], ["doc_id", "n", "tokens"])
 
     return run
 
 
-def _compared(percent: int, part: bool) -> Callable:
-    """Whether two sets can be near enough (from parts of them) or are (from all)."""
+def _in_bins(own: np.ndarray) -> np.ndarray:
+    """Tokens of an ascending set by their first bits, counted."""
+    counts = np.bincount((own >> np.uint64(64 - BIN_BITS)).astype(np.int64), minlength=1 << BIN_BITS)
+    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32)
+
+
+def _read_bins(sent: bytes) -> np.ndarray:
+    return np.frombuffer(sent, np.uint8 if len(sent) == 1 << BIN_BITS else np.uint32)
+
+
+def _compared(percent: int, short: bool) -> Callable:
+    """Whether two sets can be near enough (from their counts in bins) or are (from whole tokens)."""
 
     def run(it):
         for b in it:
             keep = []
             for x, y, n_x, n_y in zip(*(b.column(c).to_pylist() for c in ("x", "y", "n_x", "n_y")), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                if part:  # what the parts do not share is missing from the whole
-                    both += min(n_x - len(p), n_y - len(q))
+                if short:  # a bin shares no more than its lesser count
+                    both = int(np.minimum(_read_bins(x), _read_bins(y)).sum(dtype=np.int64))
+                else:
+                    both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
                 keep.append(100 * both >= percent * (n_x + n_y - both))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(keep, pa.bool_())], ["a", "b", "linked"])
 
     return run
 
 
+def _beside(pairs: DataFrame, docs: DataFrame, k: int, short: bool) -> DataFrame:
+    """pairs: a, b and more.  The same with n_x and x, n_y and y: sizes and tokens of both sets."""
+    ids = stash(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+    sets = docs.join(sized(ids), "doc_id", "left_semi").mapInArrow(_tokens(k, short), "doc_id long, n long, tokens binary")
+    sets = stash(sets, "sets")
+    x = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n_x"), F.col("tokens").alias("x"))
+    y = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n_y"), F.col("tokens").alias("y"))
+    return pairs.join(y, "b").join(x, "a")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """pairs: a, b.  Those whose sets are near enough; their low quarters rule most others out before whole sets move."""
-    for part in (True, False):
-        ids = stash(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
-        sets = docs.join(sized(ids), "doc_id", "left_semi").mapInArrow(_tokens(k, part), "doc_id long, n long, tokens binary")
-        sets = stash(sets, "sets")
-        x = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n_x"), F.col("tokens").alias("x"))
-        y = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n_y"), F.col("tokens").alias("y"))
-        tested = pairs.join(y, "b").join(x, "a").mapInArrow(_compared(percent, part), "a long, b long, linked boolean")
+    """pairs: a, b.  Those whose sets are near enough; counts in bins rule most others out before whole sets move."""
+    for short in (True, False):
+        tested = _beside(pairs, docs, k, short).mapInArrow(_compared(percent, short), "a long, b long, linked boolean")
         pairs = stash(tested.where("linked").select("a", "b").distinct(), "near")
     return pairs
 
 
+def _apart(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What one of the two sets holds and the other lacks, ascending."""
+    for b in it:
+        own = [np.setxor1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True).tobytes() for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), b.column("part"), b.column("n_y"), pa.array(own, pa.binary())], ["a", "rep", "part", "n", "apart"])
+
+
+def near_in_family(n: np.ndarray, part: np.ndarray, apart: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Places of near sets that join the parts, as few as do so.
+
+    apart: how each set differs from one and the same set.  Two sets differ by
+    what these differ by, so they share (n_x - d_x + n_y - d_y) / 2 + c tokens,
+    d being the sizes of the differences and c what the differences share.
+    """
+    d = np.array([len(x) for x in apart], np.int64)
+    weight = (100 + percent) * (n - d) - 2 * percent * n
+    _, token = np.unique(np.concatenate(apart), return_inverse=True)
+    holder = np.repeat(np.arange(len(n)), d)
+    order = np.argsort(token, kind="stable")
+    holders, begins = holder[order], np.searchsorted(token[order], np.arange(token.max() + 2)) if len(token) else np.zeros(1, np.int64)
+    ends = np.concatenate([[0], np.cumsum(d)])
+    label, links = part.copy(), []
+    for i in range(len(n)):
+        own = token[ends[i] : ends[i + 1]]
+        lengths = begins[own + 1] - begins[own]
+        at = np.repeat(begins[own] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        both = np.bincount(holders[at], minlength=len(n))
+        for j in np.flatnonzero((weight[i] + weight + 2 * (100 + percent) * both >= 0) & (label != label[i])):
+            if label[j] != label[i]:
+                links.append((i, int(j)))
+                label[label == label[j]] = label[i]
+    return links
+
+
+def _family(percent: int) -> Callable:
+    def run(table: pa.Table) -> pa.Table:
+        n, part, rep = (table.column(c).to_numpy() for c in ("n", "part", "rep"))
+        links = near_in_family(n, part, [np.frombuffer(x, np.uint64) for x in table.column("apart").to_pylist()], percent)
+        return pa.table({"a": pa.array([int(rep[i]) for i, _ in links], pa.int64()), "b": pa.array([int(rep[j]) for _, j in links], pa.int64())})
+
+    return run
+
+
+def _possible(percent: int) -> Callable:
+    """Members that may be near one of another part, by counts in bins."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("n")
+        n, part = table.column("n").to_numpy(), table.column("part").to_numpy()
+        bins = np.stack([_read_bins(x) for x in table.column("tokens").to_pylist()])
+        last = np.searchsorted(n, n * 100 // percent, side="right")
+        found = np.zeros(len(n), bool)
+        for i in range(len(n)):
+            rest = slice(i + 1, last[i])
+            both = np.minimum(bins[rest], bins[i]).sum(axis=1, dtype=np.int64)
+            hit = (part[rest] != part[i]) & (100 * both >= percent * (n[i] + n[rest] - both))
+            found[rest] |= hit
+            found[i] |= hit.any()
+        return table.select(["a", "rep", "part"]).filter(pa.array(found))
+
+    return run
+
+
+def _met(members: DataFrame, carried: str) -> DataFrame:
+    """Members dealt into blocks of bounded rows and bytes of ``carried``, for every two blocks of one a: groups a, i, j."""
+    blocks = members.groupBy("a").agg(F.ceil(F.greatest(F.count("*") / TOGETHER, F.sum(F.length(carried)) / TOGETHER_BYTES)).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "a").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return met.select("a", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "part", "n", carried)
+
+
+def families(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """members: a, b, part.  Links between near sets b, of different parts, beside the same a: a, b.
+
+    Counts in bins leave the members that may have a partner; these travel as
+    their difference from a's set.
+    """
+    ids = stash(members.select(F.col("b").alias("doc_id")).distinct(), "ids")
+    bins = docs.join(sized(ids), "doc_id", "left_semi").mapInArrow(_tokens(k, True), "doc_id long, n long, tokens binary")
+    binned = stash(members.withColumnRenamed("b", "rep").join(bins.withColumnRenamed("doc_id", "rep"), "rep"), "binned")
+    may = _met(binned, "tokens").groupBy("a", "i", "j").applyInArrow(_possible(percent), "a long, rep long, part long")
+    may = stash(may.distinct().withColumnRenamed("rep", "b"), "may")
+    apart = stash(_beside(may, docs, k, False).mapInArrow(_apart, "a long, rep long, part long, n long, apart binary"), "apart")
+    return _met(apart, "apart").groupBy("a", "i", "j").applyInArrow(_family(percent), "a long, b long").distinct()
+
+
+def within(left: DataFrame, percent: int) -> DataFrame:
+    """left: sig, rep, part, n of buckets of SMALL members at most.  Pairs of different parts and like sizes: a, b."""
+    member = F.struct("rep", "part", "n")
+    lists = left.groupBy("sig").agg(F.array_sort(F.collect_list(member)).alias("m")).select("m").distinct()
+    like = lambda x, y: (x.rep < y.rep) & (x.part != y.part) & (F.lit(100) * F.least(x.n, y.n) >= F.lit(percent) * F.greatest(x.n, y.n))
+    pairs = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: like(x, y)), lambda y: F.struct(x.rep.alias("a"), y.rep.alias("b")))))
+    return lists.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+
+
 def sized(df: DataFrame, most: int = SENT) -> DataFrame:
     """df, marked to be broadcast if it has few enough rows; df is a written table of narrow rows."""
     return F.broadcast(df) if df.count() <= most else df
@@ -197,16 +313,17 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     label = stash(components(links), "labels")
 
     # members of different components in one bucket
-    placed = buckets.join(label, F.col("rep") == F.col("node"), "left").select("sig", "rep", F.coalesce("component_id", "rep").alias("part"))
-    split = placed.groupBy("sig").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("sig")
-    left = placed.join(split, "sig", "left_semi").join(size("rep", "n"), "rep")
-    left = stash(left.select("sig", "rep", "part", "n"), "split")
-    if not left.isEmpty():
-        x, y = left.alias("x"), left.alias("y")
-        rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.part") != F.col("y.part")))
-        rest = rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")).where(near).select("a", "b").distinct()
-        more = verify(stash(rest.join(tried, ["a", "b"], "left_anti"), "pairs"), docs, k, percent)
-        if not more.isEmpty():
-            label = stash(components(links.unionByName(more)), "labels")
+    placed = buckets.join(label, F.col("rep") == F.col("node"), "left").select("sig", "a", "rep", F.coalesce("component_id", "rep").alias("part"))
+    # the least member has been compared with the others
+    placed = placed.where("rep != a")
+    split = placed.groupBy("sig").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("members")).where("p < q").select("sig", "members")
+    left = stash(placed.join(split, "sig").select("sig", "a", "rep", "part", "members"), "split")
+    few = left.where(F.col("members") <= SMALL).join(size("rep", "n"), "rep").select("sig", "rep", "part", "n")
+    more = verify(stash(within(few, percent).join(tried, ["a", "b"], "left_anti"), "pairs"), docs, k, percent)
+    many = stash(left.where(F.col("members") > SMALL).select("a", F.col("rep").alias("b"), "part").distinct(), "families")
+    if not many.isEmpty():
+        more = stash(more.unionByName(families(many, docs, k, percent)), "more")
+    if not more.isEmpty():
+        label = stash(components(links.unionByName(more)), "labels")
     out = member.join(label, F.col("copy_of") == F.col("node"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "copy_of", F.coalesce("component_id", "copy_of").alias("component_id"))
