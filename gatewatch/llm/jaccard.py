@@ -38,7 +38,7 @@ FREQUENT = 32
 LARGEST = 400_000
 
 #: Sets are first compared by their tokens' counts in 2 to this power bins.
-BIN_BITS = 10
+BIN_BITS = 9
 #: Buckets of more members than this are compared as families.
 SMALL = 32
 #: Members and bytes of a family's block; two blocks are in one task.

@@ -153,6 +153,49 @@ def test_jaccard(docs, rows, monkeypatch, k, percent, frequent):
     assert got == brute_links(rows, k, percent)
 
 
+@pytest.mark.parametrize("small", [2, 32])
+def test_jaccard_families(spark, monkeypatch, small):
+    # many near misses of one text share signatures, and only some of them link
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(90)]
+    rows = []
+    for i in range(60):
+        own = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            own[rng.randrange(len(own))] = f"e{i % 25}"
+        rows.append((i, " ".join(own)))
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "TOGETHER", 7)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
+    assert got == brute_links(rows, 4, 85)
+    assert 1 < len({c for _, c in got.values()}) < len(rows)
+
+
+def test_near_in_family():
+    rng = np.random.default_rng(2)
+    for percent in (80, 85):
+        pivot = rng.choice(400, 120, replace=False)
+        sets = [np.unique(np.concatenate([rng.choice(pivot, 113, replace=False), rng.choice(400, rng.integers(0, 12), replace=False)])).astype(np.uint64) for _ in range(40)]
+        near = lambda x, y: 100 * len(np.intersect1d(x, y)) >= percent * len(np.union1d(x, y))  # noqa: E731, B023
+        apart = [np.setxor1d(x, pivot.astype(np.uint64)) for x in sets]
+        links = jaccard.near_in_family(np.array([len(x) for x in sets]), np.arange(len(sets)), apart, percent)
+        assert links and all(near(sets[i], sets[j]) for i, j in links)
+        part = list(range(len(sets)))
+        for i, j in links:
+            part = [part[i] if p == part[j] else p for p in part]
+        assert all(part[i] == part[j] for i in range(40) for j in range(i) if near(sets[i], sets[j]))
+
+
+def test_bins_bound_what_sets_share():
+    rng = np.random.default_rng(3)
+    for n in (1, 50, 3000, 400_000):
+        x = np.unique(rng.integers(0, 1 << 63, n, np.uint64) << np.uint64(1))
+        y = np.unique(np.concatenate([x[::2], rng.integers(0, 1 << 63, n, np.uint64)]))
+        x_bins, y_bins = (jaccard._read_bins(jaccard._in_bins(v).tobytes()) for v in (x, y))
+        assert np.minimum(x_bins, y_bins).sum() >= len(np.intersect1d(x, y))
+        assert x_bins.sum() == len(x)
+
+
 def test_signatures_meet():
     rng = np.random.default_rng(5)
     for _ in range(3000):
