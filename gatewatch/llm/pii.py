@@ -2,10 +2,12 @@
 
 The base finds emails, addresses, cards and phone numbers by shape.  Their
 occurrences seed a graph of lexical patterns (the words around) and instances
-(identifier-like tokens).  Spark scores both sides in turn: a pattern by the
-share of its instances that are believed to be of a kind, an instance by its
-best pattern.  Patterns of high score and enough different seeds then mark
-tokens that the shapes miss.
+(identifier-like tokens and runs of tokens).  Spark scores both sides in turn:
+a pattern by the share that is believed to be of the kind among its instances
+that anything is known of, an instance by its best pattern.  Seeds are believed;
+instances that a check of their kind contradicts are not; of plausible ones
+nothing is known until a pattern vouches for them, so they hold no pattern back.
+Patterns of high score and enough different seeds then mark what the shapes miss.
 """
 
 from __future__ import annotations
@@ -33,6 +35,13 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+_NAME_AT_HOST = re.compile(r"[A-Za-z0-9._%+-]*[A-Za-z][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]*[A-Za-z][A-Za-z0-9.-]*")
+_SPELT_AT = re.compile(rb"[\[(]at[\])]", re.I)
+#: Identifiers of several tokens: groups of digits, and addresses with the at sign spelt out.
+_RUN = re.compile(r"(?<![0-9A-Za-z])[(+]?[0-9][0-9()./-]*+(?: [(]?[0-9][0-9()./-]*+)++")
+_SPELT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(](?i:at)[\])] ?[A-Za-z0-9.-]++(?: ?[\[(](?i:dot)[\])] ?[A-Za-z0-9-]++)*+")
+_GROUPED = re.compile(r"\+?[(]?[0-9]+(?:[ ()./-]+[0-9]+)+[)]?")
+_DATE = re.compile(r"(?:[0-9]{4}([-./])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-./])[0-9]{1,2}\2[0-9]{4})(?![0-9]).*")
 _DIGITS = str.maketrans("0123456789", "0000000000")
 #: Characters of context that are looked at on either side.
 AROUND = 80
@@ -78,74 +87,120 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def shape(token: str) -> int | None:
     """The kind that a token could be an odd spelling of: enough digits, or an at sign between letters."""
-    digits = sum("0" <= c <= "9" for c in token)
+    digits = len(_DIGIT.findall(token))
     if "@" in token.strip("@"):
         return 0
-    if digits >= 4 and token.count(".") == 3:
+    if 4 <= digits <= 12 and token.count(".") == 3:
         return 1
     if digits >= 14 and digits >= 0.7 * len(token):
         return 2
     return 3 if 7 <= digits <= 15 and digits >= 0.6 * len(token) else None
 
 
-def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, list[str], bool]]:
-    """Identifier-like tokens: start, end, kind, value, patterns around, is a seed."""
+def plausible(word: str, kind: int) -> bool:
+    """Whether a check of the kind leaves it open that the word is one; false contradicts it."""
+    if kind == 0:
+        return bool(_SPELT.fullmatch(word) or _NAME_AT_HOST.fullmatch(word))
+    numbers = re.findall("[0-9]+", word)
+    if kind == 1:
+        return len(numbers) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in numbers) and not re.search("[A-Za-z]", word)
+    if kind == 2:
+        return 14 <= len(digits := "".join(numbers)) <= 19 and luhn(digits) and not re.search("[A-Za-z]", word)
+    return bool(_GROUPED.fullmatch(word)) and not _DATE.fullmatch(word)
+
+
+def runs(text: str) -> Iterator[tuple[int, int, int]]:
+    """Start, end and kind of candidates of several tokens."""
+    if _DIGIT.search(text):
+        for m in _RUN.finditer(text):
+            word = m[0].rstrip("(./-")
+            word = word[:-1] if word.count(")") > word.count("(") else word
+            after = text[m.end() : m.end() + 1]
+            digits = len(_DIGIT.findall(word))
+            if " " in word and digits <= 19 and not (after.isalnum() or after == "@") and (kind := shape(word if digits >= 14 else re.sub("[ ()]", "", word))) is not None:
+                yield m.start(), m.start() + len(word), kind
+    if _SPELT_AT.search(text.encode(errors="replace")):
+        yield from ((m.start(), m.start() + len(m[0].rstrip(".-")), 0) for m in _SPELT.finditer(text))
+
+
+def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, list[str], bool, bool]]:
+    """Identifier-like tokens and runs of tokens: start, end, kind, value, patterns around, is a seed, is plausible."""
     out = []
 
     def add(a: int, b: int, kind: int, seed: bool) -> None:
         left = _TOKEN.findall(text[max(0, a - AROUND) : a].lower().translate(_DIGITS))[-2:]
         right = _TOKEN.findall(text[b : b + AROUND].lower().translate(_DIGITS))[:1]
         patterns = [" ".join([*left[-1:], "_"]), " ".join([*left, "_"]), " ".join([*left[-1:], "_", *right])]
-        out.append((a, b, kind, hashlib.blake2b(text[a:b].encode(errors="replace"), digest_size=12).hexdigest(), sorted({p for p in patterns if p != "_"}), seed))
+        value = hashlib.blake2b(text[a:b].encode(errors="replace"), digest_size=12).hexdigest()
+        out.append((a, b, kind, value, sorted({p for p in patterns if p != "_"}), seed, seed or plausible(text[a:b], kind)))
+
+    def free(found: Iterator[tuple[int, int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """Those of found, in order of start, that overlap nothing taken."""
+        kept, i, reach, taken = [], 0, -1, sorted(taken)
+        for a, b, kind in found:
+            while i < len(taken) and taken[i][0] < b:
+                reach = max(reach, taken[i][1])
+                i += 1
+            if reach <= a:
+                kept.append((a, b, kind))
+        return kept
+
+    def tokens() -> Iterator[tuple[int, int, int]]:
+        for m in _TOKEN.finditer(text):
+            if _DIGIT.search(m[0]) or "@" in m[0]:
+                word = m[0].strip("\"'.,;:!?()[]{}<>")
+                a = m.start() + m[0].find(word) if word else m.start()
+                if word and (kind := shape(word)) is not None:
+                    yield a, a + len(word), kind
 
     for a, kind, b in spans:
         add(a, b, kind, True)
-    for m in _TOKEN.finditer(text):
-        if len(m[0]) <= 64 and (_DIGIT.search(m[0]) or "@" in m[0]):
-            word = m[0].strip("\"'.,;:!?()[]{}<>")
-            a = m.start() + m[0].find(word) if word else m.start()
-            if word and (kind := shape(word)) is not None and not any(x < a + len(word) and a < y for x, _, y in spans):
-                add(a, a + len(word), kind, False)
+    taken = [(a, b) for a, _, b in spans]
+    long = free(sorted(runs(text)), taken)
+    for a, b, kind in [*long, *free(tokens(), [*taken, *((a, b) for a, b, _ in long)])]:
+        add(a, b, kind, False)
     return out
 
 
 SPAN = "struct<start:int,kind:int,stop:int>"
-FOUND = f"base array<{SPAN}>, mentions array<struct<start:int,stop:int,kind:int,value:string,patterns:array<string>,seed:boolean>>"
+FOUND = f"base array<{SPAN}>, mentions array<struct<start:int,stop:int,kind:int,value:string,patterns:array<string>,seed:boolean,plausible:boolean>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("stop", pa.int32())]))
-_MENTIONS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.int32()), ("value", pa.string()), ("patterns", pa.list_(pa.string())), ("seed", pa.bool_())]))
+_MENTIONS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.int32()), ("value", pa.string()), ("patterns", pa.list_(pa.string())), ("seed", pa.bool_()), ("plausible", pa.bool_())]))
 
 
 def _scan(it):
     for b in batches(it):
         base, seen = [], []
         for text in raw(b, "text"):
-            if not text or not (b"@" in text or re.search(rb"[0-9]", text)):
+            if not text or not (b"@" in text or re.search(rb"[0-9]", text) or _SPELT_AT.search(text)):
                 base.append([])
                 seen.append([])
                 continue
             text = text.decode(errors="replace")
             spans = base_spans(text)
             base.append([{"start": s, "kind": k, "stop": e} for s, k, e in spans])
-            seen.append([dict(zip(("start", "stop", "kind", "value", "patterns", "seed"), m, strict=True)) for m in mentions(text, spans)])
+            seen.append([dict(zip(("start", "stop", "kind", "value", "patterns", "seed", "plausible"), m, strict=True)) for m in mentions(text, spans)])
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(base, _SPANS), pa.array(seen, _MENTIONS)], [*b.schema.names, "base", "mentions"])
 
 
 def patterns(graph: DataFrame, support: int = SUPPORT, sure: float = SURE, rounds: int = ROUNDS) -> DataFrame:
-    """graph: kind, value, pattern, seed.  The patterns of high score after ``rounds``: kind, pattern, score.
+    """graph: kind, value, pattern, seed, plausible.  The patterns of high score after ``rounds``: kind, pattern, score.
 
-    A pattern's score is the mean belief in its different instances, pulled to
-    none by two unbelieved ones; an instance's belief is 1 for seeds, else the
-    score of its best pattern with enough seeds.
+    A pattern's score is the mean belief in those of its different instances
+    that have one, pulled to none by two unbelieved ones.  An instance's belief
+    is 1 for seeds, else the score of its best pattern with enough seeds; without
+    one it is 0 where its kind's check contradicts it and absent where not.
     """
-    edges = stash(graph.groupBy("kind", "pattern", "value").agg(F.max(F.col("seed").cast("int")).alias("seed")), "graph")
-    seeds = F.sum("seed")
-    belief = edges.select("kind", "value", F.col("seed").cast("double").alias("belief")).groupBy("kind", "value").agg(F.max("belief").alias("belief"))
+    flag = lambda c: F.max(F.col(c).cast("int")).alias(c)
+    edges = stash(graph.groupBy("kind", "pattern", "value").agg(flag("seed"), flag("plausible")), "graph")
+    known = F.when(F.col("seed") == 1, 1.0).when(F.col("plausible") == 0, 0.0)
+    belief = edges.groupBy("kind", "value").agg(F.max(known).alias("belief"))
     for i in range(rounds):
-        scored = edges.join(belief, ["kind", "value"]).groupBy("kind", "pattern").agg((F.sum("belief") / (F.count("*") + 2)).alias("score"), seeds.alias("seeds"))
+        scored = edges.join(belief, ["kind", "value"]).groupBy("kind", "pattern").agg((F.sum("belief") / (F.count("belief") + 2)).alias("score"), F.sum("seed").alias("seeds"))
         scored = stash(scored.where((F.col("seeds") >= support) & (F.col("score") >= sure)), f"patterns{i}")
         if i + 1 < rounds:
-            best = edges.join(scored, ["kind", "pattern"], "left").groupBy("kind", "value").agg(F.max(F.greatest(F.col("seed").cast("double"), F.coalesce("score", F.lit(0.0)))).alias("belief"))
-            belief = best
+            # greatest() skips nulls
+            belief = edges.join(scored, ["kind", "pattern"], "left").groupBy("kind", "value").agg(F.max(F.greatest(known, "score")).alias("belief"))
     return scored.select("kind", "pattern", "score")
 
 
@@ -167,8 +222,8 @@ def find(docs: DataFrame, support: int = SUPPORT, sure: float = SURE, rounds: in
         seen = seen.drop("text")
     seen = stash(seen, "mentions")
     each = seen.where(F.size("mentions") > 0).select("text_key", F.explode("mentions").alias("m")).select("text_key", "m.*")
-    linked = each.select("text_key", "start", "stop", "kind", "value", "seed", F.explode("patterns").alias("pattern"))
-    good = patterns(linked.select("kind", "value", "pattern", "seed"), support, sure, rounds)
+    linked = each.select("text_key", "start", "stop", "kind", "value", "seed", "plausible", F.explode("patterns").alias("pattern"))
+    good = patterns(linked.select("kind", "value", "pattern", "seed", "plausible"), support, sure, rounds)
     new = linked.where("not seed").join(good, ["kind", "pattern"], "left_semi").groupBy("text_key").agg(F.collect_set(F.struct("start", "kind", "stop")).alias("added"))
     out = seen.drop("mentions").join(new, "text_key", "left")
     return out.select(*[F.col(f"`{c}`") for c in keep], "base", F.coalesce(F.array_sort("added"), F.array().cast(f"array<{SPAN}>")).alias("added"))

@@ -282,6 +282,29 @@ def test_pii_learns_contexts(spark):
     assert 0 < strict < 400
 
 
+def test_pii_finds_unseen_at_production_thresholds(spark):
+    """Contexts in which most identifiers are unseen ones, two tokens or long; contexts of mere numbers teach nothing."""
+    rng = random.Random(3)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card(sep, valid=True):
+        n = "4" + digits(14)
+        n += next(c for c in "0123456789" if pii.luhn(n + c) == valid)
+        return sep.join(n[i : i + 4] for i in range(0, 16, 4))
+
+    seeds = [f"write box: user{i}@mail{i}.example.com today" for i in range(12)] + [f"ring desk: +1 (412) 555-{digits(4)} today" for _ in range(12)] + [f"pay card: {card('')} today" for _ in range(12)]
+    unseen = [("email", f"write box: user{i}@intranet today", f"user{i}@intranet") for i in range(20)]
+    unseen += [("email", f"write box: {x} today", x) for x in ("u" * 70 + "@intranet", "some.one (at) example [dot] com")]
+    unseen += [("phone", f"ring desk: {x} today", x) for _ in range(10) for x in (f"(412) 555 {digits(4)}", f"412-555-{digits(4)}")]
+    unseen += [("card", f"pay card: {x} today", x) for x in (card("."), card("/"))]
+    plain = [f"order number: {card('', valid=i < 10)} today" for i in range(60)] + [f"made on: 2024-{i % 12 + 1:02}-{i % 28 + 1:02} today" for i in range(40)] + [f"made on: +1 (412) 555-{digits(4)} today" for _ in range(10)]
+    texts = [*seeds, *(t for _, t, _ in unseen), *plain]
+    got = {r.doc_id: (len(r.base), [(pii.KINDS[x.kind], texts[r.doc_id][x.start : x.stop]) for x in r.added]) for r in pii.find(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    assert all(got[i] == (1, []) for i in range(len(seeds)))
+    assert [got[len(seeds) + i] for i in range(len(unseen))] == [(0, [(kind, x)]) for kind, _, x in unseen]
+    assert all(not added for i, (_, added) in got.items() if i >= len(seeds) + len(unseen))
+
+
 def test_winnowing(docs, rows):
     got = {r.doc_id: r for r in winnowing.compared(docs).collect()}
     order = sorted(rows, key=lambda r: -r[0])
