@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gatewatch.functions.columns import BAD_PREFIXES, BOT_TOKENS, FEATURES, SENSITIVE, bucket_of, clamped, header_flags, route_of, vector
 from gatewatch.operators import learning, reports, sketch, windows
-from gatewatch.operators.scoring import STARTING, check, rounded
+from gatewatch.operators.scoring import STARTING, check, probability, rounded
 from gatewatch.sources.requests import request_log
 
 #: The end of the squeezed month.
@@ -173,9 +173,9 @@ def retrained_accuracy(spark, sf_dir):
     users = _read(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), (F.col("user_id") % 10).isin(0, 1, 2, 4).cast("int").alias("label"))
     rows = scored.select("seq", *FEATURES).join(users, "seq")
     labels, _ = learning.resolve_feedback(feedback(spark, sf_dir), scored)
-    model, _ = learning.retrain(rows, labels, epochs=50)
-    now = learning.predictions(rows, model)
-    return now.agg(F.avg((F.col("predicted") == F.col("label")).cast("int")).alias("accuracy"), F.count("*").alias("n"))
+    model, _ = learning.retrain(rows, labels)
+    right = lambda p: F.avg(((p >= 0.5).cast("int") == F.col("label")).cast("int"))
+    return rows.agg(right(probability(STARTING)).alias("accuracy_before"), right(probability(model)).alias("accuracy"), F.count("*").alias("n"))
 
 
 def sketch_rates(spark, sf_dir):

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gatewatch.functions.columns import FEATURES, clamped, route_of
+from gatewatch.jobs import queries
 from gatewatch.operators import learning, reports, sketch, windows
 from gatewatch.operators.scoring import STARTING, Model, check
 from gatewatch.sources import requests
@@ -111,6 +112,27 @@ def test_training(spark, tmp_path):
     assert learning.weights_report(spark, model).first().feature in ("req_10s", "iat_mean")
 
 
+def test_retrained_accuracy(spark):
+    """Against 400 epochs in numpy, and the starting model beside them."""
+    sf = "/root/testdata/sf0.001"
+    got = queries.retrained_accuracy(spark, sf).first()
+    scored = queries.checked(spark, sf)
+    users = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("seq"), (F.col("user_id") % 10).isin(0, 1, 2, 4).cast("int").alias("label"))
+    rows = np.array(scored.select("seq", *FEATURES).join(users, "seq").select(*FEATURES, "label").collect(), float)
+    said = np.array(learning.resolve_feedback(queries.feedback(spark, sf), scored)[0].select(*FEATURES, "label").collect(), float)
+    both = np.r_[rows, said]
+    mean, std = both[:, :-1].mean(0), both[:, :-1].std(0)
+    std = np.where(std**2 > 1e-12, std, 1.0)
+    z, y, w, b = (both[:, :-1] - mean) / std, both[:, -1], np.zeros(15), 0.0
+    for _ in range(400):
+        e = 1 / (1 + np.exp(-(z @ w + b))) - y
+        w, b = w - 0.3 * (z.T @ e / len(y) + 1e-3 * w), b - 0.3 * e.mean()
+    right = lambda z, w, b: ((z @ np.array(w) + b >= 0) == rows[:, -1]).mean()
+    assert got.n == len(rows)
+    assert got.accuracy == pytest.approx(right((rows[:, :-1] - mean) / std, w, b), abs=2 / len(rows))
+    assert got.accuracy_before == pytest.approx(right((rows[:, :-1] - STARTING.mean) / STARTING.std, STARTING.w, STARTING.b), abs=2 / len(rows))
+
+
 def test_labels_and_tables(spark, tmp_path):
     scored = check(log(spark, [{}, {"honeypot_value": "x"}]))
     said = spark.createDataFrame([("req-0", 0), ("req-0", 1), ("req-9", 1)], "request_id string, label int")
