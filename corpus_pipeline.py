@@ -17,8 +17,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
-    return quality.judge(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
+    """Documents that the rules reject go, and those that their host and their own failures make junk."""
+    return quality.posterior(docs.select(*COLUMNS)).where("wanted").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

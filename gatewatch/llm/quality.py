@@ -76,6 +76,39 @@ def hosts(judged: DataFrame) -> DataFrame:
     return by.withColumn("host_rate", (F.col("host_fails") + F.lit(strength * mean)) / (F.col("host_docs") + F.lit(strength)))
 
 
+def _evidence() -> Column:
+    """How much likelier a document's own failures are in junk: squared excess over each failed limit, 1 for none.
+
+    Bars that stand alone are cells of a table and no symbols here.
+    """
+    n, lines = F.col("n_words"), F.col("n_lines")
+    symbols = 100 * (F.col("n_symbols") - F.col("n_bars")) / (SYMBOLS * n)
+    # odds, as a share ends at 1; the first copy of a line keeps it below
+    dup = F.col("n_dup_lines") * (100 - DUP_LINES) / (DUP_LINES * (lines - F.col("n_dup_lines")))
+    long, short = F.col("word_chars") / (LONG_WORD * n), SHORT_WORD * n / F.col("word_chars")
+    excess = lambda x: F.greatest(F.lit(1.0), F.coalesce(x, F.lit(1.0)))
+    return F.pow(excess(symbols) * excess(dup) * excess(long) * excess(short), 2)
+
+
+def posterior(docs: DataFrame, keep_text: bool = True) -> DataFrame:
+    """The columns of judge(), then n_bars, p_junk and wanted.
+
+    p_junk: the host's shrunk failure rate (tables not counted as failures) as
+    prior odds, times the evidence of the document's own failures; 1 where the
+    base rules fail.  wanted: p_junk is HOST_RATE at most.  A document that
+    fails nothing goes only with its host, one that fails much goes anywhere.
+    """
+    docs = docs.drop("n_bars", "p_junk", "wanted")
+    bars = F.length(F.regexp_replace(whole("text"), r"(?<![#*$%&|<>])\|(?![#*$%&|<>])", ""))
+    judged = judge(docs.withColumn("n_bars", (F.length(whole("text")) - bars).cast("long")), keep_text=keep_text)
+    symbols = 100 * (F.col("n_symbols") - F.col("n_bars")) > SYMBOLS * F.col("n_words")
+    by = hosts(judged.drop("fails_symbols").withColumn("fails_symbols", symbols)).select("host", F.col("host_rate").alias("_prior"))
+    odds = F.col("_prior") / (1 - F.col("_prior")) * _evidence()
+    p = F.when(F.col("base_failed") | (F.col("_prior") >= 1), 1.0).otherwise(odds / (1 + odds))
+    out = judged.join(by, F.col("source").eqNullSafe(F.col("host"))).withColumn("p_junk", p).drop("host", "_prior")
+    return out.withColumn("wanted", F.col("p_junk") <= HOST_RATE)
+
+
 def judge(docs: DataFrame, host_rate: float = HOST_RATE, keep_text: bool = True) -> DataFrame:
     """The columns of docs, COUNTS, RULES, host_rate, base_failed, kept.
 

@@ -100,6 +100,28 @@ def test_bad_host_goes(spark):
     assert got.where("source = 'bad' and kept").count() == 0 and got.where("source = 'fine' and kept").count() == 100
 
 
+def test_junk_in_ordinary_hosts_goes(spark, tmp_path):
+    """Spread over hosts that are good for the most part, junk goes; clean texts and tables stay, a bad host's too."""
+    import corpus_pipeline
+
+    word = lambda i: f"w{i}rd{i * 7 % 97}"
+    texts = {
+        "clean": " ".join(map(word, range(80))),
+        "table": "\n".join(f"{word(3 * i)} | {word(3 * i + 1)} | {word(3 * i + 2)}" for i in range(40)),
+        "symbols": " ".join(f"{word(i)}###" for i in range(80)),
+        "lines": "\n".join([" ".join(map(word, range(j, j + 30))) for j in (0, 30, 60)] + ["read more"] * 9),
+        "slightly": " ".join(f"{word(i)}{'%' * (i % 9 == 0)}" for i in range(80)),
+    }
+    kinds = ["symbols", "lines", "slightly", *["table"] * 3, *["clean"] * 14]
+    made = [(i, texts[kinds[i % 20]], "en", f"host{i // 20}", 1, kinds[i % 20]) for i in range(200)]
+    made += [(200 + i, texts["table"], "en", "tables", 1, "table") for i in range(50)]
+    made += [(300 + i, texts["clean"] if i % 10 == 0 else "short", "en", "bad", 1, "bad") for i in range(100)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long, made string")
+    kept = {r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, str(tmp_path)).collect()}
+    share = {kind: {r[0] in kept for r in made if r[5] == kind} for kind in {r[5] for r in made}}
+    assert share == {"clean": {True}, "table": {True}, "slightly": {True}, "symbols": {False}, "lines": {False}, "bad": {False}}
+
+
 def test_packing(docs, rows):
     from tokenizers import Tokenizer
 
