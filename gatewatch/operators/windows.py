@@ -1,13 +1,11 @@
-"""Point-in-time window features, exact at any rate: groups are (key, chunk of time) with a halo.
+"""Point-in-time window features, exact at any rate: running sums of what enters and leaves a key's window.
 
-A hot key is cut into chunks of CHUNK_S seconds; each chunk also gets the last
-minute before it, so no window looks outside its group and no key is one task.
+The sums run within (key, second) and start from sums by second, so a hot key
+is many tasks however short the log, and no row is copied into a halo.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,69 +13,69 @@ from gatewatch.functions.columns import BUCKET_US, bucket_of, header_flags, rout
 
 SECOND = 1_000_000
 SPAN = 60 * SECOND
-CHUNK_S = 300
-CALLS = 4
-
-
-def chunked(df: DataFrame, key: str, chunk_s: int = CHUNK_S) -> DataFrame:
-    """Adds chunk and halo (true for copies that only serve as the past of the next chunk)."""
-    if chunk_s < 60:
-        raise ValueError("a chunk must be as long as the longest window")
-    size = chunk_s * SECOND
-    own = F.floor(F.col("ts_us") / size).cast("long")
-    late = F.col("ts_us") >= (own + 1) * size - SPAN
-    here, there = F.struct(own.alias("chunk"), F.lit(False).alias("halo")), F.struct((own + 1).alias("chunk"), F.lit(True).alias("halo"))
-    return df.withColumn("c", F.explode(F.when(late, F.array(here, there)).otherwise(F.array(here)))).select(*df.columns, "c.*")
-
-
-def distinct_in(codes: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    """Distinct codes in [lo[i], i] for each i; lo never falls."""
-    held, n, left, out = [0] * (int(codes.max()) + 1 if len(codes) else 0), 0, 0, []
-    every = codes.tolist()
-    for i, (c, low) in enumerate(zip(every, lo.tolist(), strict=True)):
-        n += held[c] == 0
-        held[c] += 1
-        while left < low:
-            held[every[left]] -= 1
-            n -= held[every[left]] == 0
-            left += 1
-        out.append(n)
-    return np.array(out, np.int64)
-
-
-def _sliding(pdf: pd.DataFrame, key: str, value: str, chunk_us: int) -> pd.DataFrame:
-    """Many whole (key, chunk) groups in one call: each gets a stretch of its own on one time axis."""
-    keys = pd.factorize(pdf[key], use_na_sentinel=False)[0]
-    chunk, ts = pdf["chunk"].to_numpy(), pdf["ts_us"].to_numpy()
-    order = np.lexsort((pdf["seq"].to_numpy(), ts, chunk, keys))
-    keys, chunk, ts = keys[order], chunk[order], ts[order]
-    group = np.cumsum((np.diff(keys, prepend=-1) != 0) | (np.diff(chunk, prepend=chunk[:1]) != 0))
-    # a group's own times and its halo, then a gap longer than any window
-    ts = group * (chunk_us + 2 * SPAN) + ts - chunk * chunk_us
-    i = np.arange(len(ts))
-    lo, lo10 = np.searchsorted(ts, ts - SPAN, "left"), np.searchsorted(ts, ts - 10 * SECOND, "left")
-    gaps = np.diff(ts, prepend=ts[:1]).astype(np.uint64)
-    squares = np.cumsum(gaps * gaps)  # modulo 2**64; differences within a window are exact
-    n1, total = i - lo, (ts - ts[lo]).astype(np.float64)
-    q = (squares - squares[lo]).astype(np.float64)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        mean = np.where(n1 > 0, total / np.maximum(n1, 1) / SECOND, 30.0)
-        cv = np.where(n1 == 0, 1.0, np.where(total > 0, np.sqrt(np.maximum(n1 * q - total * total, 0.0)) / total, 0.0))
-    codes = pd.factorize(pdf[value], use_na_sentinel=False)[0][order]
-    out = pd.DataFrame({"seq": pdf["seq"].to_numpy()[order], "n10": i - lo10 + 1, "n60": i - lo + 1, "different": distinct_in(codes, lo), "iat_mean": mean, "iat_cv": cv})
-    return out[~pdf["halo"].to_numpy()[order]]
+CHUNK_S = 1
+#: What an event changes: rows and values in the window, the gaps between its rows and their squares.
+CHANGES = ("d60", "d10", "different", "gap", "square")
+
+
+def events(df: DataFrame, key: str, value: str) -> DataFrame:
+    """key, at, phase, seq, sub and what changes then in the window of the key: d60, d10, different, gap, square.
+
+    A row enters at its time and leaves one microsecond after the window's
+    length, before the rows of that time.  A value enters with the first row of
+    a stretch without gaps over SPAN and leaves SPAN after the last, so nothing
+    looks back over the window: groups are of one key (and value) and second,
+    and those that hold all of a key have one row a second.
+    """
+    k, v = F.col("k"), F.col("v")
+    rows = df.select(F.col(key).alias("k"), F.col(value).alias("v"), "ts_us", "seq", F.floor(F.col("ts_us") / SECOND).cast("long").alias("second"))
+    seconds = rows.groupBy("k", "second").agg(F.min("ts_us").alias("first"), F.max("ts_us").alias("last"))
+    by_key = Window.partitionBy("k").orderBy("second")
+    seconds = seconds.select(k.alias("k_"), F.col("second").alias("second_"), F.lag("last").over(by_key).alias("before"), F.lead("first").over(by_key).alias("after"))
+    near = rows.join(seconds, k.eqNullSafe(F.col("k_")) & (F.col("second") == F.col("second_")))
+    own = Window.partitionBy("k", "second").orderBy("ts_us", "seq")
+    # a longer gap is never inside a window
+    inside = lambda gap: F.when(gap <= SPAN, gap).otherwise(F.lit(0)).cast("long")
+    near = near.select("k", "ts_us", "seq", inside(F.col("ts_us") - F.coalesce(F.lag("ts_us").over(own), "before")).alias("gap"), inside(F.coalesce(F.lead("ts_us").over(own), "after") - F.col("ts_us")).alias("next"))
+    zero = F.lit(0).cast("long")
+
+    def event(at, phase, sub, **change):
+        return F.struct(at.alias("at"), F.lit(phase).alias("phase"), F.lit(sub).alias("sub"), *[(F.lit(x).cast("long") if isinstance(x, int) else x).alias(c) for c in CHANGES for x in [change.get(c, zero)]])
+
+    ts, gap, after = F.col("ts_us"), F.col("gap"), F.col("next")
+    of_rows = F.array(
+        event(ts, 1, 1, d60=1, d10=1, gap=gap, square=gap * gap),
+        event(ts + 10 * SECOND + 1, 0, 0, d10=-1),
+        event(ts + SPAN + 1, 0, 0, d60=-1, gap=-after, square=-after * after),
+    )
+    by_value = Window.partitionBy("k", "v").orderBy("second")
+    held = rows.groupBy("k", "v", "second").agg(F.min(F.struct("ts_us", "seq")).alias("first"), F.max("ts_us").alias("last"))
+    held = held.select("k", F.col("first.ts_us").alias("first"), F.col("first.seq").alias("seq"), "last", F.lag("last").over(by_value).alias("before"), F.lead("first.ts_us").over(by_value).alias("after"))
+    enters = F.when(F.coalesce(F.col("first") - F.col("before") > SPAN, F.lit(True)), event(F.col("first"), 1, 0, different=1))
+    leaves = F.when(F.coalesce(F.col("after") - F.col("last") > SPAN, F.lit(True)), event(F.col("last") + SPAN + 1, 0, 0, different=-1))
+    of_values = F.filter(F.array(enters, leaves), lambda e: e.isNotNull())
+    both = near.select("k", "seq", F.explode(of_rows).alias("e")).unionByName(held.select("k", "seq", F.explode(of_values).alias("e")))
+    return both.select("k", "seq", "e.*")
 
 
 def sliding(df: DataFrame, key: str, value: str, chunk_s: int = CHUNK_S) -> DataFrame:
     """Per row (by seq) of its key's last 60 s, itself and earlier arrivals included: n10, n60, different values, gaps.
 
-    Small (key, chunk) groups share calls: a call gets those of one bucket, of
-    which there are CALLS for each shuffle partition.
+    Running sums of events(), within chunks of a key and from sums by chunk
+    before them; the sums are of what is in the window, so they never grow with the log.
     """
-    narrow = chunked(df.select("seq", "ts_us", key, value), key, chunk_s)
-    calls = CALLS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bucket = F.pmod(F.xxhash64(key, "chunk"), F.lit(calls)).alias("bucket")
-    return narrow.groupBy(bucket).applyInPandas(lambda pdf: _sliding(pdf, key, value, chunk_s * SECOND), "seq long, n10 long, n60 long, different long, iat_mean double, iat_cv double")
+    every = events(df, key, value).withColumn("chunk", F.floor(F.col("at") / (chunk_s * SECOND)).cast("long"))
+    earlier = Window.partitionBy("k").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = every.groupBy("k", "chunk").agg(*[F.sum(c).alias(c) for c in CHANGES])
+    sums = sums.select(F.col("k").alias("k_"), F.col("chunk").alias("chunk_"), *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_") for c in CHANGES])
+    own = Window.partitionBy("k", "chunk").orderBy("at", "phase", "seq", "sub").rowsBetween(Window.unboundedPreceding, 0)
+    at = every.select("k", "chunk", "seq", "phase", "sub", *[F.sum(c).over(own).alias(c) for c in CHANGES]).where("phase = 1 and sub = 1")
+    at = at.join(sums, F.col("k").eqNullSafe(F.col("k_")) & (F.col("chunk") == F.col("chunk_")))
+    at = at.select("seq", *[(F.col(c) + F.col(f"{c}_")).alias(c) for c in CHANGES])
+    n, total, q = (F.col("d60") - 1).cast("double"), F.col("gap").cast("double"), F.col("square").cast("double")
+    mean = F.when(n > 0, total / F.greatest(n, F.lit(1.0)) / SECOND).otherwise(30.0)
+    cv = F.when(n == 0, 1.0).when(total > 0, F.sqrt(F.greatest(n * q - total * total, F.lit(0.0))) / total).otherwise(0.0)
+    return at.select("seq", F.col("d10").alias("n10"), F.col("d60").alias("n60"), "different", mean.alias("iat_mean"), cv.alias("iat_cv"))
 
 
 def with_target(df: DataFrame) -> DataFrame:

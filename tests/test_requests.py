@@ -60,6 +60,19 @@ def test_windows_against_brute_force(spark):
         assert g.iat_cv == pytest.approx(cv, abs=1e-4)
 
 
+def test_hot_key_is_many_groups(spark):
+    """A key with the whole of a short log: groups are of its seconds, in plans without Python; a null key is a key."""
+    rng = random.Random(4)
+    rows = [{"ts_us": T0 + i * 100_000 + rng.choice([0, 0, 7]) + (90_000_000 if i > 1500 else 0), "ip": None if i % 50 == 0 else "a", "path": f"/{rng.randrange(40)}"} for i in range(3000)]
+    df = log(spark, rows).cache()
+    got = windows.sliding(df, "ip", "path")
+    assert "Python" not in (plan := got._jdf.queryExecution().toString()) and "Pandas" not in plan
+    every = windows.events(df, "ip", "path").groupBy("k", F.floor(F.col("at") / 1_000_000)).count()
+    assert every.agg(F.max("count")).first()[0] <= 100
+    here, want = (result(x) for x in (got, windows.builtin_counts(df, "ip", "path")))
+    assert len(here) == 3000 and all((here[i].n60, here[i].different) == (want[i].n60, want[i].different) for i in want)
+
+
 def test_edges_of_the_window(spark):
     got = result(windows.features(log(spark, [{}, {"ts_us": T0 + 60_000_000}, {"ts_us": T0 + 60_000_001}])))
     assert [got[i].req_60s for i in range(3)] == [1, 2, 2]
