@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gatewatch.functions.columns import FEATURES
 from gatewatch.operators.scoring import Model, probability
 
-MODEL = "n int, w array<double>, b double, mean array<double>, std array<double>, version long"
+MODEL = "n int, w array<double>, b double, mean array<double>, std array<double>, version long, batch long"
 
 
 def honeypot_labels(decisions: DataFrame) -> DataFrame:
@@ -110,9 +110,9 @@ def retrain(seed: DataFrame, labels: DataFrame, **how) -> tuple[Model, DataFrame
     return fit(both, **how), both.groupBy("origin").agg(F.count("*").alias("n"))
 
 
-def save_model(spark: SparkSession, model: Model, path: str, version: int) -> None:
-    """A new version beside the old ones; readers take the largest, so a swap is one write."""
-    spark.createDataFrame([(len(model.w), list(model.w), model.b, list(model.mean), list(model.std), version)], MODEL).coalesce(1).write.mode("append").json(path)
+def save_model(spark: SparkSession, model: Model, path: str, version: int, batch: int | None = None) -> None:
+    """A new version beside the old ones; readers take the largest, so a swap is one write.  batch: that of online_update()."""
+    spark.createDataFrame([(len(model.w), list(model.w), model.b, list(model.mean), list(model.std), version, batch)], MODEL).coalesce(1).write.mode("append").json(path)
 
 
 def load_model(spark: SparkSession, path: str) -> Model:

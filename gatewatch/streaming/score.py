@@ -85,13 +85,13 @@ def label_stream(feedback: DataFrame, decisions_path: str, out: str, checkpoint:
 
 
 def online_update(labels: DataFrame, model_path: str, checkpoint: str, lr: float = 0.05) -> DataStreamWriter:
-    """One aggregated step per micro-batch, written as the next version; a replayed batch writes the same version."""
+    """One aggregated step per micro-batch, written as the next free version with the batch's number; a replayed batch is known by that."""
 
     def run(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         model = learning.load_model(spark, model_path)
-        last = spark.read.schema(learning.MODEL).json(model_path).agg(F.max("version")).first()[0]
-        if last < n + 1 and not batch.isEmpty():
-            learning.save_model(spark, learning.partial_fit(model, batch, lr), model_path, n + 1)
+        last = spark.read.schema(learning.MODEL).json(model_path).agg(F.max("version").alias("version"), F.max("batch").alias("batch")).first()
+        if (last.batch is None or last.batch < n) and not batch.isEmpty():
+            learning.save_model(spark, learning.partial_fit(model, batch, lr), model_path, last.version + 1, n)
 
     return labels.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)

@@ -200,6 +200,22 @@ def test_stream_equals_batch(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out/late")).first().seq == 99
 
 
+def test_online_update_after_a_retrain(spark, tmp_path):
+    """A version published in between, larger than any batch's number, holds no later batch of labels back."""
+    path = str(tmp_path / "m")
+    learning.save_model(spark, STARTING, path, 7)
+    one = ", ".join(f"{c} double" for c in FEATURES) + ", label int"
+    versions = lambda: sorted(((r.version, r.batch) for r in spark.read.schema(learning.MODEL).json(path).collect()), key=lambda v: v[0])
+    for n in (0, 1):
+        spark.createDataFrame([(*[1.0] * 15, n)], one).write.mode("append").parquet(str(tmp_path / "l"))
+        before = learning.load_model(spark, path)
+        score.online_update(spark.readStream.schema(one).parquet(str(tmp_path / "l")), path, str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        assert learning.load_model(spark, path) != before
+        if n == 0:
+            learning.save_model(spark, STARTING, path, 20)
+    assert versions() == [(7, None), (8, 0), (20, None), (21, 1)]
+
+
 def test_window_streams(spark, tmp_path):
     rows = [{"ts_us": T0 + i * 1_000_000, "ip": f"1.1.1.{i % 12}", "path": "/login"} for i in range(200)]
     log(spark, rows).write.parquet(str(tmp_path / "in"))
