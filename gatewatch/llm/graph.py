@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatewatch.llm.tables import stash
+from gatewatch.llm.tables import free, stash
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges: a, b.  Point each neighbour that is larger (or else smaller) than a node at the node's least neighbour."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = both if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    # written, so that the join can split a node with very many neighbours
+    least = stash(near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
     joined = near.join(least, "a")
     if large:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return out.where("a > b").distinct()
+    out = stash(out.where("a > b").distinct(), "edges")
+    free(least)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,7 +30,10 @@ def components(edges: DataFrame) -> DataFrame:
     mark = F.struct(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)))
     before = now.select(mark.alias("m")).first().m
     while before[0]:
-        now = stash(_star(_star(now, True), False), "edges")
+        wide = _star(now, True)
+        free(now)
+        now = _star(wide, False)
+        free(wide)
         after = now.select(mark.alias("m")).first().m
         if after == before:
             break

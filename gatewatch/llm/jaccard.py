@@ -15,6 +15,11 @@ member only.  Members of different components that still share a bucket are
 compared in a last round, so no link is lost: pair by pair in small buckets;
 in large ones by their differences from the bucket's least member, block
 against block, so that near misses of a large group never become rows.
+
+Two sets share no more tokens than the shorter of their rests from their first
+common token on, so a pair is taken up only in buckets whose token stands early
+enough in both; of buckets with the same members only the first token's is
+looked at, as it is the first that these members share.
 """
 
 from __future__ import annotations
@@ -24,11 +29,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatewatch.llm.graph import components
-from gatewatch.llm.tables import stash
+from gatewatch.llm.tables import free, sized, stash
 from gatewatch.llm.text import batches, grams, lists, word_hashes
 
 #: Tokens that are counted together inside a task.
@@ -45,9 +50,6 @@ SMALL = 32
 TOGETHER = 1000
 TOGETHER_BYTES = 16_000_000
 
-#: Rows of two numbers that are sent to every executor at most; beyond, joins shuffle.
-SENT = 1_000_000
-
 
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     """The set, ascending.  Fewer than k words: the whole sequence as one; none: empty."""
@@ -70,35 +72,37 @@ def _repeated(block: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _summary(k: int) -> Callable:
-    """Per set its size and fingerprint; per block of sets the tokens that come up more than once."""
+    """Per set its size, fingerprint and counts in bins; per block of sets the tokens that come up more than once."""
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
 
     def run(it):
         block, held, rows = [], 0, []
 
         def out(rows, tokens=(), counts=()):
             none = [None] * len(tokens)
-            ids, n, keys = zip(*rows, strict=True) if rows else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array([*ids, *none], pa.int64()), pa.array([*n, *none], pa.int64()), pa.array([*keys, *none], pa.binary()), pa.array([*[None] * len(rows), *tokens], pa.int64()), pa.array([*[None] * len(rows), *counts], pa.int64())], ["doc_id", "n", "key", "token", "count"])
+            columns = [[*c, *none] for c in (zip(*rows, strict=True) if rows else [()] * 4)]
+            columns += [[*[None] * len(rows), *c] for c in (tokens, counts)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "n", "key", "bins", "token", "count"])
 
         for doc_id, own in _sets(it, k):
-            rows.append((doc_id, len(own), xxhash.xxh3_128_digest(own.tobytes())))
+            rows.append((doc_id, len(own), xxhash.xxh3_128_digest(own.tobytes()), _in_bins(own).tobytes()))
             block.append(own)
             held += len(own)
-            if len(rows) >= 5000:
+            if len(rows) >= 2000:
                 yield out(rows)
                 rows = []
             if held >= BLOCK:
-                yield out([], *[x.view(np.int64) for x in _repeated(block)])
+                yield out([], *[x.view(np.int64).tolist() for x in _repeated(block)])
                 block, held = [], 0
         yield out(rows)
         if block:
-            yield out([], *[x.view(np.int64) for x in _repeated(block)])
+            yield out([], *[x.view(np.int64).tolist() for x in _repeated(block)])
 
     return run
 
 
-def signatures(own: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
-    """Prefix signatures of an ascending set; common: the frequent class, ascending."""
+def signatures(own: np.ndarray, common: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """Prefix signatures of an ascending set, and how many of them are single tokens; common: the frequent class, ascending."""
     n = len(own)
     d = (100 - percent) * n // 100
     at = np.searchsorted(common, own)
@@ -106,32 +110,39 @@ def signatures(own: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
     frequent[frequent] = common[at[frequent]] == own[frequent]
     rare = own[~frequent][: d + 1]
     if len(rare) == d + 1:
-        return rare
+        return rare, d + 1
     many = own[frequent][: 2 * (d - len(rare)) + 3]
-    return np.concatenate([rare, grams(many, 2)])
+    return np.concatenate([rare, grams(many, 2)]), len(rare)
 
 
 def _signed(k: int, percent: int, common) -> Callable:
+    names = ["doc_id", "n", "singles", "sigs"]
+
     def run(it):
         known = common.value
-        ids, out = [], []
+        rows, out = [], []
+
+        def batch():
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=True)]
+            return pa.RecordBatch.from_arrays([*columns, lists(out, pa.int64())], names)
+
         for doc_id, own in _sets(it, k):
-            ids.append(doc_id)
-            out.append(signatures(own, known, percent).view(np.int64) if len(own) else np.empty(0, np.int64))
-            if len(ids) == 2000:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists(out, pa.int64())], ["doc_id", "sigs"])
-                ids, out = [], []
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists(out, pa.int64())], ["doc_id", "sigs"])
+            sigs, singles = signatures(own, known, percent) if len(own) else (own, 0)
+            rows.append((doc_id, len(own), singles))
+            out.append(sigs.view(np.int64))
+            if len(rows) == 2000:
+                yield batch()
+                rows, out = [], []
+        if rows:
+            yield batch()
 
     return run
 
 
-def _tokens(k: int, short: bool) -> Callable:
+def _tokens(k: int) -> Callable:
     def run(it):
         for doc_id, own in _sets(it, k):
-            sent = _in_bins(own) if short else own
-            yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([len(own)], pa.int64()), pa.array([sent.tobytes()], pa.binary())], ["doc_id", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([len(own)], pa.int64()), pa.array([own.tobytes()], pa.binary())], ["doc_id", "n", "tokens"])
 
     return run
 
@@ -163,22 +174,29 @@ def _compared(percent: int, short: bool) -> Callable:
     return run
 
 
-def _beside(pairs: DataFrame, docs: DataFrame, k: int, short: bool) -> DataFrame:
-    """pairs: a, b and more.  The same with n_x and x, n_y and y: sizes and tokens of both sets."""
-    ids = stash(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
-    sets = docs.join(sized(ids), "doc_id", "left_semi").mapInArrow(_tokens(k, short), "doc_id long, n long, tokens binary")
-    sets = stash(sets, "sets")
+def _beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs: a, b and more; sets: doc_id, n, tokens.  The pairs with n_x and x, n_y and y: sizes and tokens of both sets."""
     x = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n_x"), F.col("tokens").alias("x"))
     y = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n_y"), F.col("tokens").alias("y"))
     return pairs.join(y, "b").join(x, "a")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _whole(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """A written table of the whole sets that pairs a, b name: doc_id, n, tokens."""
+    ids = stash(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+    sets = stash(docs.join(sized(ids), "doc_id", "left_semi").mapInArrow(_tokens(k), "doc_id long, n long, tokens binary"), "sets")
+    free(ids)
+    return sets
+
+
+def verify(pairs: DataFrame, bins: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """pairs: a, b.  Those whose sets are near enough; counts in bins rule most others out before whole sets move."""
-    for short in (True, False):
-        tested = _beside(pairs, docs, k, short).mapInArrow(_compared(percent, short), "a long, b long, linked boolean")
-        pairs = stash(tested.where("linked").select("a", "b").distinct(), "near")
-    return pairs
+    near = lambda pairs, sets, short: stash(_beside(pairs, sets).mapInArrow(_compared(percent, short), "a long, b long, linked boolean").where("linked").select("a", "b").distinct(), "near")
+    may = near(pairs, bins, True)
+    sets = _whole(may, docs, k)
+    links = near(may, sets, False)
+    free(may, sets)
+    return links
 
 
 def _apart(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,78 +270,91 @@ def _met(members: DataFrame, carried: str) -> DataFrame:
     return met.select("a", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "part", "n", carried)
 
 
-def families(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def families(members: DataFrame, bins: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """members: a, b, part.  Links between near sets b, of different parts, beside the same a: a, b.
 
     Counts in bins leave the members that may have a partner; these travel as
     their difference from a's set.
     """
-    ids = stash(members.select(F.col("b").alias("doc_id")).distinct(), "ids")
-    bins = docs.join(sized(ids), "doc_id", "left_semi").mapInArrow(_tokens(k, True), "doc_id long, n long, tokens binary")
     binned = stash(members.withColumnRenamed("b", "rep").join(bins.withColumnRenamed("doc_id", "rep"), "rep"), "binned")
     may = _met(binned, "tokens").groupBy("a", "i", "j").applyInArrow(_possible(percent), "a long, rep long, part long")
     may = stash(may.distinct().withColumnRenamed("rep", "b"), "may")
-    apart = stash(_beside(may, docs, k, False).mapInArrow(_apart, "a long, rep long, part long, n long, apart binary"), "apart")
-    return _met(apart, "apart").groupBy("a", "i", "j").applyInArrow(_family(percent), "a long, b long").distinct()
+    sets = _whole(may, docs, k)
+    apart = stash(_beside(may, sets).mapInArrow(_apart, "a long, rep long, part long, n long, apart binary"), "apart")
+    found = stash(_met(apart, "apart").groupBy("a", "i", "j").applyInArrow(_family(percent), "a long, b long").distinct(), "family-links")
+    free(binned, may, sets, apart)
+    return found
 
 
-def within(left: DataFrame, percent: int) -> DataFrame:
-    """left: sig, rep, part, n of buckets of SMALL members at most.  Pairs of different parts and like sizes: a, b."""
-    member = F.struct("rep", "part", "n")
-    lists = left.groupBy("sig").agg(F.array_sort(F.collect_list(member)).alias("m")).select("m").distinct()
-    like = lambda x, y: (x.rep < y.rep) & (x.part != y.part) & (F.lit(100) * F.least(x.n, y.n) >= F.lit(percent) * F.greatest(x.n, y.n))
-    pairs = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: like(x, y)), lambda y: F.struct(x.rep.alias("a"), y.rep.alias("b")))))
-    return lists.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+def _enough(rest: Column, n_x: Column, n_y: Column, percent: int) -> Column:
+    """Whether sets of these sizes that share ``rest`` tokens are near."""
+    return F.lit(100 + percent) * rest >= F.lit(percent) * (n_x + n_y)
 
 
-def sized(df: DataFrame, most: int = SENT) -> DataFrame:
-    """df, marked to be broadcast if it has few enough rows; df is a written table of narrow rows."""
-    return F.broadcast(df) if df.count() <= most else df
+def within(left: DataFrame, percent: int) -> DataFrame:
+    """left: sig, rep, part, n, place of buckets of SMALL members at most.  Pairs of different parts that can be near: a, b.
+
+    place: tokens of the set before the bucket's; -1 for combinations, which may stand anywhere.
+    """
+    lists = left.groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("rep", "part", "n", "place"))).alias("m"))
+    first = F.col("m")[0]["place"]
+    lists = lists.groupBy(F.transform("m", lambda x: x["rep"]).alias("reps"), (first >= 0).alias("single")).agg(F.min_by("m", first).alias("m"))
+    rest = lambda x: x["n"] - F.greatest(x["place"], F.lit(0))
+    like = lambda x, y: (x["rep"] < y["rep"]) & (x["part"] != y["part"]) & _enough(F.least(rest(x), rest(y)), x["n"], y["n"], percent)
+    pairs = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: like(x, y)), lambda y: F.struct(x["rep"].alias("a"), y["rep"].alias("b")))))
+    return lists.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
 
 
 def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, copy_of (least doc_id with an equal set), component_id.
 
-    docs: doc_id, text.  Sets without shingles (null, empty or blank texts)
-    link with nothing.  Rows that share a doc_id are one node, their sets being
-    taken from equal rows; a repeated row gives a repeated result row.  A null
-    doc_id is linked with nothing.  An empty table gives no rows.
+    docs: doc_id, text; other columns are not looked at.  Sets without shingles
+    (null, empty or blank texts) link with nothing.  Rows that share a doc_id
+    are one node, their sets being taken from equal rows; a repeated row gives
+    a repeated result row.  A null doc_id is linked with nothing.  A text of
+    any length is one set in memory, 8 bytes a word.  An empty table gives no
+    rows.  Nothing depends on the order of rows: ties are of equal sets, and of
+    these the least doc_id stands for all.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    found = stash(docs.mapInArrow(_summary(k), "doc_id long, n long, key binary, token long, count long"), "summary")
+    found = stash(docs.mapInArrow(_summary(k), "doc_id long, n long, key binary, bins binary, token long, count long"), "summary")
     sets = found.where("n is not null").select("doc_id", "n", "key")
-    # pre-aggregated: a large group of copies is one row for each task
-    firsts = sets.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("copy_of"))
-    member = stash(sets.join(firsts, "key", "left").select("doc_id", "n", F.coalesce("copy_of", "doc_id").alias("copy_of")), "members")
+    # pre-aggregated: a large group of copies is one row for each task; written, so that the join can split it
+    firsts = stash(sets.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("copies")).where("copies > 1").select("key", "copy_of"), "firsts")
+    member = stash(sets.join(sized(firsts), "key", "left").select("doc_id", "n", F.coalesce("copy_of", "doc_id").alias("copy_of")), "members")
     reps = stash(member.where("n > 0 and doc_id = copy_of").select("doc_id", "n").distinct(), "reps")
+    bins = found.where("n > 0").select("doc_id", "n", F.col("bins").alias("tokens"))
+    free(firsts)
 
     often = found.where("token is not null").groupBy("token").agg(F.sum("count").alias("count")).where(F.col("count") >= FREQUENT)
     common = np.sort(np.array([r.token for r in often.orderBy(F.desc("count"), "token").limit(LARGEST).select("token").collect()], np.int64).view(np.uint64))
     sent = spark.sparkContext.broadcast(common)  # 8 bytes * LARGEST at most
-    signed = stash(docs.mapInArrow(_signed(k, percent, sent), "doc_id long, sigs array<long>"), "signed")
-    sigs = signed.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.explode("sigs").alias("sig"))
+    signed = stash(docs.mapInArrow(_signed(k, percent, sent), "doc_id long, n int, singles int, sigs array<long>"), "signed")
+    sigs = signed.join(sized(reps.select("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", "singles", F.posexplode("sigs").alias("place", "sig"))
+    sigs = sigs.select("sig", "rep", "n", F.when(F.col("place") < F.col("singles"), F.col("place")).otherwise(-1).alias("place"))
     shared = stash(sigs.groupBy("sig").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("sig", "a"), "shared")
-    buckets = stash(sigs.join(sized(shared), "sig"), "buckets")
-    size = lambda name, n: sized(reps.select(F.col("doc_id").alias(name), F.col("n").alias(n)))
-    near = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
-    tried = buckets.where("rep > a").select("a", F.col("rep").alias("b")).distinct()
-    tried = stash(tried.join(size("a", "n_a"), "a").join(size("b", "n_b"), "b").where(near).select("a", "b"), "pairs")
-    links = verify(tried, docs, k, percent)
+    buckets = stash(sigs.join(shared, "sig"), "buckets")
+    free(signed, shared)
+    tried = buckets.where("rep > a").join(sized(reps.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"))), "a")
+    tried = tried.where(_enough(F.least("n_a", F.col("n") - F.greatest("place", F.lit(0))), F.col("n"), F.col("n_a"), percent))
+    tried = stash(tried.select("a", F.col("rep").alias("b")).distinct(), "pairs")
+    links = verify(tried, bins, docs, k, percent)
     label = stash(components(links), "labels")
 
-    # members of different components in one bucket
-    placed = buckets.join(label, F.col("rep") == F.col("node"), "left").select("sig", "a", "rep", F.coalesce("component_id", "rep").alias("part"))
-    # the least member has been compared with the others
-    placed = placed.where("rep != a")
-    split = placed.groupBy("sig").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("members")).where("p < q").select("sig", "members")
-    left = stash(placed.join(split, "sig").select("sig", "a", "rep", "part", "members"), "split")
-    few = left.where(F.col("members") <= SMALL).join(size("rep", "n"), "rep").select("sig", "rep", "part", "n")
-    more = verify(stash(within(few, percent).join(tried, ["a", "b"], "left_anti"), "pairs"), docs, k, percent)
+    # members of different components in one bucket; the least member has been compared with the others
+    placed = buckets.where("rep != a").join(label, F.col("rep") == F.col("node"), "left").select("sig", "a", "rep", "n", "place", F.coalesce("component_id", "rep").alias("part"))
+    split = stash(placed.groupBy("sig").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("members")).where("p < q").select("sig", "members"), "split")
+    left = stash(placed.join(split, "sig"), "left")
+    free(buckets, split)
+    rest = stash(within(left.where(F.col("members") <= SMALL), percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+    more = verify(rest, bins, docs, k, percent)
     many = stash(left.where(F.col("members") > SMALL).select("a", F.col("rep").alias("b"), "part").distinct(), "families")
+    free(left, rest, tried)
     if not many.isEmpty():
-        more = stash(more.unionByName(families(many, docs, k, percent)), "more")
+        more = stash(more.unionByName(families(many, bins, docs, k, percent)), "more")
     if not more.isEmpty():
         label = stash(components(links.unionByName(more)), "labels")
+    free(many, found, reps)
     out = member.join(label, F.col("copy_of") == F.col("node"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "copy_of", F.coalesce("component_id", "copy_of").alias("component_id"))
