@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 BOT_TOKENS = ("bot", "spider", "crawler", "slurp", "curl", "wget", "python-requests", "python-urllib", "aiohttp", "scrapy", "httpclient", "okhttp", "go-http-client", "java/", "headless", "phantomjs", "puppeteer", "playwright")
 SENSITIVE = ("/login", "/signup", "/checkout", "/password-reset", "/api/token")
 BAD_PREFIXES = ("185.", "45.", "193.")
+# The features in the order of a vector.
 FEATURES = ("req_10s", "req_60s", "distinct_paths_60s", "iat_mean", "iat_cv", "ua_missing", "ua_bot_token", "accept_missing", "accept_lang_missing", "cookie_missing", "honeypot_filled", "ip_reputation", "asn_datacenter", "target_req_60s", "target_distinct_ips_60s")
 BUCKET_US = 5_000_000
 
@@ -16,12 +19,14 @@ BUCKET_US = 5_000_000
 VISIBLE = r"[^\s\x1c-\x1f\x85\p{Z}]"
 
 
+#: A whole path segment that is an id.
+ID_SEGMENT = r"(^|/)(?:[0-9]+|[0-9a-fA-F]{12,}|[0-9a-fA-F-]{16,})(?=/|$)"
+
+
 def route_of(path: Column) -> Column:
     """The path without query and trailing slashes, ids as {id}; empty: /."""
-    bare = F.rtrim(F.split(path, r"\?", 2)[0], F.lit("/"))
-    is_id = lambda s: s.rlike(r"^([0-9]+|[0-9a-fA-F]{12,}|[0-9a-fA-F-]{16,})$")
-    joined = F.array_join(F.transform(F.split(bare, "/"), lambda s: F.when(is_id(s), "{id}").otherwise(s)), "/")
-    return F.when(joined == "", "/").otherwise(joined)
+    bare = F.rtrim(F.substring_index(path, "?", 1), F.lit("/"))
+    return F.when(bare == "", "/").otherwise(F.regexp_replace(bare, ID_SEGMENT, "$1{id}"))
 
 
 def target_of(route: Column, asn_type: Column) -> Column:
@@ -41,7 +46,7 @@ def header_flags() -> dict[str, Column]:
     agent = F.lower(F.coalesce("user_agent", F.lit("")))
     return {
         "ua_missing": missing("user_agent"),
-        "ua_bot_token": flag(agent.rlike("|".join(t.replace(".", r"\.") for t in BOT_TOKENS))),
+        "ua_bot_token": flag(reduce(lambda a, b: a | b, [agent.contains(t) for t in BOT_TOKENS])),
         "accept_missing": missing("accept"),
         "accept_lang_missing": missing("accept_language"),
         "cookie_missing": missing("cookie"),

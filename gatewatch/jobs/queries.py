@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatewatch.functions.columns import BAD_PREFIXES, BOT_TOKENS, FEATURES, SENSITIVE, bucket_of, clamped, header_flags, route_of, vector
 from gatewatch.operators import learning, reports, sketch, windows
-from gatewatch.operators.scoring import STARTING, check, probability, rounded
-from gatewatch.sources.requests import request_log
+from gatewatch.operators.scoring import STARTING, Model, check, probability, rounded
+from gatewatch.sources.requests import parse, request_log
+from gatewatch.streaming import score as streams
 
 #: The end of the squeezed month.
 NOW_US = 1704067200000000 + 864_000_000
@@ -28,15 +31,19 @@ def blocklist(log: DataFrame) -> DataFrame:
     return log.select("ip").distinct().where(F.col("ip").rlike(r"\.13\.7$"))
 
 
-def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: A model that misses bots, for reviews and comparisons.
+QUIET = replace(STARTING, b=-3.0)
+
+
+def checked(spark: SparkSession, sf_dir: str, model: Model = STARTING) -> DataFrame:
     log = request_log(spark, sf_dir)
-    return check(log, STARTING, reputation(log), blocklist(log))
+    return check(log, model, reputation(log), blocklist(log), keep=("seq", "ts_us", "ip"))
 
 
-def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sessions(spark: SparkSession, sf_dir: str, model: Model = STARTING) -> DataFrame:
     users = _read(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), "user_id")
     u = F.col("user_id") % 10
-    scored = checked(spark, sf_dir).join(users, "seq")
+    scored = checked(spark, sf_dir, model).join(users, "seq")
     return reports.session_verdicts(scored.select("seq", "action", "request_id", F.col("user_id").alias("session_id"), F.concat(F.lit("a"), u.cast("string")).alias("archetype"), u.isin(0, 1, 2, 4).cast("int").alias("label")))
 
 
@@ -60,23 +67,27 @@ def request_flags(spark, sf_dir):
 
 def feature_rows(spark, sf_dir):
     log = request_log(spark, sf_dir)
-    return windows.features(log, reputation(log)).select("seq", *[F.col(c) if c == "iat_mean" else F.round(c, 6).alias(c) for c in FEATURES])
+    return windows.features(log, reputation(log), keep=("seq",)).select("seq", *[F.col(c) if c == "iat_mean" else F.round(c, 6).alias(c) for c in FEATURES])
 
 
 def feature_vectors(spark, sf_dir):
+    """Each vector with its places as weights, so that no other order gives the same."""
     log = request_log(spark, sf_dir)
-    total = F.aggregate(vector(), F.lit(0.0), lambda a, x: a + x)
-    return windows.features(log, reputation(log)).select("seq", F.round(total, 4).alias("total"), F.size(vector()).alias("width"))
+    total = F.aggregate(F.transform(vector(), lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return windows.features(log, reputation(log), keep=("seq",)).select("seq", F.round(total, 4).alias("total"), F.size(vector()).alias("width"))
 
 
 def bucketed_rates(spark, sf_dir):
-    log = windows.with_target(request_log(spark, sf_dir))
-    ip, target = (windows.bucketed_rate(log, key, 60).withColumnRenamed("rate", f"{key}_rate") for key in ("ip", "target"))
-    return ip.join(target, "seq")
+    log = windows.with_target(request_log(spark, sf_dir)).select("seq", "ts_us", "ip", "target")
+    rates = windows.bucketed_rate(windows.bucketed_rate(log, "ip"), "target")
+    return rates.select("seq", *[F.col(f"{key}_rate").cast("long").alias(f"{key}_rate") for key in ("ip", "target")])
 
 
 def tail_windows(spark, sf_dir):
-    return windows.tail_features(request_log(spark, sf_dir), "ip", "path")
+    log = windows.with_target(request_log(spark, sf_dir)).select("seq", "ts_us", "ip", "path", "target")
+    tails = windows.tail_features(windows.tail_features(log, "ip", "path"), "target", "ip")
+    counts = [F.col(c).cast("long").alias(c) for c in ("ip_n", "ip_different", "target_n", "target_different")]
+    return tails.select("seq", *counts, F.col("ip_iat_mean").alias("iat_mean"), F.round("ip_iat_cv", 6).alias("iat_cv"))
 
 
 def rule_hits(spark, sf_dir):
@@ -84,11 +95,13 @@ def rule_hits(spark, sf_dir):
 
 
 def decisions(spark, sf_dir):
-    return checked(spark, sf_dir).select("seq", "request_id", "action", F.round("score", 4).alias("score"), F.round("model_proba", 4).alias("model_proba"), F.size("reasons").alias("n_reasons"), F.col("challenge_token").isNotNull().alias("challenged"))
+    # the model's own line holds a rounded number, which is in model_proba
+    said = F.array_join(F.filter("reasons", lambda r: ~r.startswith("model p(bot)")), "; ")
+    return checked(spark, sf_dir).select("seq", "request_id", "action", F.round("score", 4).alias("score"), F.round("model_proba", 4).alias("model_proba"), F.size("reasons").alias("n_reasons"), said.alias("reasons"), "challenge_token")
 
 
 def client_view(spark, sf_dir):
-    return rounded(checked(spark, sf_dir)).select("request_id", "action", F.round(F.col("rule_score"), 3).alias("rule_score"))
+    return rounded(checked(spark, sf_dir)).select("request_id", "action", "score", "model_proba", "rule_score", "challenge_token")
 
 
 def decisions_by_target(spark, sf_dir):
@@ -158,12 +171,69 @@ def class_shares(spark, sf_dir):
 
 
 def review_picks(spark, sf_dir):
-    return learning.review_picks(sessions(spark, sf_dir))
+    return learning.review_picks(sessions(spark, sf_dir, QUIET))
+
+
+def review_requests(spark, sf_dir):
+    picks = learning.review_picks(sessions(spark, sf_dir, QUIET))
+    return learning.review_requests(picks, _read(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq")))
+
+
+def before_after(spark, sf_dir):
+    return reports.before_after(sessions(spark, sf_dir, QUIET), sessions(spark, sf_dir))
+
+
+def labelled_features(spark, sf_dir):
+    users = _read(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), (F.col("user_id") % 10).isin(0, 1, 2, 4).cast("int").alias("label"))
+    return learning.dataset(checked(spark, sf_dir), users).select("seq", "label", "req_60s", "target_distinct_ips_60s", F.round("iat_cv", 6).alias("iat_cv"))
+
+
+def online_step(spark, sf_dir):
+    """The starting model after one step over the operators' labels, by place; the bias last."""
+    model = learning.partial_fit(STARTING, learning.resolve_feedback(feedback(spark, sf_dir), checked(spark, sf_dir))[0], lr=1e-5)
+    return spark.createDataFrame([*enumerate([*model.w, model.b])], "place int, weight double").select("place", F.round("weight", 6).alias("weight"))
+
+
+def json_requests(spark, sf_dir):
+    return parse(_lines(spark, sf_dir))[0].groupBy("ip", "path", "asn_type", "ts_us").agg(F.count("*").alias("n"))
+
+
+def json_quarantine(spark, sf_dir):
+    return parse(_lines(spark, sf_dir))[1].groupBy("line").agg(F.count("*").alias("n"))
+
+
+def _lines(spark, sf_dir):
+    """The log as JSON lines with fields left out, others that are no JSON, and times that are no numbers."""
+    log = request_log(spark, sf_dir)
+    fields = F.struct("ip", F.when(F.col("seq") % 5 != 0, F.col("path")).alias("path"), F.when(F.col("seq") % 3 != 0, F.col("asn_type")).alias("asn_type"), F.format_string("%d.%06d", F.expr("ts_us div 1000000"), F.expr("ts_us % 1000000")).alias("ts"))
+    line = F.when(F.col("seq") % 17 == 0, F.concat(F.lit("GET "), "path")).when(F.col("seq") % 19 == 0, '{"ts":"soon"}').otherwise(F.to_json(fields))
+    return log.select(line.alias("value"))
+
+
+def tumbling_actions(spark, sf_dir):
+    return streams.action_counts(checked(spark, sf_dir)).select(F.unix_seconds("start").alias("t"), "action", "n")
+
+
+def endpoint_pressure(spark, sf_dir):
+    return streams.endpoint_pressure(request_log(spark, sf_dir)).select(F.unix_seconds("start").alias("t"), "target", "n")
+
+
+def key_rates(spark, sf_dir):
+    return streams.key_rates(request_log(spark, sf_dir)).select(F.unix_seconds("start").alias("t"), "ip", "n")
+
+
+def dashboard_page(spark, sf_dir):
+    """Counters, labels by source and the features that weigh most in the starting model."""
+    scored = checked(spark, sf_dir)
+    labels = learning.resolve_feedback(feedback(spark, sf_dir), scored)[0].select("label_source").unionByName(learning.honeypot_labels(scored).select("label_source"))
+    page = reports.dashboard(scored, blocklist(request_log(spark, sf_dir)), labels, learning.weights_report(spark, STARTING, 3))
+    said = F.array_join(F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat_ws(":", e["key"], e["value"])), ",")
+    return page.select("decisions", "block", "blocklist_size", said.alias("labels"), F.array_join("top_features", ",").alias("top_features"))
 
 
 def feature_scaler(spark, sf_dir):
     log = request_log(spark, sf_dir)
-    s = learning.scaler(windows.features(log)).select(F.posexplode(F.arrays_zip("mean", "std")).alias("place", "s"))
+    s = learning.scaler(windows.features(log, keep=("seq",))).select(F.posexplode(F.arrays_zip("mean", "std")).alias("place", "s"))
     return s.select("place", F.round("s.mean", 4).alias("mean"), F.round("s.std", 4).alias("std"))
 
 
@@ -179,17 +249,25 @@ def retrained_accuracy(spark, sf_dir):
 
 
 def sketch_rates(spark, sf_dir):
-    """Count-min estimates of each IP's last minute beside the truth; the estimate is never less."""
+    """Each IP's true last minute, and whether the count-min estimate is never less and at most 2 % of all more."""
     log = request_log(spark, sf_dir)
     at = 1704067200000000 + 432_000_000
     bucket = bucket_of(F.col("ts_us"))
     true = log.where((F.col("ts_us") <= at) & (bucket >= bucket_of(F.lit(at - 60_000_000)))).groupBy(F.col("ip").alias("key")).agg(F.count("*").alias("n"))
-    return sketch.windowed(log, "ip", at, 60).join(true, "key", "left").select("key", "estimate", F.coalesce("n", F.lit(0)).alias("n"))
+    most = log.count() / 50
+    n = F.coalesce("n", F.lit(0))
+    return sketch.windowed(log, "ip", at, 60).join(true, "key", "left").select("key", n.alias("n"), (F.col("estimate") >= n).alias("covered"), (F.col("estimate") <= n + most).alias("near"))
 
 
 def sketch_heavy_hitters(spark, sf_dir):
+    """Of all IPs the true counts, whether the estimate covers and nears them, and whether the ten largest are reported."""
     log = request_log(spark, sf_dir)
-    return sketch.heavy_hitters(sketch.estimate(sketch.build(log, F.col("ip")), log.select(F.col("ip").alias("key"))))
+    found = sketch.estimate(sketch.build(log, F.col("ip")), log.select(F.col("ip").alias("key")))
+    true, most = log.groupBy(F.col("ip").alias("key")).agg(F.count("*").alias("n")), log.count() / 50
+    top = sketch.heavy_hitters(found).select("key", F.lit(True).alias("reported"))
+    largest = true.orderBy(F.desc("n"), "key").limit(1).select("key", F.lit(True).alias("largest"))
+    both = found.join(true, "key").join(top, "key", "left").join(largest, "key", "left")
+    return both.select("key", "n", (F.col("estimate") >= F.col("n")).alias("covered"), (F.col("estimate") <= F.col("n") + most).alias("near"), (F.coalesce("reported", F.lit(False)) | F.col("largest").isNull()).alias("reported"))
 
 
 def sketch_total(spark, sf_dir):
@@ -197,10 +275,15 @@ def sketch_total(spark, sf_dir):
 
 
 def approx_target_ips(spark, sf_dir):
-    return sketch.distinct_ips(windows.with_target(request_log(spark, sf_dir)), NOW_US - 60_000_000, 300)
+    """Each target's true number of IPs, and whether the estimate is within 5 %."""
+    log, at = windows.with_target(request_log(spark, sf_dir)), NOW_US - 60_000_000
+    recent = (F.col("ts_us") <= at) & (bucket_of(F.col("ts_us")) >= bucket_of(F.lit(at - 300_000_000)))
+    true = log.where(recent).groupBy("target").agg(F.count_distinct("ip").alias("ips"))
+    near = F.abs(F.col("approx_ips") - F.col("ips")) <= F.greatest(F.lit(1.0), F.col("ips") / 20)
+    return sketch.distinct_ips(log, at, 300).join(true, "target").select("target", "ips", near.alias("near"))
 
 
-_LOCAL = [routes, request_flags, feature_rows, feature_vectors, bucketed_rates, tail_windows, rule_hits, decisions, client_view, decisions_by_target, decisions_by_action, honeypot_labels, feedback_labels, feedback_rejected, labels_by_source, tracked_keys, dashboard_counters, challenge_outcomes, recent_decisions, action_timeseries, session_verdicts, confusion_matrix, archetype_actions, class_shares, review_picks, feature_scaler, retrained_accuracy, sketch_rates, sketch_heavy_hitters, sketch_total, approx_target_ips]
+_LOCAL = [routes, request_flags, feature_rows, feature_vectors, bucketed_rates, tail_windows, rule_hits, decisions, client_view, decisions_by_target, decisions_by_action, honeypot_labels, feedback_labels, feedback_rejected, labels_by_source, tracked_keys, dashboard_counters, challenge_outcomes, recent_decisions, action_timeseries, session_verdicts, confusion_matrix, archetype_actions, class_shares, review_picks, review_requests, before_after, labelled_features, online_step, json_requests, json_quarantine, tumbling_actions, endpoint_pressure, key_rates, dashboard_page, feature_scaler, retrained_accuracy, sketch_rates, sketch_heavy_hitters, sketch_total, approx_target_ips]
 QUERIES = {f.__name__: f for f in _LOCAL}
 
 # --- the same in SQL ---------------------------------------------------------
@@ -226,24 +309,42 @@ feat AS (SELECT *, n10::DOUBLE AS req_10s, n60::DOUBLE AS req_60s, paths::DOUBLE
   CASE WHEN n60 = 1 THEN 1.0 WHEN ts_us = t0 THEN 0.0 ELSE sqrt(greatest(0.0, (n60 - 1) * q - (ts_us - t0)::DOUBLE * (ts_us - t0))) / (ts_us - t0) END AS iat_cv, tn::DOUBLE AS target_req_60s, tips::DOUBLE AS target_distinct_ips_60s,
   CAST(regexp_extract(ip, '\.([0-9]+)\.7$', 1) AS VARCHAR) AS octet, CASE WHEN regexp_matches(ip, '^(""" + "|".join(p.replace(".", r"\.") for p in BAD_PREFIXES) + r""")') THEN 0.8 ELSE 0.0 END AS known FROM win),
 rep AS (SELECT *, CASE WHEN octet <> '' AND TRY_CAST(octet AS BIGINT) % 9 = 0 THEN greatest(0.0, least(1.0, TRY_CAST(octet AS DOUBLE) / 100 - 0.5)) ELSE known END AS ip_reputation, ip LIKE '%.13.7' AS blocked FROM feat)"""
+# What the rules are to say, stated apart from the code under test.
 _SOFT = [
-    ("ua_missing", "ua_missing = 1", 2.0), ("ua_bot_token", "ua_bot_token = 1", 3.0), ("accept_missing", "accept_missing = 1", 1.0), ("accept_lang_missing", "accept_lang_missing = 1", 1.0), ("cookie_missing", "cookie_missing = 1", 1.0),
-    ("high_velocity", "req_60s > 20", 2.0), ("path_scan", "distinct_paths_60s > 15", 2.0), ("robotic_timing", "req_60s >= 6 AND iat_cv < 0.15", 3.0), ("datacenter_ip", "asn_datacenter = 1", 1.5), ("bad_reputation", "ip_reputation > 0.6", 2.5),
-    ("distributed_attack", "swarm", 3.5), ("distributed_attack_sensitive", "swarm AND sensitive", 2.5), ("sensitive_endpoint_pressure", "sensitive AND target_req_60s >= 15", 1.5),
-]
+    ("ua_missing", "ua_missing = 1", 2.0, "no User-Agent header"),
+    ("ua_bot_token", "ua_bot_token = 1", 3.0, "User-Agent names a script or crawler"),
+    ("accept_missing", "accept_missing = 1", 1.0, "no Accept header"),
+    ("accept_lang_missing", "accept_lang_missing = 1", 1.0, "no Accept-Language header"),
+    ("cookie_missing", "cookie_missing = 1", 1.0, "no session cookie"),
+    ("high_velocity", "req_60s > 20", 2.0, "more than 20 requests in 60s"),
+    ("path_scan", "distinct_paths_60s > 15", 2.0, "hit more than 15 distinct paths in 60s"),
+    ("robotic_timing", "req_60s >= 6 AND iat_cv < 0.15", 3.0, "near-constant gap between requests"),
+    ("datacenter_ip", "asn_datacenter = 1", 1.5, "request from a hosting/datacenter network"),
+    ("bad_reputation", "ip_reputation > 0.6", 2.5, "IP has poor historical reputation"),
+    ("distributed_attack", "swarm", 3.5, "this endpoint is under coordinated load from many IPs at once"),
+    ("distributed_attack_sensitive", "swarm AND sensitive", 2.5, "coordinated load on a login/signup-class endpoint"),
+    ("sensitive_endpoint_pressure", "sensitive AND target_req_60s >= 15", 1.5, "elevated traffic to a login/signup-class endpoint"),
+]
 _Z = " + ".join([f"({STARTING.b})", *[f"({w}) * ({c} - {m}) / {s}" for c, w, m, s in zip(FEATURES, STARTING.w, STARTING.mean, STARTING.std, strict=True)]])
+_Z_QUIET = _Z.replace(f"({STARTING.b})", f"({QUIET.b})", 1)
 _DEC = _FEAT + f""",
 pre AS (SELECT *, route IN ({_SENSITIVE}) AS sensitive, target_distinct_ips_60s >= 10 AND target_req_60s >= 30 AS swarm, 1 / (1 + exp(-({_Z}))) AS model_proba,
   CASE WHEN blocked THEN 'ip is on the blocklist' WHEN honeypot_filled <> 0 THEN 'honeypot form field was filled in' WHEN req_10s > 50 THEN 'impossible request rate' END AS hard_reason FROM rep),
-ruled AS (SELECT *, CASE WHEN hard_reason IS NOT NULL THEN 1.0 ELSE least(1.0, ({" + ".join(f"CASE WHEN {c} THEN {w} ELSE 0 END" for _, c, w in _SOFT)}) / 8.0) END::DOUBLE AS rule_score,
-  CASE WHEN blocked THEN ['blocklist'] WHEN honeypot_filled <> 0 THEN ['honeypot'] WHEN req_10s > 50 THEN ['velocity_hard'] ELSE list_filter([{", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c, _ in _SOFT)}], lambda x: x IS NOT NULL) END AS hits FROM pre),
+ruled AS (SELECT *, CASE WHEN hard_reason IS NOT NULL THEN 1.0 ELSE least(1.0, ({" + ".join(f"CASE WHEN {c} THEN {w} ELSE 0 END" for _, c, w, _ in _SOFT)}) / 8.0) END::DOUBLE AS rule_score,
+  CASE WHEN blocked THEN ['blocklist'] WHEN honeypot_filled <> 0 THEN ['honeypot'] WHEN req_10s > 50 THEN ['velocity_hard'] ELSE list_filter([{", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c, _, _ in _SOFT)}], lambda x: x IS NOT NULL) END AS hits FROM pre),
 blend AS (SELECT *, 0.4 * rule_score + 0.6 * model_proba AS mixed FROM ruled),
 esc AS (SELECT *, hard_reason IS NULL AND list_contains(hits, 'distributed_attack_sensitive') AND mixed < 0.45 AS escalated FROM blend),
-fin AS (SELECT *, CASE WHEN hard_reason IS NOT NULL THEN 1.0 WHEN escalated THEN 0.45 ELSE mixed END AS score, 'req-' || seq AS request_id FROM esc),
+said AS (SELECT *, CASE WHEN hard_reason IS NOT NULL THEN hard_reason ELSE array_to_string(list_filter([{", ".join(f"CASE WHEN {c} THEN '{n}: {r}' END" for n, c, _, r in _SOFT)}, CASE WHEN escalated THEN 'escalated to CHALLENGE by a high-confidence rule' END], lambda x: x IS NOT NULL), '; ') END AS reasons FROM esc),
+fin AS (SELECT *, CASE WHEN hard_reason IS NOT NULL THEN 1.0 WHEN escalated THEN 0.45 ELSE mixed END AS score, 'req-' || seq AS request_id FROM said),
 dec AS (SELECT *, CASE WHEN hard_reason IS NOT NULL OR score >= 0.8 THEN 'BLOCK' WHEN score >= 0.45 THEN 'CHALLENGE' ELSE 'ALLOW' END AS action FROM fin),
 fb AS (SELECT 'req-' || seq AS request_id, (user_id % 2)::INT AS label FROM e WHERE k % 10 = 0 UNION ALL SELECT 'req-x' || o_orderkey, 1 FROM orders),
 ses AS (SELECT user_id AS session_id, 'a' || user_id % 10 AS archetype, (user_id % 10 IN (0, 1, 2, 4))::INT AS label, max_by(action, seq) AS action, max_by(request_id, seq) AS request_id, min(seq) AS session_seq FROM dec GROUP BY 1, 2, 3),
 flagged AS (SELECT *, action <> 'ALLOW' AS hit FROM ses)"""
+_DEC_QUIET = _DEC.replace(_Z, _Z_QUIET)
+_PICKS = "f AS (SELECT min(session_seq) AS m FROM ses WHERE label = 1 AND action = 'ALLOW'), picks AS (SELECT session_id, label FROM ses, f WHERE action = 'ALLOW' AND (label = 1 OR (right(request_id, 1) IN ('0', '2', '4', '6', '8') AND session_seq > m)))"
+_TOKEN = "CASE WHEN action = 'CHALLENGE' THEN 'chal-' || left(sha256(request_id), 16) END AS challenge_token"
+_LINES = _REQ + """, lines AS (SELECT seq, CASE WHEN seq % 17 = 0 THEN 'GET ' || path WHEN seq % 19 = 0 THEN '{"ts":"soon"}' END AS bad, ip, CASE WHEN seq % 5 <> 0 THEN path ELSE '/' END AS path, CASE WHEN seq % 3 <> 0 THEN asn_type ELSE 'residential' END AS asn_type, ts_us FROM log)"""
+_WEIGHTS = [*enumerate(zip(FEATURES, STARTING.w, STARTING.mean, STARTING.std, strict=True))]
 _ROUND = ", ".join(c if c == "iat_mean" else f"round({c}, 6) AS {c}" for c in FEATURES)
 _COUNT3 = "count(*) FILTER (action = 'ALLOW') AS \"ALLOW\", count(*) FILTER (action = 'CHALLENGE') AS \"CHALLENGE\", count(*) FILTER (action = 'BLOCK') AS \"BLOCK\""
 
@@ -251,12 +352,15 @@ ORACLES = {
     "routes": f"WITH {_REQ}, p AS (SELECT path FROM log UNION ALL SELECT regexp_replace(url, '^[a-z]+://[^/]*', '') FROM pages), b AS (SELECT path, string_split(rtrim(split_part(path, '?', 1), '/'), '/') AS s FROM p), r AS (SELECT path, array_to_string(list_transform(s, lambda x: CASE WHEN regexp_full_match(x, '[0-9]+|[0-9a-fA-F]{{12,}}|[0-9a-fA-F-]{{16,}}') THEN '{{id}}' ELSE x END), '/') AS r FROM b) SELECT path, CASE WHEN r = '' THEN '/' ELSE r END AS route, count(*) AS n FROM r GROUP BY 1, 2",
     "request_flags": f"WITH {_REQ} SELECT seq, target, ts_us // 5000000 AS bucket, route IN ({_SENSITIVE}) AS sensitive, ua_missing, ua_bot_token, accept_missing, accept_lang_missing, cookie_missing, honeypot_filled, asn_datacenter FROM flags",
     "feature_rows": f"WITH {_FEAT} SELECT seq, {_ROUND} FROM rep",
-    "feature_vectors": f"WITH {_FEAT} SELECT seq, round({' + '.join(FEATURES)}, 4) AS total, 15::INT AS width FROM rep",
+    "feature_vectors": f"WITH {_FEAT} SELECT seq, round({' + '.join(f'{i + 1} * {c}' for i, c in enumerate(FEATURES))}, 4) AS total, 15::INT AS width FROM rep",
     "bucketed_rates": f"WITH {_REQ}, b AS (SELECT *, ts_us // 5000000 AS bucket FROM flags), o AS (SELECT *, " + ", ".join(f"count(*) OVER (PARTITION BY {k} ORDER BY bucket RANGE BETWEEN 12 PRECEDING AND CURRENT ROW) - count(*) OVER (PARTITION BY {k}, bucket) + row_number() OVER (PARTITION BY {k}, bucket ORDER BY ts_us, seq) AS {k}_rate" for k in ("ip", "target")) + " FROM b) SELECT seq, ip_rate, target_rate FROM o",
-    "tail_windows": f"WITH {_REQ}, r AS (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY ts_us, seq) AS rn FROM log) SELECT a.seq, count(*) AS n, count(DISTINCT b.path) AS different FROM r a JOIN r b ON a.ip = b.ip AND b.rn > a.rn - 64 AND b.rn <= a.rn AND b.ts_us >= a.ts_us - 60000000 GROUP BY 1",
+    "tail_windows": f"WITH {_REQ}, r AS (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY ts_us, seq) AS rn, row_number() OVER (PARTITION BY target ORDER BY ts_us, seq) AS tn, ts_us - lag(ts_us) OVER (PARTITION BY ip ORDER BY ts_us, seq) AS gap FROM flags), "
+    "i AS (SELECT a.seq, count(*) AS ip_n, count(DISTINCT b.path) AS ip_different, max(b.ts_us) - min(b.ts_us) AS total, sum((b.gap * b.gap)::DOUBLE) - min_by(coalesce(b.gap * b.gap, 0), b.rn) AS q FROM r a JOIN r b ON a.ip = b.ip AND b.rn > a.rn - 64 AND b.rn <= a.rn AND b.ts_us >= a.ts_us - 60000000 GROUP BY 1), "
+    "t AS (SELECT a.seq, count(*) AS target_n, count(DISTINCT b.ip) AS target_different FROM r a JOIN r b ON a.target = b.target AND b.tn > a.tn - 64 AND b.tn <= a.tn AND b.ts_us >= a.ts_us - 60000000 GROUP BY 1) "
+    "SELECT seq, ip_n, ip_different, target_n, target_different, CASE WHEN ip_n > 1 THEN total / (ip_n - 1) / 1e6 ELSE 30.0 END AS iat_mean, round(CASE WHEN ip_n = 1 THEN 1.0 WHEN total = 0 THEN 0.0 ELSE sqrt(greatest(0.0, (ip_n - 1) * q - total::DOUBLE * total)) / total END, 6) AS iat_cv FROM i JOIN t USING (seq)",
     "rule_hits": f"WITH {_DEC} SELECT seq, hard_reason, round(rule_score, 6) AS rule_score, array_to_string(hits, ',') AS hits FROM dec",
-    "decisions": f"WITH {_DEC} SELECT seq, request_id, action, round(score, 4) AS score, round(model_proba, 4) AS model_proba, CASE WHEN hard_reason IS NOT NULL THEN 1 ELSE len(hits) + 1 + escalated::INT END::INT AS n_reasons, action = 'CHALLENGE' AS challenged FROM dec",
-    "client_view": f"WITH {_DEC} SELECT request_id, action, round(rule_score, 3) AS rule_score FROM dec",
+    "decisions": f"WITH {_DEC} SELECT seq, request_id, action, round(score, 4) AS score, round(model_proba, 4) AS model_proba, CASE WHEN hard_reason IS NOT NULL THEN 1 ELSE len(hits) + 1 + escalated::INT END::INT AS n_reasons, reasons, {_TOKEN} FROM dec",
+    "client_view": f"WITH {_DEC} SELECT request_id, action, round(score, 3) AS score, round(model_proba, 3) AS model_proba, round(rule_score, 3) AS rule_score, {_TOKEN} FROM dec",
     "decisions_by_target": f"WITH {_DEC} SELECT target, action, count(*) AS n, round(avg(score), 4) AS mean_score FROM dec GROUP BY 1, 2",
     "decisions_by_action": f"WITH {_DEC} SELECT action, count(*) AS n FROM dec GROUP BY 1",
     "honeypot_labels": f"WITH {_DEC} SELECT request_id, 1::INT AS label, 'honeypot' AS label_source, req_60s FROM dec WHERE honeypot_filled <> 0",
@@ -272,7 +376,20 @@ ORACLES = {
     "confusion_matrix": f"WITH {_DEC}, c AS (SELECT count(*) FILTER (label = 1 AND hit) AS tp, count(*) FILTER (label = 1 AND NOT hit) AS fn, count(*) FILTER (label = 0 AND NOT hit) AS tn, count(*) FILTER (label = 0 AND hit) AS fp FROM flagged) SELECT tp, fn, tn, fp, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall FROM c",
     "archetype_actions": f"WITH {_DEC} SELECT archetype, {_COUNT3} FROM ses GROUP BY 1",
     "class_shares": f"WITH {_DEC} SELECT label, round(avg((NOT hit)::INT), 6) AS allowed, round(avg(hit::INT), 6) AS flagged FROM flagged GROUP BY 1",
-    "review_picks": f"WITH {_DEC}, f AS (SELECT min(session_seq) AS m FROM ses WHERE label = 1 AND action = 'ALLOW') SELECT session_id, label FROM ses, f WHERE action = 'ALLOW' AND (label = 1 OR (right(request_id, 1) IN ('0', '2', '4', '6', '8') AND session_seq > m))",
+    "review_picks": f"WITH {_DEC_QUIET}, {_PICKS} SELECT session_id, label FROM picks",
+    "review_requests": f"WITH {_DEC_QUIET}, {_PICKS} SELECT session_id, e.seq, label FROM picks JOIN e ON session_id = user_id",
+    "before_after": f"WITH quiet AS (WITH {_DEC_QUIET} SELECT archetype, count(*) FILTER (action <> 'ALLOW') AS flagged_before FROM ses GROUP BY 1), usual AS (WITH {_DEC} SELECT archetype, count(*) FILTER (action <> 'ALLOW') AS flagged_after FROM ses GROUP BY 1) SELECT * FROM quiet JOIN usual USING (archetype)",
+    "labelled_features": f"WITH {_DEC} SELECT seq, (user_id % 10 IN (0, 1, 2, 4))::INT AS label, req_60s, target_distinct_ips_60s, round(iat_cv, 6) AS iat_cv FROM dec",
+    "online_step": f"WITH {_DEC}, l AS (SELECT dec.*, model_proba - fb.label AS error FROM fb JOIN dec USING (request_id)) " + " UNION ALL ".join([*(f"SELECT {i}::INT AS place, round({w} - 1e-5 * sum(error * ({c} - {m}) / {sd}), 6) AS weight FROM l" for i, (c, w, m, sd) in _WEIGHTS), f"SELECT 15::INT, round({STARTING.b} - 1e-5 * sum(error), 6) FROM l"]),
+    "json_requests": f"WITH {_LINES} SELECT ip, path, asn_type, ts_us, count(*) AS n FROM lines WHERE bad IS NULL GROUP BY 1, 2, 3, 4",
+    "json_quarantine": f"WITH {_LINES} SELECT bad AS line, count(*) AS n FROM lines WHERE bad IS NOT NULL GROUP BY 1",
+    "tumbling_actions": f"WITH {_DEC} SELECT ts_us // 10000000 * 10 AS t, action, count(*) AS n FROM dec GROUP BY 1, 2",
+    "endpoint_pressure": f"WITH {_REQ}, w AS (SELECT target, ts_us, unnest(range(0, 12)) AS back FROM flags) SELECT (ts_us // 5000000 - back) * 5 AS t, target, count(*) AS n FROM w GROUP BY 1, 2",
+    "key_rates": f"WITH {_REQ} SELECT ts_us // 5000000 * 5 AS t, ip, count(*) AS n FROM log GROUP BY 1, 2",
+    "dashboard_page": f"WITH {_DEC}, l AS (SELECT 'operator' AS s FROM fb JOIN dec USING (request_id) UNION ALL SELECT 'honeypot' FROM dec WHERE honeypot_filled <> 0), c AS (SELECT s, count(*) AS n FROM l GROUP BY 1), b AS (SELECT string_agg(s || ':' || n, ',' ORDER BY s) AS labels FROM c) SELECT count(*) AS decisions, count(*) FILTER (action = 'BLOCK') AS block, count(DISTINCT ip) FILTER (blocked) AS blocklist_size, any_value(labels) AS labels, 'ua_bot_token,asn_datacenter,ip_reputation' AS top_features FROM dec, b",
+    "sketch_rates": f"WITH {_REQ}, k AS (SELECT DISTINCT ip FROM log WHERE ts_us <= 1704067200000000 + 432000000), c AS (SELECT ip, count(*) AS n FROM log WHERE ts_us <= 1704067200000000 + 432000000 AND ts_us // 5000000 >= (1704067200000000 + 372000000) // 5000000 GROUP BY 1) SELECT ip AS key, coalesce(n, 0) AS n, true AS covered, true AS near FROM k LEFT JOIN c USING (ip)",
+    "sketch_heavy_hitters": f"WITH {_REQ} SELECT ip AS key, count(*) AS n, true AS covered, true AS near, true AS reported FROM log GROUP BY 1",
+    "approx_target_ips": f"WITH {_REQ} SELECT target, count(DISTINCT ip) AS ips, true AS near FROM flags WHERE ts_us <= {NOW_US} - 60000000 AND ts_us // 5000000 >= ({NOW_US} - 360000000) // 5000000 GROUP BY 1",
     "feature_scaler": "WITH " + _FEAT.replace("CASE WHEN octet <> '' AND TRY_CAST(octet AS BIGINT) % 9 = 0", "CASE WHEN false") + " " + " UNION ALL ".join(f"SELECT {i}::INT AS place, round(avg({c}), 4) AS mean, round(CASE WHEN var_pop({c}) > 1e-12 THEN sqrt(var_pop({c})) ELSE 1 END, 4) AS std FROM rep" for i, c in enumerate(FEATURES)),
     "sketch_total": f"WITH {_REQ} SELECT count(*) AS total FROM log",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,9 +35,20 @@ def solve(challenges: DataFrame, outcomes: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def latest(df: DataFrame, key: str, order: str = "ts") -> DataFrame:
-    """Insert-or-replace on read: the last row of each key."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """Insert-or-replace on read: the last row of each key, of rows that are equally late the one of the greater hash."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    last = F.max_by(F.struct(*columns), F.struct(F.col(order), F.xxhash64(*columns)))
+    return df.groupBy(F.col(key).alias("_key")).agg(last.alias("_last")).select("_last.*")
+
+
+def put(rows: DataFrame, path: str) -> None:
+    """Append decisions or challenges under the date of ts_us; what is put later replaces what load_put() gives for its key."""
+    dated = rows.withColumn("put_us", F.unix_micros(F.current_timestamp())).withColumn("date", F.to_date(F.timestamp_micros("ts_us")))
+    dated.write.mode("append").partitionBy("date").parquet(path)
+
+
+def load_put(spark: SparkSession, path: str, key: str) -> DataFrame:
+    return latest(spark.read.parquet(path), key, "put_us").drop("put_us", "date")
 
 
 def append_labels(labels: DataFrame, path: str) -> None:
@@ -59,8 +71,8 @@ def scaler(rows: DataFrame) -> DataFrame:
 def fit(rows: DataFrame, epochs: int = 400, lr: float = 0.3, l2: float = 1e-3, method: str = "gd") -> Model:
     """Logistic regression on FEATURES and label, from zero.
 
-    gd: full-batch descent; equal rows are first grouped into weights, blocks
-    are cached and only gradients travel.  lbfgs: pyspark.ml, converged.
+    gd: full-batch descent; blocks of rows are cached and only gradients
+    travel.  lbfgs: pyspark.ml, converged.
     """
     top = scaler(rows).first()
     mean, std = np.array(top.mean), np.array(top.std)
@@ -71,24 +83,28 @@ def fit(rows: DataFrame, epochs: int = 400, lr: float = 0.3, l2: float = 1e-3, m
         scaled = rows.select(*[((F.col(c) - float(mean[i])) / float(std[i])).alias(c) for i, c in enumerate(FEATURES)], F.col("label").cast("double").alias("label"))
         found = LogisticRegression(regParam=l2, elasticNetParam=0.0, standardization=False).fit(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(scaled))
         return Model(tuple(map(float, found.coefficients)), float(found.intercept), tuple(mean.tolist()), tuple(std.tolist()))
-    grouped = rows.groupBy(*FEATURES, "label").count()
 
     def blocks(it):
-        own = [(*r[: len(FEATURES)], r[-2], r[-1]) for r in it]
-        if own:
-            a = np.array(own, float)
-            yield np.c_[(a[:, :-2] - mean) / std, np.ones(len(a))], a[:, -2], a[:, -1]
-
-    data = grouped.rdd.mapPartitions(blocks).cache()
+        for b in it:
+            a = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in (*FEATURES, "label")], axis=1)
+            a[:, :-1] = (a[:, :-1] - mean) / std
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary())], ["block"])
+
+    def read(row):
+        a = np.frombuffer(row.block, float).reshape(-1, len(FEATURES) + 1)
+        return np.c_[a[:, :-1], np.ones(len(a))], a[:, -1].copy()
+
+    numbers = rows.select(*[F.col(c).cast("double").alias(c) for c in FEATURES], F.col("label").cast("double").alias("label"))
+    data = numbers.mapInArrow(blocks, "block binary").rdd.map(read).cache()  # a row is a block of rows
     w = np.zeros(len(FEATURES) + 1)
-    total = data.map(lambda b: b[2].sum()).sum()
+    total = data.map(lambda b: len(b[1])).sum()
     for _ in range(epochs if total else 0):
         here = w.copy()
 
         def gradient(block, here=here):
-            x, y, n = block
-            z = np.clip(x @ here, -35, 35)
-            return x.T @ ((1 / (1 + np.exp(-z)) - y) * n)
+            x, y = block
+            return x.T @ (1 / (1 + np.exp(-np.clip(x @ here, -35, 35))) - y)
 
         g = data.map(gradient).treeReduce(np.add) / total
         w -= lr * (g + l2 * np.r_[w[:-1], 0.0])
@@ -110,13 +126,38 @@ def retrain(seed: DataFrame, labels: DataFrame, **how) -> tuple[Model, DataFrame
     return fit(both, **how), both.groupBy("origin").agg(F.count("*").alias("n"))
 
 
+def publish(spark: SparkSession, seed: DataFrame, labels: DataFrame, path: str, **how) -> tuple[Model, DataFrame]:
+    """retrain(), saved as the version after the newest."""
+    model, summary = retrain(seed, labels, **how)
+    save_model(spark, model, path, 1 + (newest(spark, path) if saved(spark, path) else -1))
+    return model, summary
+
+
+def catch_up(spark: SparkSession, seed: DataFrame, path: str, labels: DataFrame | None = None, **how) -> Model:
+    """After a restart: the newest saved model, else one fitted on seed; stored labels retrain it.  What is new is saved."""
+    if labels is not None and not labels.isEmpty():
+        return publish(spark, seed, labels, path, **how)[0]
+    if not saved(spark, path):
+        save_model(spark, fit(seed, **how), path, 0)
+    return load_model(spark, path)
+
+
+def saved(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def newest(spark: SparkSession, path: str) -> int:
+    return spark.read.schema(MODEL).json(path).agg(F.max("version")).first()[0]
+
+
 def save_model(spark: SparkSession, model: Model, path: str, version: int, batch: int | None = None) -> None:
     """A new version beside the old ones; readers take the largest, so a swap is one write.  batch: that of online_update()."""
     spark.createDataFrame([(len(model.w), list(model.w), model.b, list(model.mean), list(model.std), version, batch)], MODEL).coalesce(1).write.mode("append").json(path)
 
 
 def load_model(spark: SparkSession, path: str) -> Model:
-    r = spark.read.schema(MODEL).json(path).orderBy(F.desc("version")).first()
+    r = spark.read.schema(MODEL).json(path).orderBy(F.desc("version"), F.desc_nulls_last("batch")).first()
     return Model(tuple(r.w), r.b, tuple(r.mean), tuple(r.std))
 
 
@@ -140,3 +181,11 @@ def review_picks(sessions: DataFrame) -> DataFrame:
     return missed.select("session_id", F.lit(1).alias("label")).unionByName(humans.select("session_id", F.lit(0).alias("label")))
 
 
+def review_requests(picks: DataFrame, requests: DataFrame) -> DataFrame:
+    """The requests of the sessions that review_picks() chose, with its label.  requests: session_id and any others but label."""
+    return requests.join(picks.select("session_id", "label"), "session_id")
+
+
+def dataset(decisions: DataFrame, labels: DataFrame) -> DataFrame:
+    """The labelled feature table: seq, features, label; labels: seq, label."""
+    return decisions.select("seq", *FEATURES).join(labels.select("seq", "label"), "seq")

@@ -69,3 +69,10 @@ def counters(decisions: DataFrame, blocklist: DataFrame) -> DataFrame:
     """One row of totals."""
     totals = decisions.agg(F.count("*").alias("decisions"), *[F.count_if(F.col("action") == a).alias(a.lower()) for a in ACTIONS], F.count_distinct("ip").alias("tracked_ips"), F.count_distinct("target").alias("tracked_targets"), F.count("challenge_token").alias("challenges_issued"))
     return totals.crossJoin(blocklist.agg(F.count("*").alias("blocklist_size")))  # one row each
+
+
+def dashboard(decisions: DataFrame, blocklist: DataFrame, labels: DataFrame, weights: DataFrame) -> DataFrame:
+    """counters(), the number of labels by source, and the top weights: one row.  weights: feature, weight, a few rows."""
+    by_source = labels.groupBy("label_source").count().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label_source", "count")))).alias("labels"))
+    top = weights.agg(F.array_sort(F.collect_list(F.struct((-F.abs("weight")).alias("w"), "feature"))).alias("t")).select(F.transform("t", lambda x: x["feature"]).alias("top_features"))
+    return counters(decisions, blocklist).crossJoin(by_source).crossJoin(top)  # one row each

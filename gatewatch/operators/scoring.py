@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,11 +10,36 @@ from pyspark.sql import functions as F
 from gatewatch.functions.columns import FEATURES, SENSITIVE
 from gatewatch.operators.windows import features
 
+# Shares and cuts of the blend.
 SATURATION = 8.0
 RULE_SHARE, MODEL_SHARE, CHALLENGE_AT, BLOCK_AT = 0.4, 0.6, 0.45, 0.80
-HIT = "struct<name:string,weight:double,reason:string>"
 ESCALATING = ("distributed_attack_sensitive",)
 
+_SENSITIVE = "route IN (" + ", ".join(f"'{r}'" for r in SENSITIVE) + ")"
+_SWARM = "target_distinct_ips_60s >= 10 AND target_req_60s >= 30"
+# Rules that decide at once, the first that holds: name, condition, the decision's reason, the hit's reason.
+HARD = [
+    ("blocklist", "_blocked", "ip is on the blocklist", "'IP on blocklist'"),
+    ("honeypot", "honeypot_filled != 0", "honeypot form field was filled in", "'hidden trap field was submitted with a value'"),
+    ("velocity_hard", "req_10s > 50", "impossible request rate", "format_string('%d requests in 10s', CAST(req_10s AS BIGINT))"),
+]
+# Rules that add up: name, condition, weight, reason, in the order they are reported.
+SOFT = [
+    ("ua_missing", "ua_missing = 1", 2.0, "no User-Agent header"),
+    ("ua_bot_token", "ua_bot_token = 1", 3.0, "User-Agent names a script or crawler"),
+    ("accept_missing", "accept_missing = 1", 1.0, "no Accept header"),
+    ("accept_lang_missing", "accept_lang_missing = 1", 1.0, "no Accept-Language header"),
+    ("cookie_missing", "cookie_missing = 1", 1.0, "no session cookie"),
+    ("high_velocity", "req_60s > 20", 2.0, "more than 20 requests in 60s"),
+    ("path_scan", "distinct_paths_60s > 15", 2.0, "hit more than 15 distinct paths in 60s"),
+    ("robotic_timing", "req_60s >= 6 AND iat_cv < 0.15", 3.0, "near-constant gap between requests"),
+    ("datacenter_ip", "asn_datacenter = 1", 1.5, "request from a hosting/datacenter network"),
+    ("bad_reputation", "ip_reputation > 0.6", 2.5, "IP has poor historical reputation"),
+    ("distributed_attack", _SWARM, 3.5, "this endpoint is under coordinated load from many IPs at once"),
+    ("distributed_attack_sensitive", f"{_SWARM} AND {_SENSITIVE}", 2.5, "coordinated load on a login/signup-class endpoint"),
+    ("sensitive_endpoint_pressure", f"{_SENSITIVE} AND target_req_60s >= 15", 1.5, "elevated traffic to a login/signup-class endpoint"),
+]
+
 
 @dataclass(frozen=True)
 class Model:
@@ -36,71 +60,44 @@ STARTING = Model(
 )
 
 
-def soft_rules() -> list[tuple[str, Column, float, str]]:
-    """Name, condition, weight, reason, in the order they are reported."""
-    c = F.col
-    sensitive = c("route").isin(*SENSITIVE)
-    swarm = (c("target_distinct_ips_60s") >= 10) & (c("target_req_60s") >= 30)
-    return [
-        ("ua_missing", c("ua_missing") == 1, 2.0, "no User-Agent header"),
-        ("ua_bot_token", c("ua_bot_token") == 1, 3.0, "User-Agent names a script or crawler"),
-        ("accept_missing", c("accept_missing") == 1, 1.0, "no Accept header"),
-        ("accept_lang_missing", c("accept_lang_missing") == 1, 1.0, "no Accept-Language header"),
-        ("cookie_missing", c("cookie_missing") == 1, 1.0, "no session cookie"),
-        ("high_velocity", c("req_60s") > 20, 2.0, "more than 20 requests in 60s"),
-        ("path_scan", c("distinct_paths_60s") > 15, 2.0, "hit more than 15 distinct paths in 60s"),
-        ("robotic_timing", (c("req_60s") >= 6) & (c("iat_cv") < 0.15), 3.0, "near-constant gap between requests"),
-        ("datacenter_ip", c("asn_datacenter") == 1, 1.5, "request from a hosting/datacenter network"),
-        ("bad_reputation", c("ip_reputation") > 0.6, 2.5, "IP has poor historical reputation"),
-        ("distributed_attack", swarm, 3.5, "this endpoint is under coordinated load from many IPs at once"),
-        ("distributed_attack_sensitive", swarm & sensitive, 2.5, "coordinated load on a login/signup-class endpoint"),
-        ("sensitive_endpoint_pressure", sensitive & (c("target_req_60s") >= 15), 1.5, "elevated traffic to a login/signup-class endpoint"),
-    ]
-
-
-def evaluate(df: DataFrame, blocklist: DataFrame | None = None, rules: list | None = None, saturation: float = SATURATION) -> DataFrame:
-    """Adds hard_reason, hits, rule_score.  blocklist: ip, one row each."""
-    blocked = F.lit(False)
+def _hit(name: str, weight: float, reason: str) -> str:
+    return f"named_struct('name', '{name}', 'weight', {weight}D, 'reason', {reason})"
+
+
+def evaluate(df: DataFrame, blocklist: DataFrame | None = None, rules: list[tuple[str, str, float, str]] = SOFT, saturation: float = SATURATION) -> DataFrame:
+    """Adds hard_reason, hits, rule_score.  blocklist: ip, one row each.  rules: as SOFT, conditions in SQL."""
     if blocklist is not None:
         df = df.join(blocklist.select("ip", F.lit(True).alias("_blocked")), "ip", "left")
-        blocked = F.coalesce("_blocked", F.lit(False))
-    hit = lambda name, weight, reason: F.struct(F.lit(name).alias("name"), F.lit(weight).alias("weight"), (reason if isinstance(reason, Column) else F.lit(reason)).alias("reason"))
-    hard = [
-        (blocked, "ip is on the blocklist", hit("blocklist", 1.0, "IP on blocklist")),
-        (F.col("honeypot_filled") != 0, "honeypot form field was filled in", hit("honeypot", 1.0, "hidden trap field was submitted with a value")),
-        (F.col("req_10s") > 50, "impossible request rate", hit("velocity_hard", 1.0, F.format_string("%d requests in 10s", F.col("req_10s").cast("long")))),
-    ]
-    reason = F.coalesce(*[F.when(cond, text) for cond, text, _ in hard])
-    first = F.coalesce(*[F.when(cond, F.array(h)) for cond, _, h in hard])
-    rules = rules or soft_rules()
-    soft = F.filter(F.array(*[F.when(cond, hit(name, weight, text)) for name, cond, weight, text in rules]), lambda h: h.isNotNull())
-    total = reduce(lambda a, b: a + b, [F.when(cond, weight).otherwise(0.0) for _, cond, weight, _ in rules])
-    out = df.withColumns({"hard_reason": reason, "hits": F.coalesce(first, soft)})
-    return out.withColumn("rule_score", F.when(F.col("hard_reason").isNotNull(), 1.0).otherwise(F.least(F.lit(1.0), total / saturation))).drop("_blocked")
+    else:
+        df = df.withColumn("_blocked", F.lit(False))
+    reason = "CASE " + " ".join(f"WHEN {cond} THEN '{text}'" for _, cond, text, _ in HARD) + " END"
+    first = "CASE " + " ".join(f"WHEN {cond} THEN array({_hit(name, 1.0, said)})" for name, cond, _, said in HARD) + " END"
+    quoted = lambda text: "'" + text.replace("'", "\\'") + "'"
+    soft = "filter(array(" + ", ".join(f"IF({cond}, {_hit(name, weight, quoted(said))}, NULL)" for name, cond, weight, said in rules) + "), h -> h IS NOT NULL)"
+    total = " + ".join(f"IF({cond}, {weight}D, 0D)" for _, cond, weight, _ in rules)
+    out = df.selectExpr("*", f"{reason} AS hard_reason", f"coalesce({first}, {soft}) AS hits")
+    return out.selectExpr("*", f"IF(hard_reason IS NOT NULL, 1D, least(1D, ({total}) / {saturation}D)) AS rule_score").drop("_blocked")
 
 
 def probability(model: Model) -> Column:
-    z = reduce(lambda a, b: a + b, [F.lit(w) * (F.col(c) - F.lit(m)) / F.lit(s) for c, w, m, s in zip(FEATURES, model.w, model.mean, model.std, strict=True)], F.lit(model.b))
-    return F.when(z <= -35, 0.0).when(z >= 35, 1.0).otherwise(1 / (1 + F.exp(-z)))
+    z = " + ".join([f"{model.b!r}D", *(f"{w!r}D * ({c} - {m!r}D) / {d!r}D" for c, w, m, d in zip(FEATURES, model.w, model.mean, model.std, strict=True))])
+    return F.element_at(F.expr(f"transform(array({z}), z -> CASE WHEN z <= -35 THEN 0D WHEN z >= 35 THEN 1D ELSE 1 / (1 + exp(-z)) END)"), 1)
 
 
 def decide(df: DataFrame, model: Model = STARTING) -> DataFrame:
     """Adds model_proba, score, action, reasons, challenge_token.  df: evaluate()'s columns and request_id."""
     df = df.withColumn("model_proba", probability(model))
-    blend = RULE_SHARE * F.col("rule_score") + MODEL_SHARE * F.col("model_proba")
-    hard = F.col("hard_reason").isNotNull()
-    escalated = ~hard & F.exists("hits", lambda h: h["name"].isin(*ESCALATING)) & (blend < CHALLENGE_AT)
-    score = F.when(hard, 1.0).when(escalated, CHALLENGE_AT).otherwise(blend)
-    said = F.concat(F.transform("hits", lambda h: F.concat_ws(": ", h["name"], h["reason"])), F.array(F.format_string("model p(bot) = %.2f", "model_proba")), F.when(escalated, F.array(F.lit("escalated to CHALLENGE by a high-confidence rule"))).otherwise(F.array().cast("array<string>")))
-    df = df.withColumns({"score": score, "reasons": F.when(hard, F.array("hard_reason")).otherwise(said)})
-    action = F.when(hard | (F.col("score") >= BLOCK_AT), "BLOCK").when(F.col("score") >= CHALLENGE_AT, "CHALLENGE").otherwise("ALLOW")
-    token = F.concat(F.lit("chal-"), F.substring(F.sha2(F.col("request_id"), 256), 1, 16))
-    return df.withColumn("action", action).withColumn("challenge_token", F.when(F.col("action") == "CHALLENGE", token))
-
-
-def check(df: DataFrame, model: Model = STARTING, reputation: DataFrame | None = None, blocklist: DataFrame | None = None) -> DataFrame:
-    """Score a whole request log: features, rules, model, decision.  Request ids come from seq."""
-    scored = evaluate(features(df, reputation), blocklist)
+    escalating = ", ".join(f"'{name}'" for name in ESCALATING)
+    df = df.selectExpr("*", f"{RULE_SHARE}D * rule_score + {MODEL_SHARE}D * model_proba AS _blend", f"hard_reason IS NULL AND exists(hits, h -> h.name IN ({escalating})) AND {RULE_SHARE}D * rule_score + {MODEL_SHARE}D * model_proba < {CHALLENGE_AT}D AS _escalated")
+    said = "concat(transform(hits, h -> concat(h.name, ': ', h.reason)), array(format_string('model p(bot) = %.2f', model_proba)), IF(_escalated, array('escalated to CHALLENGE by a high-confidence rule'), CAST(array() AS array<string>)))"
+    df = df.selectExpr("*", f"CASE WHEN hard_reason IS NOT NULL THEN 1D WHEN _escalated THEN {CHALLENGE_AT}D ELSE _blend END AS score", f"IF(hard_reason IS NOT NULL, array(hard_reason), {said}) AS reasons")
+    df = df.selectExpr("*", f"CASE WHEN hard_reason IS NOT NULL OR score >= {BLOCK_AT}D THEN 'BLOCK' WHEN score >= {CHALLENGE_AT}D THEN 'CHALLENGE' ELSE 'ALLOW' END AS action")
+    return df.selectExpr("*", "IF(action = 'CHALLENGE', concat('chal-', substring(sha2(request_id, 256), 1, 16)), NULL) AS challenge_token").drop("_blend", "_escalated")
+
+
+def check(df: DataFrame, model: Model = STARTING, reputation: DataFrame | None = None, blocklist: DataFrame | None = None, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """Score a whole request log: features, rules, model, decision.  Request ids come from seq; keep: as in features()."""
+    scored = evaluate(features(df, reputation, keep=keep), blocklist)
     return decide(scored.withColumn("request_id", F.concat(F.lit("req-"), F.col("seq").cast("string"))), model)
 
 

@@ -1,19 +1,32 @@
-"""Point-in-time window features, exact at any rate: running sums of what enters and leaves a key's window.
+"""Point-in-time window features, exact at any rate.
 
-The sums run within (key, second) and start from sums by second, so a hot key
-is many tasks however short the log, and no row is copied into a halo.
+features() takes two shuffles, one by IP and one by target, each in chunks of
+time; a task streams through sorted rows and holds a minute of one key.
+sliding() gives the same from running sums of what enters and leaves a window,
+in groups of a key's second: for keys whose minute is too much for a task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gatewatch.functions.columns import BUCKET_US, bucket_of, header_flags, route_of, static_reputation, target_of
+from gatewatch.functions.columns import BUCKET_US, header_flags, route_of, static_reputation, target_of
 
 SECOND = 1_000_000
 SPAN = 60 * SECOND
+#: What a row's numbers look back at most: a window that begins with a whole bucket.
+HALO = SPAN + BUCKET_US
+#: Seconds of a chunk of sliding() and of features(); the latter's last minute goes to the next chunk as well.
 CHUNK_S = 1
+SWEPT_S = 120
+#: Rows that a task of features() looks at together at least.
+STEP = 65_536
 #: What an event changes: rows and values in the window, the gaps between its rows and their squares.
 CHANGES = ("d60", "d10", "different", "gap", "square")
 
@@ -82,20 +95,131 @@ def with_target(df: DataFrame) -> DataFrame:
     return df.withColumn("route", route_of(F.col("path"))).withColumn("target", target_of(F.col("route"), F.col("asn_type")))
 
 
-def features(df: DataFrame, reputation: DataFrame | None = None, chunk_s: int = CHUNK_S) -> DataFrame:
+def _joined(held: pa.RecordBatch | None, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches([*([held] if held else []), *rows]).combine_chunks().to_batches()[0]
+
+
+def _starts(b: pa.RecordBatch) -> np.ndarray:
+    """Whether each row has another key or chunk than the one before."""
+    code = pc.dictionary_encode(b.column("_key"), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    chunk = b.column("_chunk").to_numpy(zero_copy_only=False)
+    return np.concatenate([[True], (code[1:] != code[:-1]) | (chunk[1:] != chunk[:-1])])
+
+
+def window_numbers(ts: np.ndarray, group: np.ndarray, value: np.ndarray, most: int | None = None) -> dict[str, np.ndarray]:
+    """Of each row's last minute n10, n60, different, total and square of gaps; rows by group (0, 1, ...) and time.
+
+    most: of the group's last so many rows only.  bucketed: rows since the
+    beginning of the bucket that was a minute before this row's.  A value counts
+    from its row to its next one or to where the window has left it.
+    """
+    n = len(ts)
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    # groups apart by more than a window
+    rel = ts - np.repeat(ts[first], np.diff(first, append=n))
+    at = rel + np.cumsum(np.concatenate([[0], rel[first[1:] - 1] + 2 * HALO]))[group]
+    since = lambda back: np.searchsorted(at, at - back)
+    place = np.arange(n)
+    lo, lo10, buckets = since(SPAN), since(10 * SECOND), since(ts % BUCKET_US + SPAN)
+    if most:
+        lo = np.maximum(lo, place - most + 1)
+    order = np.lexsort((place, value, group))
+    follows = (value[order][1:] == value[order][:-1]) & (group[order][1:] == group[order][:-1])
+    later = np.full(n, n)
+    later[order[:-1][follows]] = order[1:][follows]
+    edge = np.ones(n + 1, np.int64)
+    np.subtract.at(edge, np.minimum(later, np.searchsorted(lo, place, side="right")), 1)
+    gap = np.diff(at, prepend=at[:1])
+    gap[gap > SPAN] = 0
+    square = np.cumsum((gap * gap).astype(np.uint64))  # may wrap; differences are right
+    return {"n10": place - lo10 + 1, "n60": place - lo + 1, "bucketed": place - buckets + 1, "different": np.cumsum(edge[:n]), "total": at - at[lo], "square": (square - square[lo]).astype(np.int64)}
+
+
+def _sweep(kinds: dict[str, Callable], kept: list[str], most: int | None) -> Callable:
+    """Rows come by key, chunk and time.  Of what has passed only the last minute of the last key stays in memory."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, waiting = None, [], 0
+
+        def step() -> tuple[pa.RecordBatch, pa.RecordBatch]:
+            b = _joined(held, rows)
+            old = held.num_rows if held else 0
+            ts, group = b.column("_at").to_numpy(zero_copy_only=False), np.cumsum(_starts(b)) - 1
+            found = window_numbers(ts, group, pc.dictionary_encode(b.column("_value"), null_encoding="encode").indices.to_numpy(zero_copy_only=False), most)
+            out = b.slice(old).select(kept)
+            out = pa.RecordBatch.from_arrays([*out.columns, *(pa.array(make({k: v[old:] for k, v in found.items()})) for make in kinds.values())], [*kept, *kinds])
+            mine = b.slice(old).column("_own")
+            return out.filter(mine), b.slice(int(np.searchsorted(np.where(group == group[-1], ts, np.iinfo(np.int64).min), ts[-1] - HALO)))
+
+        for b in it:
+            if b.num_rows:
+                rows.append(b)
+                waiting += b.num_rows
+            # as many new rows as are held: each row is looked at a few times only
+            if waiting >= max(STEP, held.num_rows if held else 0):
+                out, held = step()
+                rows, waiting = [], 0
+                yield out
+        if rows:
+            yield step()[0]
+
+    return run
+
+
+def swept(df: DataFrame, key: str, value: str, kinds: dict[str, Callable], kept: list[str], chunk_s: int = SWEPT_S, most: int | None = None) -> DataFrame:
+    """The columns kept of df, and those of kinds, made from window_numbers() of each row's key.
+
+    One shuffle: rows go by key and chunk of time, those of a chunk's last
+    minute to the next chunk as well, so a busy key is a task for each chunk.
+    A task streams through its rows in order and holds a minute of one key.
+    """
+    chunk = lambda at: F.floor(at / (chunk_s * SECOND)).cast("long")
+    to = F.explode(F.sequence(chunk(F.col("ts_us")), chunk(F.col("ts_us") + HALO)))
+    rows = df.select(*kept, F.col(key).alias("_key"), F.col(value).alias("_value"), F.col("ts_us").alias("_at"), F.col("seq").alias("_seq"), to.alias("_chunk"))
+    rows = rows.withColumn("_own", chunk(F.col("_at")) == F.col("_chunk"))
+    dealt = rows.repartition("_key", "_chunk").sortWithinPartitions("_key", "_chunk", "_at", "_seq").drop("_seq")
+    schema = df.select(*kept).schema
+    for name in kinds:
+        schema = schema.add(name, "double")
+    return dealt.mapInArrow(_sweep(kinds, kept, most), schema)
+
+
+def _whole(name: str) -> Callable:
+    return lambda found: found[name].astype(float)
+
+
+def _iat_mean(found: dict[str, np.ndarray]) -> np.ndarray:
+    n = found["n60"] - 1
+    return np.where(n > 0, found["total"] / np.maximum(n, 1) / SECOND, 30.0)
+
+
+def _iat_cv(found: dict[str, np.ndarray]) -> np.ndarray:
+    n, total, q = ((found["n60"] - 1).astype(float), found["total"].astype(float), found["square"].astype(float))
+    cv = np.sqrt(np.maximum(n * q - total * total, 0.0)) / np.where(total > 0, total, 1.0)
+    return np.where(n == 0, 1.0, np.where(total > 0, cv, 0.0))
+
+
+BY_IP = {"req_10s": _whole("n10"), "req_60s": _whole("n60"), "distinct_paths_60s": _whole("different"), "iat_mean": _iat_mean, "iat_cv": _iat_cv}
+BY_TARGET = {"target_req_60s": _whole("n60"), "target_distinct_ips_60s": _whole("different")}
+
+
+def features(df: DataFrame, reputation: DataFrame | None = None, chunk_s: int = SWEPT_S, keep: tuple[str, ...] | None = None) -> DataFrame:
     """The requests with route, target and all features; one code path for training, batch and streams.
 
-    df: seq (unique) and the request columns.  reputation: ip, score, one row an ip; it overrides the prefixes.
+    df: seq and the request columns; rows of one time count in the order of seq.
+    reputation: ip, score, one row an ip; it overrides the prefixes.  keep: the
+    columns of df to carry on, all by default.
     """
-    df = with_target(df)
-    by_ip = sliding(df, "ip", "path", chunk_s).select("seq", F.col("n10").cast("double").alias("req_10s"), F.col("n60").cast("double").alias("req_60s"), F.col("different").cast("double").alias("distinct_paths_60s"), "iat_mean", "iat_cv")
-    by_target = sliding(df, "target", "ip", chunk_s).select("seq", F.col("n60").cast("double").alias("target_req_60s"), F.col("different").cast("double").alias("target_distinct_ips_60s"))
-    out = df.withColumns(header_flags()).join(by_ip, "seq").join(by_target, "seq")
+    kept = [*(df.columns if keep is None else keep), "route", "target", *header_flags()]
+    carried = [*dict.fromkeys([*kept, "ip", "ts_us", "seq"])]
+    rows = with_target(df).withColumns(header_flags())
+    rows = swept(rows, "ip", "path", BY_IP, carried, chunk_s)
+    out = swept(rows, "target", "ip", BY_TARGET, [*carried, *BY_IP], chunk_s)
     known = static_reputation(F.col("ip"))
     if reputation is not None:
         out = out.join(reputation.select("ip", F.col("score").alias("_score")), "ip", "left")
         known = F.coalesce("_score", known)
-    return out.withColumn("ip_reputation", known).drop("_score")
+    return out.withColumn("ip_reputation", known).select(*dict.fromkeys(kept), *BY_IP, *BY_TARGET, "ip_reputation", *(c for c in ("ip",) if c not in kept))
 
 
 def builtin_counts(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -107,17 +231,12 @@ def builtin_counts(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.select("seq", (F.count("*").over(w) - later).alias("n60"), F.size(F.array_distinct(F.transform(before, lambda x: x[value]))).cast("long").alias("different"))
 
 
-def bucketed_rate(df: DataFrame, key: str, seconds: int) -> DataFrame:
-    """Requests of the key in the 5 s buckets from now - seconds to now, up to this row."""
-    b = df.withColumn("bucket", bucket_of(F.col("ts_us")))
-    w = Window.partitionBy(key).orderBy("bucket").rangeBetween(-(seconds * SECOND // BUCKET_US), 0)
-    own = Window.partitionBy(key, "bucket")
-    later = F.count("*").over(own) - F.row_number().over(own.orderBy("ts_us", "seq"))
-    return b.select("seq", (F.count("*").over(w) - later).alias("rate"))
+def bucketed_rate(df: DataFrame, key: str) -> DataFrame:
+    """df with <key>_rate: requests of the key in the 5 s buckets from a minute ago to now, up to this row."""
+    return swept(df, key, key, {f"{key}_rate": _whole("bucketed")}, df.columns)
 
 
 def tail_features(df: DataFrame, key: str, value: str, most: int = 64) -> DataFrame:
-    """n and different values in 60 s among the key's last ``most`` rows."""
-    w = Window.partitionBy(key).orderBy("ts_us", "seq").rowsBetween(-(most - 1), 0)
-    recent = F.filter(F.collect_list(F.struct("ts_us", value)).over(w), lambda x: x["ts_us"] >= F.col("ts_us") - SPAN)
-    return df.select("seq", F.size(recent).cast("long").alias("n"), F.size(F.array_distinct(F.transform(recent, lambda x: x[value]))).cast("long").alias("different"))
+    """df with <key>_n, <key>_different, <key>_iat_mean and <key>_iat_cv of 60 s among the key's last ``most`` rows."""
+    kinds = {"n": _whole("n60"), "different": _whole("different"), "iat_mean": _iat_mean, "iat_cv": _iat_cv}
+    return swept(df, key, value, {f"{key}_{name}": make for name, make in kinds.items()}, df.columns, most=most)

@@ -40,21 +40,14 @@ def read_sessions(spark: SparkSession, path: str) -> DataFrame:
 def request_log(spark: SparkSession, sf_dir: str, squeeze: int = 3000) -> DataFrame:
     """One request per event; a month is squeezed so that windows of a minute hold traffic."""
     start = 1704067200000000
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("seq"), "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("k"))
-    u, kind, k = F.col("user_id"), F.col("event_type"), F.col("k")
-    text = lambda c: c.cast("string")
-    head = F.when(u % 10 == 0, "185.").when(u % 10 == 1, "45.").when(u % 10 == 2, "193.").otherwise("73.")
-    div = lambda a, n: F.floor(a / n).cast("long")
-    return e.select(
-        "seq",
-        (F.lit(start) + F.expr(f"(us - {start}) div {squeeze}")).alias("ts_us"),
-        F.when(u % 10 == 4, "73.9.9.9").otherwise(F.concat(head, text(div(u, 250)), F.lit("."), text(u % 250), F.lit(".7"))).alias("ip"),
-        F.when(kind.isin("signup", "purchase"), "POST").otherwise("GET").alias("method"),
-        F.when(kind == "view", F.concat(F.lit("/article/"), text(k))).when(kind == "click", F.concat(F.lit("/search?q="), text(k))).when(kind == "signup", "/signup").when(kind == "purchase", "/checkout/").otherwise("/login").alias("path"),
-        F.when(u % 6 == 0, "python-requests/2.31.0").when(u % 6 == 1, "").when(u % 6 == 2, "Scrapy/2.11 (+https://scrapy.org)").otherwise("Mozilla/5.0 (X11; Linux x86_64; rv:125.0) Gecko/20100101 Firefox/125.0").alias("user_agent"),
-        F.when(u % 6 < 2, "").otherwise("text/html").alias("accept"),
-        F.when(u % 6 < 3, "  ").otherwise("en-US").alias("accept_language"),
-        F.when(k % 7 == 0, "").otherwise(F.concat(F.lit("session="), text(u))).alias("cookie"),
-        F.when((kind == "signup") & (k % 20 == 0), "http://spam.example").otherwise("").alias("honeypot_value"),
-        F.when((u % 10).isin(0, 1, 3), "datacenter").otherwise("residential").alias("asn_type"),
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id AS seq", "user_id AS u", "event_type AS kind", "unix_micros(CAST(ts AS TIMESTAMP)) AS us", "CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k")
+    return e.selectExpr(
+        "seq", f"{start} + (us - {start}) DIV {squeeze} AS ts_us",
+        "IF(u % 10 = 4, '73.9.9.9', concat(CASE u % 10 WHEN 0 THEN '185.' WHEN 1 THEN '45.' WHEN 2 THEN '193.' ELSE '73.' END, u DIV 250, '.', u % 250, '.7')) AS ip",
+        "IF(kind IN ('signup', 'purchase'), 'POST', 'GET') AS method",
+        "CASE kind WHEN 'view' THEN concat('/article/', k) WHEN 'click' THEN concat('/search?q=', k) WHEN 'signup' THEN '/signup' WHEN 'purchase' THEN '/checkout/' ELSE '/login' END AS path",
+        "CASE u % 6 WHEN 0 THEN 'python-requests/2.31.0' WHEN 1 THEN '' WHEN 2 THEN 'Scrapy/2.11 (+https://scrapy.org)' ELSE 'Mozilla/5.0 (X11; Linux x86_64; rv:125.0) Gecko/20100101 Firefox/125.0' END AS user_agent",
+        "IF(u % 6 < 2, '', 'text/html') AS accept", "IF(u % 6 < 3, '  ', 'en-US') AS accept_language",
+        "IF(k % 7 = 0, '', concat('session=', u)) AS cookie", "IF(kind = 'signup' AND k % 20 = 0, 'http://spam.example', '') AS honeypot_value",
+        "IF(u % 10 IN (0, 1, 3), 'datacenter', 'residential') AS asn_type",
     )

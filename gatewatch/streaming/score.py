@@ -14,45 +14,61 @@ from gatewatch.operators.scoring import check
 from gatewatch.operators.windows import with_target
 
 RETAIN_US = 120_000_000
-#: A later event than this behind the newest of its batch's past is set aside: its window is no longer whole.
+#: Events later than this behind the newest of what was seen are listed as late: their window may have lost rows.
 LATE_US = 60_000_000
 REQUEST = ["seq", "ts_us", "ip", "method", "path", "user_agent", "accept", "accept_language", "cookie", "honeypot_value", "asn_type"]
 KEPT = ["seq", "ts_us", "request_id", "ip", "route", "target", *FEATURES, "rule_score", "model_proba", "score", "action", "reasons", "challenge_token"]
 
 
-def score_batch(spark: SparkSession, model_path: str, out: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch.  Batch n reads the tail that batch n - 1 left and overwrites its own folders, so a replay gives the same."""
+def _folders(spark: SparkSession, path: str) -> dict[int, object]:
+    """The folders n=<number> of a path, as Hadoop paths."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [p.getPath() for p in files.listStatus(at)] if files.exists(at) else []
+    return {int(p.getName().split("=")[1]): p for p in found if p.getName().startswith("n=")}
+
+
+def score_batch(spark: SparkSession, model_path: str, out: str, reputation: str | None = None, blocklist: str | None = None) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch.  Batch n reads the tail that batch n - 1 left and overwrites its own folders, so a replay gives the same.
+
+    reputation (ip, score) and blocklist (ip): paths of Parquet tables, read anew for
+    each batch, as is the newest model.  A late event is scored with what
+    history is left, and listed in late; events scored before stay as they are.
+    Tails that no replay can need go.
+    """
 
     def run(batch: DataFrame, n: int) -> None:
-        batch = batch.select(*REQUEST)
-        if batch.isEmpty():
-            now = None
-        else:
+        batch = batch.select(*REQUEST).persist()
+        try:
             now = batch.agg(F.max("ts_us")).first()[0]
-        fs = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/tail")
-        there = fs.getFileSystem(spark._jsc.hadoopConfiguration())
-        earlier = [int(p.getPath().getName().split("=")[1]) for p in there.listStatus(fs)] if there.exists(fs) else []
-        past = max([k for k in earlier if k < n], default=None)
-        tail = spark.read.parquet(f"{out}/tail/n={past}").select(*REQUEST) if past is not None else batch.limit(0)
-        seen = tail.agg(F.max("ts_us")).first()[0]
-        if now is None:
-            return
-        model = learning.load_model(spark, model_path)  # the newest version, once a batch
-        late = F.lit(False) if seen is None else F.col("ts_us") < seen - LATE_US
-        batch.where(late).write.mode("overwrite").parquet(f"{out}/late/n={n}")
-        fresh = batch.where(~late)
-        scored = check(tail.unionByName(fresh), model).join(fresh.select("seq"), "seq", "left_semi")
-        scored.select(*KEPT).write.mode("overwrite").parquet(f"{out}/decisions/n={n}")
-        done = spark.read.parquet(f"{out}/decisions/n={n}")
-        learning.honeypot_labels(done).write.mode("overwrite").parquet(f"{out}/labels/n={n}")
-        newest = max(now, seen or now)
-        tail.unionByName(fresh).where(F.col("ts_us") >= newest - RETAIN_US).write.mode("overwrite").parquet(f"{out}/tail/n={n}")
+            if now is None:
+                return
+            tails = _folders(spark, f"{out}/tail")
+            past = max([k for k in tails if k < n], default=None)
+            tail = spark.read.parquet(f"{out}/tail/n={past}").select(*REQUEST) if past is not None else batch.limit(0)
+            seen = tail.agg(F.max("ts_us")).first()[0]
+            model = learning.load_model(spark, model_path)
+            tables = [spark.read.parquet(path) if path else None for path in (reputation, blocklist)]
+            late = F.lit(False) if seen is None else F.col("ts_us") < seen - LATE_US
+            batch.where(late).write.mode("overwrite").parquet(f"{out}/late/n={n}")
+            both = tail.withColumn("fresh", F.lit(False)).unionByName(batch.withColumn("fresh", F.lit(True)))
+            scored = check(both, model, *tables, keep=("seq", "ts_us", "ip", "fresh")).where("fresh")
+            scored.select(*KEPT).write.mode("overwrite").parquet(f"{out}/decisions/n={n}")
+            done = spark.read.parquet(f"{out}/decisions/n={n}")
+            learning.honeypot_labels(done).write.mode("overwrite").parquet(f"{out}/labels/n={n}")
+            newest = max(now, seen or now)
+            tail.unionByName(batch).where(F.col("ts_us") >= newest - RETAIN_US).write.mode("overwrite").parquet(f"{out}/tail/n={n}")
+            for k, path in tails.items():
+                if k < (n if past is None else past):
+                    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        finally:
+            batch.unpersist()
 
     return run
 
 
-def stream_check(stream: DataFrame, model_path: str, out: str, checkpoint: str) -> DataStreamWriter:
-    return stream.writeStream.foreachBatch(score_batch(stream.sparkSession, model_path, out)).option("checkpointLocation", checkpoint)
+def stream_check(stream: DataFrame, model_path: str, out: str, checkpoint: str, reputation: str | None = None, blocklist: str | None = None) -> DataStreamWriter:
+    return stream.writeStream.foreachBatch(score_batch(stream.sparkSession, model_path, out, reputation, blocklist)).option("checkpointLocation", checkpoint)
 
 
 def _timed(stream: DataFrame) -> DataFrame:

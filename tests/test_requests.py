@@ -228,3 +228,109 @@ def test_window_streams(spark, tmp_path):
 def test_sessions_file(spark, tmp_path):
     (tmp_path / "s.json").write_text(json.dumps({"session_id": 1, "archetype": "a", "label": 1, "events": [{"seq": 0, "ip": "x", "ts_us": 5}, {"seq": 1, "ip": "x", "ts_us": 6}]}))
     assert requests.read_sessions(spark, str(tmp_path)).count() == 2
+
+
+@pytest.mark.parametrize("most", [None, 5])
+def test_window_numbers(most):
+    rng = np.random.default_rng(6)
+    group = np.sort(rng.integers(0, 5, 400))
+    group = np.unique(group, return_inverse=True)[1]
+    ts = np.concatenate([np.sort(rng.choice([0, 1, 5, 10, 11, 40, 60, 65, 70, 300], n) * 1_000_000 + rng.integers(0, 2, n)) for n in np.bincount(group)]) + 10**15
+    value = rng.integers(0, 6, 400)
+    got = windows.window_numbers(ts, group, value, most)
+    for i in range(400):
+        before = np.flatnonzero((group == group[i]) & (np.arange(400) <= i))
+        w = before[ts[before] >= ts[i] - 60_000_000][-(most or 400) :]
+        gaps = np.diff(ts[w])
+        want = {"n10": (ts[before] >= ts[i] - 10_000_000).sum(), "n60": len(w), "different": len(set(value[w])), "total": gaps.sum(), "square": (gaps * gaps).sum(), "bucketed": (ts[before] // 5_000_000 >= ts[i] // 5_000_000 - 12).sum()}
+        assert {k: v[i] for k, v in got.items()} == want
+
+
+def test_hot_key_streams(spark, monkeypatch):
+    """A million rows of one key in a minute, in steps far smaller than its window; null keys and values count as others do."""
+    monkeypatch.setattr(windows, "STEP", 20_000)
+    n = 1_000_000
+    df = spark.range(n).select(F.col("id").alias("seq"), (F.col("id") * 59 + T0).alias("ts_us"), F.lit("a").alias("k"), F.when(F.col("id") % 1000 > 0, (F.xxhash64("id") % 5000).cast("string")).alias("v"))
+    few = spark.range(3).select((F.col("id") + n).alias("seq"), F.lit(T0).alias("ts_us"), F.lit(None).cast("string").alias("k"), F.lit("x").alias("v"))
+    kinds = {"n": windows._whole("n60"), "different": windows._whole("different")}
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    got = windows.swept(df.unionByName(few), "k", "v", kinds, ["seq", "v"]).toPandas().sort_values("seq")
+    spark.conf.unset("spark.sql.execution.arrow.pyspark.enabled")
+    hot, null = got[got.seq < n], got[got.seq >= n]
+    assert hot.n.tolist() == list(range(1, n + 1)) and null.n.tolist() == [1, 2, 3] and null.different.tolist() == [1, 1, 1]
+    assert hot.different.tolist() == np.cumsum(~hot.v.fillna("").duplicated()).tolist()
+
+
+def test_features_meet_running_sums(spark):
+    """Both ways of the windows agree over chunks' borders, and so do the reports of tails and buckets with brute force."""
+    rng = random.Random(12)
+    rows = [{"ts_us": T0 + rng.randrange(400_000_000), "ip": rng.choice("abc"), "path": f"/{rng.randrange(9)}"} for _ in range(400)]
+    df = log(spark, rows).cache()
+    streamed, sums = result(windows.features(df)), result(windows.sliding(df, "ip", "path"))
+    for i, r in sums.items():
+        s = streamed[i]
+        assert (s.req_10s, s.req_60s, s.distinct_paths_60s, s.iat_mean, s.iat_cv) == (r.n10, r.n60, r.different, r.iat_mean, r.iat_cv)
+    rates, tails = result(windows.bucketed_rate(df, "ip")), result(windows.tail_features(df, "ip", "path", most=4))
+    full = [{"seq": i, **r} for i, r in enumerate(rows)]
+    for r in full:
+        past = sorted((x for x in full if x["ip"] == r["ip"] and (x["ts_us"], x["seq"]) <= (r["ts_us"], r["seq"])), key=lambda x: (x["ts_us"], x["seq"]))
+        assert rates[r["seq"]].ip_rate == sum(x["ts_us"] // 5_000_000 >= r["ts_us"] // 5_000_000 - 12 for x in past)
+        w = [x for x in past[-4:] if x["ts_us"] >= r["ts_us"] - 60_000_000]
+        assert (tails[r["seq"]].ip_n, tails[r["seq"]].ip_different) == (len(w), len({x["path"] for x in w}))
+
+
+def test_stream_with_tables(spark, tmp_path):
+    """Blocked and reputed IPs are told on the stream as in batch; only the tails that a replay needs stay."""
+    rows = [{"seq": i, "ts_us": T0 + i * 7_000_000, "ip": f"1.1.1.{i % 4}"} for i in range(30)]
+    df = log(spark, rows)
+    spark.createDataFrame([("1.1.1.1", 0.9)], "ip string, score double").write.parquet(str(tmp_path / "r"))
+    spark.createDataFrame([("1.1.1.2",)], "ip string").write.parquet(str(tmp_path / "b"))
+    learning.save_model(spark, STARTING, str(tmp_path / "m"), 0)
+    run = score.score_batch(spark, str(tmp_path / "m"), str(tmp_path / "out"), str(tmp_path / "r"), str(tmp_path / "b"))
+    for n in range(3):
+        run(df.where(f"seq div 10 = {n}"), n)
+    got = result(spark.read.parquet(str(tmp_path / "out/decisions")))
+    want = result(check(df, STARTING, spark.read.parquet(str(tmp_path / "r")), spark.read.parquet(str(tmp_path / "b"))))
+    assert len(got) == 30 and all((got[i].action, got[i].reasons, got[i].ip_reputation) == (want[i].action, want[i].reasons, want[i].ip_reputation) for i in want)
+    assert {r.action for i, r in got.items() if i % 4 == 2} == {"BLOCK"} and got[1].ip_reputation == 0.9
+    assert sorted(p.name for p in (tmp_path / "out/tail").iterdir()) == ["n=1", "n=2"]
+    run(log(spark, [{"seq": 99, "ts_us": T0 + 5}]), 3)  # late, and scored with what is left
+    assert spark.read.parquet(str(tmp_path / "out/decisions")).where("seq = 99").first().req_60s == 1
+
+
+def test_streamed_counts_and_labels(spark, tmp_path):
+    scored = check(log(spark, [{"ts_us": T0 + i * 4_000_000, "ip": "1.1.1.1" if i % 2 else "2.2.2.2"} for i in range(20)]))
+    scored.write.parquet(str(tmp_path / "d"))
+    stream = spark.readStream.schema(scored.schema).parquet(str(tmp_path / "d"))
+    score.action_counts(stream).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    assert {(r.start.timestamp(), r.n) for r in spark.table("counts").collect()} == {(r.start.timestamp(), r.n) for r in score.action_counts(scored).collect()} and spark.table("counts").count() == 8
+    said = spark.createDataFrame([("req-1", 1), ("req-77", 0)], "request_id string, label int")
+    said.write.parquet(str(tmp_path / "f"))
+    score.label_stream(spark.readStream.schema(said.schema).parquet(str(tmp_path / "f")), str(tmp_path / "d"), str(tmp_path / "o"), str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "o/labels")).first().request_id == "req-1" and spark.read.parquet(str(tmp_path / "o/rejected")).first().request_id == "req-77"
+
+
+def test_puts_and_restarts(spark, tmp_path):
+    first = spark.createDataFrame([("a", T0, "ALLOW"), ("b", T0 + 10**11, "ALLOW")], "request_id string, ts_us long, action string")
+    learning.put(first, str(tmp_path / "d"))
+    learning.put(spark.createDataFrame([("a", T0 - 10**11, "BLOCK")], first.schema), str(tmp_path / "d"))
+    assert {(r.request_id, r.action) for r in learning.load_put(spark, str(tmp_path / "d"), "request_id").collect()} == {("a", "BLOCK"), ("b", "ALLOW")}
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 15))
+    schema = ", ".join(f"{c} double" for c in FEATURES) + ", label int"
+    seed, labels = (spark.createDataFrame([(*map(float, a), int(a[0] > 0)) for a in part], schema) for part in (x[:40], x[40:]))
+    path = str(tmp_path / "m")
+    assert learning.catch_up(spark, seed, path, epochs=5) == learning.fit(seed, epochs=5) == learning.load_model(spark, path)
+    assert learning.catch_up(spark, seed, path, labels.limit(0), epochs=9) == learning.fit(seed, epochs=5)  # what is saved stays
+    model = learning.catch_up(spark, seed, path, labels, epochs=5)
+    assert model == learning.load_model(spark, path) and learning.newest(spark, path) == 1
+    assert np.allclose(model.w, learning.fit(seed.unionByName(labels), epochs=5).w)
+    assert {tuple(r) for r in learning.publish(spark, seed, labels, path, epochs=1)[1].collect()} == {("seed", 40), ("collected", 20)}
+
+
+def test_fixed_values():
+    from gatewatch.functions import columns
+
+    assert len(columns.BOT_TOKENS) == 18 and {"curl", "python-requests", "go-http-client", "playwright"} < set(columns.BOT_TOKENS)
+    assert columns.SENSITIVE == ("/login", "/signup", "/checkout", "/password-reset", "/api/token") and columns.BAD_PREFIXES == ("185.", "45.", "193.")
+    assert columns.FEATURES[0] == "req_10s" and columns.FEATURES[4] == "iat_cv" and columns.FEATURES[-1] == "target_distinct_ips_60s" and len(columns.FEATURES) == 15
