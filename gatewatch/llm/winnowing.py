@@ -8,9 +8,12 @@ Everything is built-in functions on arrays.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gatewatch.llm.tables import sized, stash
 from gatewatch.llm.text import let, whole, words
 
 K = 5
@@ -69,6 +72,19 @@ def likeness(a: Column, b: Column) -> Column:
     return let(_hashes(a), lambda x: let(_hashes(b), lambda y: of(x, y)))
 
 
+def _bucket(value: Column, cuts: list[int]) -> Column:
+    """How many of the ascending cuts are no less than the value, by halving; bucket 0 has the largest values, nulls go to the last."""
+    bounds = F.from_json(F.lit(json.dumps(cuts)), "array<bigint>")  # one constant, however many
+
+    def half(s: Column, _: Column) -> Column:
+        middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        right = F.get(bounds, middle) < value
+        return F.when(s["lo"] >= s["hi"], s).otherwise(F.struct(F.when(right, middle + 1).otherwise(s["lo"]).alias("lo"), F.when(right, s["hi"]).otherwise(middle).alias("hi")))
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
+    return F.lit(len(cuts)) - F.when(value.isNull(), 0).otherwise(F.aggregate(F.sequence(F.lit(0), F.lit(len(cuts).bit_length())), start, half, lambda s: s["lo"]))
+
+
 def with_next(docs: DataFrame, per_bucket: int = 4000) -> DataFrame:
     """docs: doc_id, text, keys.  Adds next_text and next_keys: those of the next row by descending doc_id, after the last the first.
 
@@ -82,29 +98,26 @@ def with_next(docs: DataFrame, per_bucket: int = 4000) -> DataFrame:
         return docs.withColumns({"next_text": F.col("text"), "next_keys": F.col("keys")})
     parts = -(-n // per_bucket)
     cuts = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    # bucket 0 has the largest ids; null ids go to the last one
-    bounds = F.array(*map(F.lit, cuts)).cast("array<bigint>")
-    bucket = F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(F.size(F.filter(bounds, lambda c: c >= F.col("doc_id"))))
-    placed = docs.withColumn("bucket", bucket)
+    placed = docs.withColumn("bucket", _bucket(F.col("doc_id"), sorted(set(cuts))))
     order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first()]
-    tops = [r.bucket for r in placed.select("bucket").distinct().orderBy("bucket").collect()]  # a number per bucket
-    before = {b: tops[i - 1] for i, b in enumerate(tops)}
-    heads = placed.groupBy("bucket").agg(F.max("doc_id").alias("top"))
-    tagged = placed.join(F.broadcast(heads), "bucket")  # a row per bucket
-    is_head = F.col("doc_id").eqNullSafe(F.col("top"))
-    prior = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("bucket"))
-    here = F.struct(F.col("bucket").alias("to"), F.lit(0).alias("guest"))
-    sent = tagged.withColumn("go", F.explode(F.when(is_head, F.array(here, F.struct(prior.alias("to"), F.lit(1).alias("guest")))).otherwise(F.array(here)))).select(*docs.columns, "go.to", "go.guest")
+    # a row per bucket: its first id and the bucket before it, which for the first one is the last
+    heads, by = placed.groupBy("bucket").agg(F.max("doc_id").alias("top")), Window.orderBy("bucket")
+    prior = F.coalesce(F.lag("bucket").over(by), F.max("bucket").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    tagged = placed.join(sized(stash(heads.withColumn("prior", prior), "heads")), "bucket")
+    here, ahead = (F.struct(to.alias("to"), F.lit(guest).alias("guest")) for to, guest in ((F.col("bucket"), 0), (F.col("prior"), 1)))
+    go = F.when(F.col("doc_id").eqNullSafe(F.col("top")), F.array(here, ahead)).otherwise(F.array(here))
+    sent = tagged.withColumn("go", F.explode(go)).select(*docs.columns, "go.to", "go.guest")
     by = Window.partitionBy("to").orderBy("guest", *order)
-    ahead = sent.withColumns({"next_text": F.lead("text").over(by), "next_keys": F.lead("keys").over(by)})
-    return ahead.where("guest = 0").drop("to", "guest")
+    found = sent.withColumns({"next_text": F.lead("text").over(by), "next_keys": F.lead("keys").over(by)})
+    return found.where("guest = 0").drop("to", "guest")
 
 
 def compared(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    docs: doc_id, text.  A null text is empty.  A text's last half is
+    docs: doc_id, text; other columns are not looked at.  A null text is empty,
+    one of any length is hashed whole, of equal hashes in a window the
+    rightmost is chosen.  A text's last half is
     overwritten by the beginning of the next document's; a single document is
     its own next one.  An empty table gives no rows.
     """
