@@ -354,7 +354,8 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     if not many.isEmpty():
         more = stash(more.unionByName(families(many, bins, docs, k, percent)), "more")
     if not more.isEmpty():
-        label = stash(components(links.unionByName(more)), "labels")
+        known = label.where("node != component_id").select(F.col("node").alias("a"), F.col("component_id").alias("b"))
+        label = stash(components(known.unionByName(more)), "labels")
     free(many, found, reps)
     out = member.join(label, F.col("copy_of") == F.col("node"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "copy_of", F.coalesce("component_id", "copy_of").alias("component_id"))

@@ -14,14 +14,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatewatch.llm.tables import stash
-from gatewatch.llm.text import batches, raw
+from gatewatch.llm.tables import SENT, stash
+from gatewatch.llm.text import batches, fresh, raw
 
 #: Kinds in their order within spans.
 KINDS = ("email", "ip", "card", "phone")
@@ -163,24 +163,29 @@ def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, in
 
 
 SPAN = "struct<start:int,kind:int,stop:int>"
-FOUND = f"base array<{SPAN}>, mentions array<struct<start:int,stop:int,kind:int,value:string,patterns:array<string>,seed:boolean,plausible:boolean>>"
+MENTIONS = "array<struct<start:int,stop:int,kind:int,value:string,patterns:array<string>,seed:boolean,plausible:boolean>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("stop", pa.int32())]))
 _MENTIONS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.int32()), ("value", pa.string()), ("patterns", pa.list_(pa.string())), ("seed", pa.bool_()), ("plausible", pa.bool_())]))
 
 
-def _scan(it):
-    for b in batches(it):
-        base, seen = [], []
-        for text in raw(b, "text"):
-            if not text or not (b"@" in text or re.search(rb"[0-9]", text) or _SPELT_AT.search(text)):
-                base.append([])
-                seen.append([])
-                continue
-            text = text.decode(errors="replace")
-            spans = base_spans(text)
-            base.append([{"start": s, "kind": k, "stop": e} for s, k, e in spans])
-            seen.append([dict(zip(("start", "stop", "kind", "value", "patterns", "seed", "plausible"), m, strict=True)) for m in mentions(text, spans)])
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(base, _SPANS), pa.array(seen, _MENTIONS)], [*b.schema.names, "base", "mentions"])
+def _scan(name: str) -> Callable:
+    """Adds base and, by this name, the mentions."""
+
+    def run(it):
+        for b in batches(it):
+            base, seen = [], []
+            for text in raw(b, "text"):
+                if not text or not (b"@" in text or re.search(rb"[0-9]", text) or _SPELT_AT.search(text)):
+                    base.append([])
+                    seen.append([])
+                    continue
+                text = text.decode(errors="replace")
+                spans = base_spans(text)
+                base.append([{"start": s, "kind": k, "stop": e} for s, k, e in spans])
+                seen.append([dict(zip(("start", "stop", "kind", "value", "patterns", "seed", "plausible"), m, strict=True)) for m in mentions(text, spans)])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(base, _SPANS), pa.array(seen, _MENTIONS)], [*b.schema.names, "base", name])
+
+    return run
 
 
 def patterns(graph: DataFrame, support: int = SUPPORT, sure: float = SURE, rounds: int = ROUNDS) -> DataFrame:
@@ -208,25 +213,30 @@ def find(docs: DataFrame, support: int = SUPPORT, sure: float = SURE, rounds: in
     """The columns of docs (the text only with keep_text), then base and added: arrays of (start, kind, stop) in code points.
 
     docs: text and any others.  A null or empty text has no spans.  Repeated
-    rows all get their spans.  Columns named base, added, mentions or text_key
-    in the input are replaced.  An empty table gives no rows.
+    rows all get their spans.  Texts are read whole, whatever their length;
+    contexts are the words within AROUND characters.  Spans that begin together
+    go by kind.  Columns named base or added in the input are replaced, all
+    others are kept.  An empty table gives no rows.
     """
-    keep = [c for c in docs.columns if c not in ("base", "added", "mentions", "text_key")]
-    # equal texts have equal spans: the key is theirs
-    key = F.struct(F.xxhash64("text").alias("hash"), F.length("text").alias("long"))
-    docs = docs.select(*[F.col(f"`{c}`") for c in keep], key.alias("text_key"))
+    keep = [c for c in docs.columns if c not in ("base", "added")]
+    docs = docs.select(*[F.col(f"`{c}`") for c in keep])
+    row, mentioned = fresh(docs, "row", "mentions")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    seen = docs.mapInArrow(_scan, f"{schema}, {FOUND}")
+    seen = docs.mapInArrow(_scan(mentioned), f"{schema}, base array<{SPAN}>, `{mentioned}` {MENTIONS}")
     if not keep_text:
         keep.remove("text")
         seen = seen.drop("text")
-    seen = stash(seen, "mentions")
-    each = seen.where(F.size("mentions") > 0).select("text_key", F.explode("mentions").alias("m")).select("text_key", "m.*")
-    linked = each.select("text_key", "start", "stop", "kind", "value", "seed", "plausible", F.explode("patterns").alias("pattern"))
+    # written, so the numbers of rows stay
+    seen = stash(seen.withColumn(row, F.monotonically_increasing_id()), "mentions")
+    each = seen.where(F.size(mentioned) > 0).select(F.col(row).alias("at"), F.explode(mentioned).alias("m")).select("at", "m.*")
+    linked = each.select("at", "start", "stop", "kind", "value", "seed", "plausible", F.explode("patterns").alias("pattern"))
     good = patterns(linked.select("kind", "value", "pattern", "seed", "plausible"), support, sure, rounds)
-    new = linked.where("not seed").join(good, ["kind", "pattern"], "left_semi").groupBy("text_key").agg(F.collect_set(F.struct("start", "kind", "stop")).alias("added"))
-    out = seen.drop("mentions").join(new, "text_key", "left")
-    return out.select(*[F.col(f"`{c}`") for c in keep], "base", F.coalesce(F.array_sort("added"), F.array().cast(f"array<{SPAN}>")).alias("added"))
+    new = linked.where("not seed").join(good, ["kind", "pattern"], "left_semi").groupBy("at").agg(F.collect_set(F.struct("start", "kind", "stop")).alias("new"))
+    new = stash(new, "added")
+    spans = new.agg(F.sum(F.size("new"))).first()[0] or 0
+    new = F.broadcast(new) if spans <= SENT else new
+    out = seen.alias("t").join(new.alias("n"), F.col(f"t.{row}") == F.col("n.at"), "left")
+    return out.select(*[F.col(f"t.`{c}`") for c in keep], "t.base", F.coalesce(F.array_sort("n.new"), F.array().cast(f"array<{SPAN}>")).alias("added"))
 
 
 def joined(spans):
@@ -241,18 +251,23 @@ def counted(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *n, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"))
 
 
+def _mask(it):
+    """The text with each run of overlapping spans replaced by its first kind in brackets; base and added go."""
+    for b in batches(it):
+        names = [c for c in b.schema.names if c not in ("base", "added")]
+        texts = b.column("text").to_pylist()
+        for i, (base, added) in enumerate(zip(b.column("base").to_pylist(), b.column("added").to_pylist(), strict=True)):
+            if base or added:
+                text, done, out = texts[i], 0, []
+                for s in sorted([*base, *added], key=lambda s: (s["start"], s["kind"], s["stop"])):
+                    if s["start"] >= done:
+                        out += [text[done : s["start"]], "[", KINDS[s["kind"]].upper(), "]"]
+                    done = max(done, s["stop"])
+                texts[i] = "".join([*out, text[done:]])
+        yield pa.RecordBatch.from_arrays([pa.array(texts, b.schema.field("text").type) if c == "text" else b.column(c) for c in names], names)
+
+
 def masked(found: DataFrame) -> DataFrame:
-    """The text with each run of overlapping spans replaced by its first kind in brackets."""
-    kinds = F.array(*map(F.lit, KINDS))
-    spans = F.array_sort(F.concat("base", "added"))
-    zero = F.struct(F.lit(0).alias("done"), F.lit("").alias("out"))
-    start = lambda s: s["start"]
-
-    def step(acc, s):
-        gap = F.substring(F.col("text"), acc["done"] + 1, start(s) - acc["done"])
-        mark = F.concat(F.lit("["), F.upper(F.element_at(kinds, s["kind"] + 1)), F.lit("]"))
-        out = F.when(start(s) >= acc["done"], F.concat(acc["out"], gap, mark)).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["done"], s["stop"]).alias("done"), out.alias("out"))
-
-    end = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["done"] + 1, F.length("text")))
-    return found.withColumn("text", F.when(F.size(spans) == 0, F.col("text")).otherwise(F.aggregate(spans, zero, step, end))).drop("base", "added")
+    """Rows of find() with the text masked, without base and added."""
+    kept = [f for f in found.schema if f.name not in ("base", "added")]
+    return found.mapInArrow(_mask, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept))

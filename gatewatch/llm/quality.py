@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatewatch.llm.tables import stash
-from gatewatch.llm.text import GAP, let, whole, words
+from gatewatch.llm.tables import sized, stash
+from gatewatch.llm.text import GAP, fresh, let, whole, words
 
 MIN_WORDS = 50
 #: Shares in percent beyond which a rule fails: repeated words, symbols and repeated lines by words and lines.
@@ -41,17 +41,18 @@ def _repeat_words(found: Column) -> Column:
 
 def measured(docs: DataFrame) -> DataFrame:
     """The columns of docs, then COUNTS (long) and RULES (boolean)."""
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in (*COUNTS, *RULES, "_words", "_lines")]
+    keep = [F.col(f"`{c}`") for c in docs.columns if c not in (*COUNTS, *RULES)]
     text = whole("text")
+    own, line = fresh(docs, "words", "lines")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    at = docs.select(*keep, words(text).alias("_words"), lines.alias("_lines"))
+    at = docs.select(*keep, words(text).alias(own), lines.alias(line))
     counts = {
-        "n_words": F.size("_words"),
+        "n_words": F.size(own),
         "word_chars": F.length(F.regexp_replace(text, GAP, "")),
         "n_symbols": F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", "")),
-        "n_lines": F.size("_lines"),
-        "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
-        "n_repeat_words": _repeat_words(F.col("_words")),
+        "n_lines": F.size(line),
+        "n_dup_lines": F.size(line) - F.size(F.array_distinct(line)),
+        "n_repeat_words": _repeat_words(F.col(own)),
     }
     at = at.select(*keep, *[v.cast("long").alias(k) for k, v in counts.items()])
     n = F.col("n_words")
@@ -73,7 +74,7 @@ def hosts(judged: DataFrame) -> DataFrame:
     m = by.agg((F.sum("host_fails") / F.sum("host_docs")).alias("mean"), F.var_pop(rate).alias("var")).first()
     mean = m.mean or 0.0
     strength = min(STRENGTH, max(1.0, mean * (1 - mean) / m.var - 1)) if m.var else STRENGTH
-    return by.withColumn("host_rate", (F.col("host_fails") + F.lit(strength * mean)) / (F.col("host_docs") + F.lit(strength)))
+    return sized(by).withColumn("host_rate", (F.col("host_fails") + F.lit(strength * mean)) / (F.col("host_docs") + F.lit(strength)))
 
 
 def _evidence() -> Column:
@@ -102,10 +103,11 @@ def posterior(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     bars = F.length(F.regexp_replace(whole("text"), r"(?<![#*$%&|<>])\|(?![#*$%&|<>])", ""))
     judged = judge(docs.withColumn("n_bars", (F.length(whole("text")) - bars).cast("long")), keep_text=keep_text)
     symbols = 100 * (F.col("n_symbols") - F.col("n_bars")) > SYMBOLS * F.col("n_words")
-    by = hosts(judged.drop("fails_symbols").withColumn("fails_symbols", symbols)).select("host", F.col("host_rate").alias("_prior"))
-    odds = F.col("_prior") / (1 - F.col("_prior")) * _evidence()
-    p = F.when(F.col("base_failed") | (F.col("_prior") >= 1), 1.0).otherwise(odds / (1 + odds))
-    out = judged.join(by, F.col("source").eqNullSafe(F.col("host"))).withColumn("p_junk", p).drop("host", "_prior")
+    by = hosts(judged.drop("fails_symbols").withColumn("fails_symbols", symbols))
+    prior = F.col("h.host_rate")
+    odds = prior / (1 - prior) * _evidence()
+    p = F.when(F.col("base_failed") | (prior >= 1), 1.0).otherwise(odds / (1 + odds))
+    out = judged.alias("d").join(by.alias("h"), F.col("d.source").eqNullSafe(F.col("h.host"))).select("d.*", p.alias("p_junk"))
     return out.withColumn("wanted", F.col("p_junk") <= HOST_RATE)
 
 
@@ -114,14 +116,15 @@ def judge(docs: DataFrame, host_rate: float = HOST_RATE, keep_text: bool = True)
 
     docs: text, source and any others.  A null text has no words and fails, a
     null source is a host of its own, repeated rows count as often as they
-    come, clashing columns are replaced, an empty table gives no rows.  A
+    come, columns of the input named as the added ones are replaced and all
+    others kept, an empty table gives no rows.  A text of any length is counted
+    whole, its words in one array; nothing depends on the order of rows.  A
     document that passes the base rules goes only with a rejected host.
     """
     judged = measured(docs)
     judged = stash(judged if keep_text else judged.drop("text"), "measured")
-    out = judged.drop("host_rate", "base_failed", "kept", "host")
-    by = hosts(judged).select("host", F.col("host_rate").alias("host_rate"))
-    out = out.join(by, F.col("source").eqNullSafe(F.col("host"))).drop("host")
+    by, out = hosts(judged), judged.drop("host_rate", "base_failed", "kept")
+    out = out.alias("d").join(by.alias("h"), F.col("d.source").eqNullSafe(F.col("h.host"))).select("d.*", "h.host_rate")
     base = F.col("fails_short") | F.col("fails_repeat")
     return out.withColumn("base_failed", base).withColumn("kept", ~base & (F.col("host_rate") <= host_rate))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GAP = r"[\x20\x09-\x0D]+"
@@ -30,20 +30,33 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 # --- inside Python tasks -------------------------------------------------
 
-#: Entries of a task's word cache; it is emptied beyond, so memory is bounded.
+#: Entries of a task's word cache; it is emptied beyond, so memory is bounded, as longer words are not kept.
 CACHE = 400_000
+LONGEST = 64
 
 
 class Cached(dict):
-    """word -> value, filled on demand and bounded."""
+    """word -> value, filled on demand and bounded in entries and bytes."""
 
     def __init__(self, make: Callable, most: int = CACHE):
         super().__init__()
         self.make, self.most = make, most
 
     def __missing__(self, word):
+        if len(word) > LONGEST:
+            return self.make(word)
         if len(self) >= self.most:
             self.clear()
         self[word] = value = self.make(word)
