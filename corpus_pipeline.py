@@ -11,42 +11,61 @@ from pyspark.sql import functions as F
 
 from gatewatch.llm import jaccard, mixing, packing, pii, quality
 from gatewatch.llm.queries import vocabulary
-from gatewatch.llm.tables import stash
+from gatewatch.llm.tables import sized, stash, sweep
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go, and those that their host and their own failures make junk."""
+    """Documents that the rules reject go, and those that their host and their own failures make junk.
+
+    A null or empty text goes, a null source is a host, repeated rows are judged
+    each, an empty table stays empty.
+    """
     return quality.posterior(docs.select(*COLUMNS)).where("wanted").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, 0.8) the document of the least id stays, once.
 
-    Texts without words are near nothing and stay.
+    Texts without words and rows without an id are near nothing and stay.  Rows
+    that share an id are one document: they stay or go together, and equal
+    texts among them stay once.  Texts of any length are compared whole.
     """
     docs = docs.select(*COLUMNS)
-    kept = jaccard.classes(docs, k=5, percent=80).where("doc_id is null or n_shingles = 0 or doc_id = component_id").select("doc_id").distinct()
-    stay = docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
-    once = stay.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*[F.min_by(F.col(c), F.xxhash64("text", "lang", "source")).alias(c) for c in COLUMNS[1:]])
-    return once.select(*COLUMNS).unionByName(stay.where(F.col("doc_id").isNull()))
+    gone = stash(jaccard.classes(docs, k=5, percent=80).where("n_shingles > 0 and doc_id != component_id").select("doc_id").distinct(), "gone")
+    shared = stash(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "shared-ids")
+    stay = docs.join(sized(gone), "doc_id", "left_anti")
+    if not shared.isEmpty():
+        rest = F.struct("lang", "source", "n_chars")
+        once = stay.join(sized(shared), "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(rest).alias("rest")).select("doc_id", "text", "rest.*")
+        stay = stay.join(sized(shared), "doc_id", "left_anti").unionByName(once)
+    return stay.select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Identifiers in texts are replaced by their kind; n_chars follows."""
+    """Identifiers in texts are replaced by their kind; n_chars follows.
+
+    Null texts and null n_chars stay null, repeated rows are masked alike, an
+    empty table stays empty.
+    """
     masked = pii.masked(pii.find(docs.select(*COLUMNS)))
     return masked.withColumn("n_chars", F.when(F.col("n_chars").isNull(), None).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them.
+
+    A text without words is there as often as its source is taken whole.  A
+    null source is one of its own, repeated rows share their copies, an empty
+    table stays empty.
+    """
     mixed = mixing.mix(docs.select(*COLUMNS)).where("copies > 0")
     return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces in sequences of 4096 tokens."""
+    """Pieces in sequences of 4096 tokens; a null id is kept, repeated rows are packed each."""
     return packing.pack(docs, vocabulary())
 
 
@@ -66,4 +85,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        sweep(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
