@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatewatch.llm.tables import stash
+from gatewatch.llm.tables import free, sized, stash
 from gatewatch.llm.text import batches, grams, lists, raw, word_hashes
 
 WINDOW = 50
@@ -218,15 +218,21 @@ def _removed(it):
 def repeated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, and kept: the text left, where words were removed.
 
-    docs: doc_id, text.  A null text has no words.  Texts that share a doc_id
+    docs: doc_id, text; other columns are not looked at.  A null text has no
+    words.  Texts of any length are read whole; a reference's automaton is of
+    the runs that others share with it, some 600 bytes a word.  Equal windows
+    count for the least doc_id.  Texts that share a doc_id
     do not remove each other's words, as neither id is smaller; of equal rows
     each gives a row.  A row without doc_id keeps all its words and removes
     none elsewhere.  An empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
     summary = stash(docs.mapInArrow(_summary(window, anchor), "doc_id long, key binary, n_words long, sha256 string, grams array<long>"), "summary")
-    firsts = summary.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("first"))
-    rows = stash(summary.join(firsts, "key", "left").select("doc_id", "key", "n_words", "sha256", "grams", "first"), "rows")
+    long = (F.col("n_words") >= window) & F.col("doc_id").isNotNull()
+    # written, so that the join can split a large group of copies
+    firsts = stash(summary.where(long).groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("key", "first"), "firsts")
+    rows = stash(summary.join(sized(firsts), "key", "left").select("doc_id", "key", "n_words", "sha256", "grams", F.coalesce("first", F.when(long, F.col("doc_id"))).alias("first")), "rows")
+    free(summary, firsts)
     # whole copies of a smaller document go entirely and are no references: the first copy has the same windows
     marks = rows.where(F.col("doc_id") == F.col("first")).select("doc_id", F.explode("grams").alias("gram"))
     shared = marks.groupBy("gram").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("z")).where("ref < z").select("gram", "ref")
@@ -235,14 +241,17 @@ def repeated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Dat
 
     runs = stash(candidates.mapInArrow(_segments(window, anchor), "ref long, role int, doc_id long, start long, words binary"), "runs")
     wide = runs.where("role = 1").groupBy("ref").agg(F.ceil(F.sum(F.length("words")) / F.lit(8 * STREAM)).cast("int").alias("copies"))
-    spread = runs.join(wide.where("copies > 1"), "ref", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    spread = runs.join(sized(stash(wide.where("copies > 1"), "wide")), "ref", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
     salt = F.when(F.col("role") == 0, F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id", "start"), F.col("copies")).cast("int")))
     dealt = spread.withColumn("salt", F.explode(salt)).drop("copies").repartition("ref", "salt").sortWithinPartitions("ref", "salt", "role", "doc_id", "start")
     found = stash(dealt.mapInArrow(_matched(window), "doc_id long, start long, stop long, window long"), "matched")
 
+    free(runs)
     rest = found.where("window is not null")
     also = rest.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("z")).where("least < z").select("window", "least")
     spans = found.where("window is null").select("doc_id", "start", "stop").unionByName(rest.join(also, "window").where("doc_id > least").select("doc_id", "start", "stop"))
+    # windows that start within a window's length leave no gap between them
+    spans = spans.groupBy("doc_id", F.floor(F.col("start") / window)).agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     cut = candidates.select("doc_id", "text").join(spans, "doc_id").mapInArrow(_removed, "doc_id long, key binary, n_removed long, kept string")
     cut = cut.dropDuplicates(["doc_id", "key"])
