@@ -1,11 +1,12 @@
 """Licence scans: MinHash bands over overlapping windows find templates, shingle containment verifies them.
 
-Texts and templates are shingles of five lower-cased words.  Windows of four
-shingles (one, for templates that are shorter) overlap by half in a text and
-start at every shingle in a template, so a copied stretch meets a template
-window that is equal to it.  Each of BANDS bands is one MinHash value: windows
-of Jaccard similarity j collide with probability 1 - (1 - j) ** BANDS, 0.94
-at one half.  All of it is built-in functions.
+Texts and templates are shingles of five lower-cased words.  A template's
+windows start at each of its shingles, a text's overlap by half; windows have
+four shingles, or two or one for templates too short for more, so that a text
+window lies inside any copy of a template.  A band is one MinHash value of a
+window: equal windows collide in all bands, windows of Jaccard similarity j
+with probability 1 - (1 - j) ** bands, 0.94 at one half for four bands.  All of
+it is built-in functions; the bands meet in a join on their values.
 """
 
 from __future__ import annotations
@@ -13,14 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gatewatch.llm.tables import free, sized, stash
 from gatewatch.llm.text import let, whole, words
-from gatewatch.llm.winnowing import _least, gram_hashes
+from gatewatch.llm.winnowing import gram_hashes
 
-BANDS = 4
-WINDOW = 4
+#: Shingles of a window; bands of it, step of a text's windows, shingles that a template needs for it.
+WINDOWS = {4: (4, 2, 5), 2: (2, 1, 2), 1: (1, 1, 1)}
 CONTAINED = 80
-#: Templates and their words that a scan takes at most.
-TEMPLATES, TEMPLATE_WORDS = 2000, 500_000
 
 # Licence notices.
 NOTICES = {
@@ -41,44 +41,45 @@ def _shingles(text: Column) -> Column:
     return let(words(bare), lambda w: F.when(F.size(w) >= 5, gram_hashes(w)).otherwise(F.array().cast("array<bigint>")))
 
 
-def _bands(hashes: Column, step: int) -> Column:
-    """Band keys: of windows of WINDOW shingles at every step, or of single shingles where there are fewer."""
+def _order(band: int) -> int:
+    """What a band's hashes are XORed with, so that each band orders them anew."""
+    return ((band + 1) * 0x9E3779B97F4A7C15 % (1 << 64)) - (1 << 63)
 
-    def band(j: int) -> Column:
-        least = let(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(j))), lambda k: let(_least(k, 1), lambda two: _least(two, 2)))
-        every = least if step == 1 else let(least, lambda a: F.filter(a, lambda x, i: (i % step == 0) | (i == F.size(a) - 1)))
-        return F.transform(every, lambda x: F.xxhash64(x, F.lit(j), F.lit("window")))
 
-    return F.array_distinct(F.concat(*[band(j) for j in range(BANDS)]))
-
-
-def _single(hashes: Column) -> Column:
-    return F.transform(hashes, lambda h: F.xxhash64(h, F.lit("single")))
+def _bands(hashes: str, width: int, step: int) -> Column:
+    """Band values of the windows of a column of shingles, at every step and at the end."""
+    last = F.size(hashes) - width
+    starts = F.when(last >= 0, F.array_union(F.sequence(F.lit(0), last, F.lit(step)), F.array(last))).otherwise(F.array().cast("array<int>"))
+    value = lambda i, band: [F.get(hashes, i + a).bitwiseXOR(F.lit(_order(band))) for a in range(width)]
+    least = lambda i, band: F.least(*value(i, band)) if width > 1 else value(i, band)[0]
+    return F.flatten(F.transform(starts, lambda i: F.array(*[least(i, band) for band in range(WINDOWS[width][0])])))
 
 
 def scan(docs: DataFrame, templates: DataFrame, contained: int = CONTAINED) -> DataFrame:
     """doc_id, license, containment: templates of which ``contained`` percent of the shingles stand in a text.
 
-    docs: doc_id, text; templates: license, text, at most TEMPLATES rows of
-    TEMPLATE_WORDS words in all, else ValueError.  Null texts and templates of
-    fewer than five words match nothing; a license with several templates
-    counts by its best.  Repeated rows of one doc_id give one result.  An
-    empty table gives no rows.
+    docs: doc_id, text; templates: license, text, any number of rows; other
+    columns are not looked at.  Null texts and templates of fewer than five
+    words match nothing; a license with several templates counts by its best.
+    Rows that share a doc_id, null or not, give one result for each license,
+    the best of them.  Texts of any length are hashed whole; ties do not arise.
+    An empty table gives no rows.
     """
+    width = F.coalesce(*[F.when(F.size("own") >= least, F.lit(w)) for w, (_, _, least) in sorted(WINDOWS.items(), reverse=True)])
     known = templates.select("license", _shingles(whole("text")).alias("own")).where(F.size("own") > 0)
-    known = known.select("license", "own", F.when(F.size("own") >= WINDOW, _bands(F.col("own"), 1)).otherwise(_single(F.col("own"))).alias("keys")).limit(TEMPLATES + 1).collect()
-    if len(known) > TEMPLATES or sum(len(r.own) for r in known) > TEMPLATE_WORDS:
-        raise ValueError("too many templates for one scan; scan them in parts")
-    spark = docs.sparkSession
-    table = spark.createDataFrame([(r.license, r.own, r.keys) for r in known], "license string, own array<bigint>, keys array<bigint>")
-    keys = spark.createDataFrame([(sorted({k for r in known for k in r.keys}),)], "wanted array<bigint>")
-
-    has_long = any(len(r.own) >= WINDOW for r in known)
+    known = stash(known.withColumns({"width": width, "template": F.monotonically_increasing_id()}), "templates")
+    widths = [r.width for r in known.select("width").distinct().collect()]  # three at most
+    keys = F.coalesce(*[F.when(F.col("width") == w, _bands("own", w, 1)) for w in WINDOWS])
+    by_key = stash(known.select("template", F.explode(keys).alias("key")).distinct(), "template-keys")
+
+    docs = docs.select("doc_id", "text")
     hashed = docs.select("doc_id", _shingles(whole("text")).alias("hashes"))
-    probe = F.concat(_bands(F.col("hashes"), WINDOW // 2), _single(F.col("hashes"))) if has_long else _single(F.col("hashes"))
-    # the templates' keys are one row of bounded size
-    met = hashed.join(F.broadcast(keys)).select("doc_id", "hashes", F.array_intersect(probe, "wanted").alias("met")).where(F.size("met") > 0)
-    by_key = F.broadcast(table.select("license", "own", F.explode("keys").alias("key")))
-    pairs = met.select("doc_id", "hashes", F.explode("met").alias("key")).join(by_key, "key")
+    probes = F.concat(F.array().cast("array<bigint>"), *[_bands("hashes", w, WINDOWS[w][1]) for w in sorted(widths)])
+    met = stash(hashed.select("doc_id", F.explode(probes).alias("key")).join(sized(by_key), "key").select("doc_id", "template").distinct(), "met")
+    free(by_key)
+    # only texts that met a template are hashed again
+    ids = stash(met.select(F.col("doc_id").alias("id")).distinct(), "ids")
+    found = docs.join(sized(ids), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("doc_id", _shingles(whole("text")).alias("hashes"))
+    pairs = found.alias("d").join(met.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id"))).select("d.doc_id", "hashes", "template").join(sized(known), "template")
     share = F.size(F.array_intersect("hashes", "own")) / F.size(F.array_distinct("own"))
     return pairs.select("doc_id", "license", share.alias("share")).where(F.col("share") * 100 >= contained).groupBy("doc_id", "license").agg(F.max("share").alias("containment"))
