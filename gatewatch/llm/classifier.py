@@ -79,7 +79,9 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     """doc_id, own_score, host_mean, path_mean, quality, kept.
 
     docs: doc_id, text and the columns of host and path; labels: doc_id,
-    quality (0 or 1, others ignored).  Null texts are empty, null hosts and
+    quality (0 or 1, others ignored); other columns are not looked at.  Texts
+    of any length are measured whole; nothing depends on the order of rows, and
+    of two labels of a document the better counts.  Null texts are empty, null hosts and
     paths are groups of their own, repeated rows count as often as they come.
     Without labels every document scores 0.5.  An empty table gives no rows.
     """

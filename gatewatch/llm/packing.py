@@ -144,9 +144,11 @@ def _merge(capacity: int) -> Callable:
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Pieces of every document and their place in sequences of at most ``capacity`` tokens.
 
-    docs: doc_id, text.  A null or empty text is the end id alone; a document
-    beyond the capacity is cut, its last piece being the short one.  Repeated
-    rows are packed as often as they come.  An empty table gives no rows.
+    docs: doc_id, text; other columns are not looked at.  A null or empty text
+    is the end id alone; a document beyond the capacity, however long, is cut,
+    its last piece being the short one.  Pieces of one length go by their place
+    in the input.  Repeated rows are packed as often as they come.  An empty
+    table gives no rows.
     """
     pieces = stash(docs.select("doc_id", "text").mapInArrow(_pack(vocabulary, capacity, end_id), PIECES), "pieces")
     moved = None  # bin -> where it lies by now
