@@ -63,4 +63,38 @@ def op10_license_scan(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_ngram_jaccard, op4_mixing, op5_pii, op6_winnowing, op7_substring_dedup, op8_quality_classifier, op9_token_counts, op10_license_scan)}
-ORACLES = {"op1_quality_rules": quality.SQL}
+_WORDS = r"w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents)"
+
+NGRAM_SQL = f"""
+WITH RECURSIVE {_WORDS},
+l AS (SELECT doc_id, list_transform(ws, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ws FROM w),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+  ELSE list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3]) END) AS g FROM l),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+near AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM near UNION ALL SELECT y, x FROM near),
+r AS (SELECT doc_id, doc_id AS node FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.node = e.x)
+SELECT doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(node) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
+SUBSTRING_SQL = f"""
+WITH {_WORDS},
+g AS (SELECT doc_id, unnest(range(1, len(ws) - 48)) AS i, unnest(list_transform(range(1, len(ws) - 48), lambda i: array_to_string(ws[i:i + 49], ' '))) AS g FROM w WHERE len(ws) >= 50),
+f AS (SELECT g, min(doc_id) AS least FROM g GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM g JOIN f USING (g), range(50) AS k(j) WHERE least < doc_id),
+each AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM w),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+LICENSE_SQL = f"""
+WITH texts AS (SELECT doc_id::VARCHAR AS id, doc_id, coalesce(text, '') AS t FROM documents UNION ALL SELECT license, NULL, t FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in licenses.NOTICES.items())}) AS v(license, t)),
+b AS (SELECT id, doc_id, list_filter(list_transform(regexp_extract_all(lower(t), '[^\\x20\\x09-\\x0D]+'), lambda x: regexp_replace(x, '[.,;:!?"''()]+$', '')), lambda x: x <> '') AS ws FROM texts),
+s AS (SELECT DISTINCT id, doc_id, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) AS g FROM b WHERE len(ws) >= 5),
+n AS (SELECT id, count(*) AS n FROM s WHERE doc_id IS NULL GROUP BY 1),
+m AS (SELECT a.doc_id, n.id AS license, count(*) / any_value(n.n) AS containment FROM s a JOIN s o ON a.g = o.g AND a.doc_id IS NOT NULL AND o.doc_id IS NULL JOIN n ON n.id = o.id GROUP BY 1, 2)
+SELECT doc_id, license, containment FROM m WHERE containment * 100 >= 80
+"""
+
+ORACLES = {"op1_quality_rules": quality.SQL, "op3_ngram_jaccard": NGRAM_SQL, "op7_substring_dedup": SUBSTRING_SQL, "op10_license_scan": LICENSE_SQL}
