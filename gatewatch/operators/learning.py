@@ -106,7 +106,7 @@ def fit(rows: DataFrame, epochs: int = 400, lr: float = 0.3, l2: float = 1e-3, m
             x, y = block
             return x.T @ (1 / (1 + np.exp(-np.clip(x @ here, -35, 35))) - y)
 
-        g = data.map(gradient).treeReduce(np.add) / total
+        g = data.map(gradient).reduce(np.add) / total
         w -= lr * (g + l2 * np.r_[w[:-1], 0.0])
     data.unpersist()
     return Model(tuple(w[:-1].tolist()), float(w[-1]), tuple(mean.tolist()), tuple(std.tolist()))
