@@ -490,6 +490,7 @@ def test_tables_go_with_their_last_plan(spark):
 
     def swept():
         for _ in range(20):
+            spark.range(2).count()  # what ran last may be remembered
             gc.collect()
             spark._jvm.System.gc()
             time.sleep(0.1)
