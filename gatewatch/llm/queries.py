@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gatewatch.llm import classifier, jaccard, licenses, mixing, packing, pii, quality, substrings, tokencount, winnowing
+from gatewatch.llm import bytepairs, classifier, filters, jaccard, licenses, mixing, packing, periodic, pii, quality, substrings, tokencount, winnowing
+from gatewatch.llm.text import batches, raw
 
 
 def _read(spark: SparkSession, sf_dir: str, *columns: str, table: str = "documents") -> DataFrame:
@@ -62,7 +67,60 @@ def op10_license_scan(spark, sf_dir):
     return licenses.scan(_read(spark, sf_dir, "doc_id", "text"), licenses.notices(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_ngram_jaccard, op4_mixing, op5_pii, op6_winnowing, op7_substring_dedup, op8_quality_classifier, op9_token_counts, op10_license_scan)}
+def _spun(it):
+    """Of a tenth of the ids, chosen by checksum, the text from some word on repeats its next words to the end."""
+    for b in batches(it):
+        texts = raw(b, "text")
+        for i, doc_id in enumerate(b.column("doc_id").to_pylist()):
+            h = zlib.crc32(str(doc_id).encode())
+            if doc_id is None or h % 10 or not (words := (texts[i] or b"").split()):
+                continue
+            g, n = h // 10, len(words)
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            texts[i] = b" ".join([*words[:a], *(words[a + k % p] for k in range(n - a))])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "text"])
+
+
+def periodic_digests(found: DataFrame) -> DataFrame:
+    """Rows of periodic.detect() as counts, the run of greatest exponent and checksums."""
+    exponent = lambda r: r["length"] / r["period"]
+    best = F.array_max(F.transform("runs", lambda r: F.struct(exponent(r).alias("x"), (-r["start"]).alias("s"), (-r["period"]).alias("p"), r["length"].alias("n"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    # whole numbers only: 1000 * length / period rounded down
+    milli = F.expr("1000 * b.n DIV -b.p")
+    return rows.select("doc_id", "n_runs", (-F.col("b.s")).alias("start"), F.col("b.n").alias("length"), (-F.col("b.p")).alias("period"), milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op11_periodic_runs(spark, sf_dir):
+    docs = _read(spark, sf_dir, "doc_id", "text")
+    return periodic_digests(periodic.detect(docs.mapInArrow(_spun, "doc_id long, text string")))
+
+
+def ranks() -> tuple[str, str]:
+    """Path and pattern of a rank file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN
+
+
+def byte_pair_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    both = bytepairs.decode(bytepairs.encode(docs, path, pattern), path)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_byte_bpe(spark, sf_dir):
+    return byte_pair_digests(_read(spark, sf_dir, "doc_id", "text"), *ranks())
+
+
+def op13_filter_audit(spark, sf_dir):
+    labels = _read(spark, sf_dir, "doc_id", "quality", "toxic", table="labels")
+    return filters.audit(filters.marked(_read(spark, sf_dir, "doc_id", "text", "lang"), labels))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_ngram_jaccard, op4_mixing, op5_pii, op6_winnowing, op7_substring_dedup, op8_quality_classifier, op9_token_counts, op10_license_scan, op11_periodic_runs, op12_byte_bpe, op13_filter_audit)}
 _WORDS = r"w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents)"
 
 NGRAM_SQL = f"""
@@ -97,4 +155,4 @@ m AS (SELECT a.doc_id, n.id AS license, count(*) / any_value(n.n) AS containment
 SELECT doc_id, license, containment FROM m WHERE containment * 100 >= 80
 """
 
-ORACLES = {"op1_quality_rules": quality.SQL, "op3_ngram_jaccard": NGRAM_SQL, "op7_substring_dedup": SUBSTRING_SQL, "op10_license_scan": LICENSE_SQL}
+ORACLES = {"op1_quality_rules": quality.SQL, "op3_ngram_jaccard": NGRAM_SQL, "op7_substring_dedup": SUBSTRING_SQL, "op10_license_scan": LICENSE_SQL, "op13_filter_audit": filters.SQL}
