@@ -247,7 +247,8 @@ def joined(spans):
 
 def counted(found: DataFrame) -> DataFrame:
     """One row per row of find(): doc_id, n_<kind> of the base, base_sha256, spans."""
-    n = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    of = lambda kind: lambda s: s["kind"] == kind  # noqa: E731  a second parameter would be the element's place
+    n = [F.size(F.filter("base", of(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select("doc_id", *n, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"))
 
 
