@@ -114,7 +114,7 @@ def _key(words: list[bytes]) -> bytes:
 
 
 def _summary(window: int, anchor: int) -> Callable:
-    names = ["doc_id", "key", "n_words", "sha256", "grams"]
+    names = ["doc_id", "of", "key", "n_words", "sha256", "grams"]
 
     def run(it):
         for b in batches(it):
@@ -126,21 +126,21 @@ def _summary(window: int, anchor: int) -> Callable:
                 found.append(np.unique(g[np.unique(at)]).view(np.int64))
                 rows.append((doc_id, _key(words), len(words), hashlib.sha256(b" ".join(words)).hexdigest()))
             ids, keys, n, sha = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(sha), lists(found, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), b.column("of"), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(sha), lists(found, pa.int64())], names)
 
     return run
 
 
 def _segments(window: int, anchor: int) -> Callable:
     """Runs of windows that have the same reference, as word hashes; role 0: the reference's own."""
-    names = ["ref", "role", "doc_id", "start", "words"]
+    names = ["ref", "role", "doc_id", "of", "start", "words"]
 
     def run(it):
         for b in batches(it, 64):
             rows = []
             shared = b.column("shared")
             every, ends = word_hashes(b, "text")
-            for i, doc_id in enumerate(b.column("doc_id").to_pylist()):
+            for i, (doc_id, of_text) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("of").to_pylist(), strict=True)):
                 pairs = shared[i].values
                 gram = pairs.field("gram").to_numpy(zero_copy_only=False).view(np.uint64)
                 ref = pairs.field("ref").to_numpy(zero_copy_only=False)
@@ -155,22 +155,22 @@ def _segments(window: int, anchor: int) -> Callable:
                 of = np.where(gram[found] == own, ref[found], np.iinfo(np.int64).min)
                 for x, y in _runs(of):
                     if of[x] != np.iinfo(np.int64).min:
-                        rows.append((int(of[x]), int(of[x] != doc_id), doc_id, x, hashes[x : y + window - 1].tobytes()))
+                        rows.append((int(of[x]), int(of[x] != doc_id), doc_id, of_text, x, hashes[x : y + window - 1].tobytes()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names)
 
     return run
 
 
 def _matched(window: int) -> Callable:
     """Rows come by reference, its own runs first."""
-    names = ["doc_id", "start", "stop", "window"]
+    names = ["doc_id", "of", "start", "stop", "window"]
 
     def run(it):
         at, automaton = None, SuffixAutomaton()
         for b in batches(it, 256):
-            ids, starts, stops, windows = [], [], [], []
-            for ref, salt, role, doc_id, start, words in zip(*(b.column(c).to_pylist() for c in ("ref", "salt", "role", "doc_id", "start", "words")), strict=True):
+            ids, texts, starts, stops, windows = [], [], [], [], []
+            for ref, salt, role, doc_id, of, start, words in zip(*(b.column(c).to_pylist() for c in ("ref", "salt", "role", "doc_id", "of", "start", "words")), strict=True):
                 if (ref, salt) != at:
                     at, automaton = (ref, salt), SuffixAutomaton()
                 hashes = np.frombuffer(words, np.uint64)
@@ -181,27 +181,28 @@ def _matched(window: int) -> Callable:
                 for x, y in _runs(hit):
                     if hit[x]:
                         ids.append(doc_id)
+                        texts.append(of)
                         starts.append(start + x)
                         stops.append(start + y + window - 1)
                         windows.append(None)
                 miss = np.flatnonzero(~hit)
                 if len(miss):
                     ids += [doc_id] * len(miss)
+                    texts += [of] * len(miss)
                     starts += (start + miss).tolist()
                     stops += (start + miss + window).tolist()
                     windows += grams(hashes, window)[miss].view(np.int64).tolist()
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(stops, pa.int64()), pa.array(windows, pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (ids, texts, starts, stops, windows)], names)
 
     return run
 
 
 def _removed(it):
-    names = ["doc_id", "key", "n_removed", "kept"]
     for b in batches(it, 64):
         rows = []
         spans = b.column("spans")
-        for i, (doc_id, text) in enumerate(zip(b.column("doc_id").to_pylist(), raw(b, "text"), strict=True)):
+        for i, text in enumerate(raw(b, "text")):
             words = (text or b"").split()
             edge = np.zeros(len(words) + 1, np.int64)
             own = spans[i].values
@@ -210,9 +211,9 @@ def _removed(it):
             np.add.at(edge, np.minimum(stop, len(words)), -1)
             stays = np.cumsum(edge[:-1]) == 0
             left = [words[j] for j in np.flatnonzero(stays).tolist()]
-            rows.append((doc_id, _key(words), len(words) - len(left), b" ".join(left).decode(errors="replace")))
-        ids, keys, n, kept = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(kept, pa.string())], names)
+            rows.append((len(words) - len(left), b" ".join(left).decode(errors="replace")))
+        n, kept = zip(*rows, strict=True)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("of"), pa.array(n, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "of", "n_removed", "kept"])
 
 
 def repeated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -226,37 +227,38 @@ def repeated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Dat
     each gives a row.  A row without doc_id keeps all its words and removes
     none elsewhere.  An empty table gives no rows.
     """
-    docs = docs.select("doc_id", "text")
-    summary = stash(docs.mapInArrow(_summary(window, anchor), "doc_id long, key binary, n_words long, sha256 string, grams array<long>"), "summary")
+    # of: which of the texts with this doc_id
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("of"))
+    summary = stash(docs.mapInArrow(_summary(window, anchor), "doc_id long, of long, key binary, n_words long, sha256 string, grams array<long>"), "summary")
     long = (F.col("n_words") >= window) & F.col("doc_id").isNotNull()
     # written, so that the join can split a large group of copies
     firsts = stash(summary.where(long).groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("key", "first"), "firsts")
-    rows = stash(summary.join(sized(firsts), "key", "left").select("doc_id", "key", "n_words", "sha256", "grams", F.coalesce("first", F.when(long, F.col("doc_id"))).alias("first")), "rows")
+    rows = stash(summary.join(sized(firsts), "key", "left").select("doc_id", "of", "n_words", "sha256", "grams", F.coalesce("first", F.when(long, F.col("doc_id"))).alias("first")), "rows")
     free(summary, firsts)
     # whole copies of a smaller document go entirely and are no references: the first copy has the same windows
-    marks = rows.where(F.col("doc_id") == F.col("first")).select("doc_id", F.explode("grams").alias("gram"))
+    marks = rows.where(F.col("doc_id") == F.col("first")).select("doc_id", "of", F.explode("grams").alias("gram"))
     shared = marks.groupBy("gram").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("z")).where("ref < z").select("gram", "ref")
-    per_doc = marks.join(shared, "gram").groupBy("doc_id").agg(F.collect_set(F.struct("gram", "ref")).alias("shared"))
-    candidates = stash(docs.join(per_doc, "doc_id"), "candidates")
+    per_doc = marks.join(shared, "gram").groupBy("doc_id", "of").agg(F.collect_set(F.struct("gram", "ref")).alias("shared"))
+    candidates = stash(docs.join(per_doc, ["doc_id", "of"]), "candidates")
 
-    runs = stash(candidates.mapInArrow(_segments(window, anchor), "ref long, role int, doc_id long, start long, words binary"), "runs")
+    runs = stash(candidates.mapInArrow(_segments(window, anchor), "ref long, role int, doc_id long, of long, start long, words binary"), "runs")
     wide = runs.where("role = 1").groupBy("ref").agg(F.ceil(F.sum(F.length("words")) / F.lit(8 * STREAM)).cast("int").alias("copies"))
     spread = runs.join(sized(stash(wide.where("copies > 1"), "wide")), "ref", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
-    salt = F.when(F.col("role") == 0, F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id", "start"), F.col("copies")).cast("int")))
-    dealt = spread.withColumn("salt", F.explode(salt)).drop("copies").repartition("ref", "salt").sortWithinPartitions("ref", "salt", "role", "doc_id", "start")
-    found = stash(dealt.mapInArrow(_matched(window), "doc_id long, start long, stop long, window long"), "matched")
+    salt = F.when(F.col("role") == 0, F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id", "of", "start"), F.col("copies")).cast("int")))
+    dealt = spread.withColumn("salt", F.explode(salt)).drop("copies").repartition("ref", "salt").sortWithinPartitions("ref", "salt", "role", "doc_id", "of", "start")
+    found = stash(dealt.mapInArrow(_matched(window), "doc_id long, of long, start long, stop long, window long"), "matched")
 
     free(runs)
     rest = found.where("window is not null")
     also = rest.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("z")).where("least < z").select("window", "least")
-    spans = found.where("window is null").select("doc_id", "start", "stop").unionByName(rest.join(also, "window").where("doc_id > least").select("doc_id", "start", "stop"))
+    spans = found.where("window is null").select("doc_id", "of", "start", "stop").unionByName(rest.join(also, "window").where("doc_id > least").select("doc_id", "of", "start", "stop"))
     # windows that start within a window's length leave no gap between them
-    spans = spans.groupBy("doc_id", F.floor(F.col("start") / window)).agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
-    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    cut = candidates.select("doc_id", "text").join(spans, "doc_id").mapInArrow(_removed, "doc_id long, key binary, n_removed long, kept string")
-    cut = cut.dropDuplicates(["doc_id", "key"])
+    spans = spans.groupBy("doc_id", "of", F.floor(F.col("start") / window)).agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    spans = spans.groupBy("doc_id", "of").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    cut = candidates.select("doc_id", "of", "text").join(spans, ["doc_id", "of"]).mapInArrow(_removed, "doc_id long, of long, n_removed long, kept string")
+    cut = cut.dropDuplicates(["doc_id", "of"])
 
-    out = rows.drop("grams").join(cut, ["doc_id", "key"], "left")
+    out = rows.drop("grams").join(cut, ["doc_id", "of"], "left")
     copy = F.col("doc_id") > F.col("first")
     kept = F.when(copy, "").otherwise(F.col("kept"))
     return out.select(
