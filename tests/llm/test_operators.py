@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gatewatch.llm import classifier, jaccard, licenses, mixing, packing, pii, quality, substrings, tokencount, winnowing
+from gatewatch.llm import classifier, jaccard, licenses, mixing, packing, pii, quality, queries, substrings, tokencount, winnowing
 from gatewatch.llm.queries import vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, row string, kept string"
@@ -273,9 +273,11 @@ def test_pivotal_keeps_shares():
     assert abs(mean / 400 - 0.3).max() < 0.12
 
 
-def test_pii_base():
-    """Against the plain patterns, leftmost and non-overlapping per kind."""
-    plain = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+PLAIN = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+
+
+def plain_spans(text):
+    """By the plain patterns, leftmost and non-overlapping per kind: start, kind, end."""
 
     def holds(kind, text):
         digits = [int(c) for c in text if c.isdigit()]
@@ -285,15 +287,42 @@ def test_pii_base():
             return 14 <= len(digits) <= 19 and sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
         return kind == 0 or 10 <= len(digits) <= 15
 
+    return sorted((m.start(), k, m.end()) for k, p in enumerate(PLAIN) for m in re.finditer(p, text) if holds(k, m[0]))
+
+
+def identifier_soup(n):
     rng = random.Random(8)
-    for t in range(6000):
-        text = "".join(rng.choice(["a@.-1 _é%", "12.. 5", "0123456789 -", "+1234567890 ().-"][t % 4]) for _ in range(rng.randint(0, 45)))
-        want = sorted((m.start(), k, m.end()) for k, p in enumerate(plain) for m in re.finditer(p, text) if holds(k, m[0]))
-        assert pii.base_spans(text) == want, text
+    return ["".join(rng.choice(["a@.-1 _é%", "12.. 5", "0123456789 -", "+1234567890 ().-"][t % 4]) for _ in range(rng.randint(0, 45))) for t in range(n)]
+
+
+def test_pii_base():
+    for text in identifier_soup(6000):
+        assert pii.base_spans(text) == plain_spans(text), text
     found = [pii.KINDS[k] for _, k, _ in pii.base_spans("é a.b@c.de, 1.2.3.4; 4111 1111 1111 1111, +1 (412) 555-7058")]
     assert found == ["email", "ip", "card", "phone"]
 
 
+@pytest.mark.parametrize("source", ["soup", "/root/testdata/sf0.01"])
+def test_pii_counts(spark, source):
+    """The columns of the base as the query gives them, by value, for every row."""
+    if source == "soup":
+        rows = [(i, " | ".join(identifier_soup(6000)[i : i + 4])) for i in range(0, 6000, 4)] + [(-1, None), (-1, ""), (-2, "a.b@c.de, 1.2.3.4; 4111 1111 1111 1111, +1 (412) 555-7058 x@y.zz")]
+        got = pii.counted(pii.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    else:
+        rows = spark.read.parquet(f"{source}/documents.parquet").select("doc_id", "text").collect()
+        got = queries.op5_pii(spark, source)
+    want = []
+    for i, text in rows:
+        spans = plain_spans(text or "")
+        said = ",".join(f"{pii.KINDS[k]}:{a}:{z}" for a, k, z in spans)
+        want.append((i, *[sum(k == x for _, x, _ in spans) for k in range(4)], hashlib.sha256(said.encode()).hexdigest()))
+    assert len({w[1:5] for w in want}) > 5
+    got = got.collect()
+    assert sorted((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in got) == sorted(want)
+    base = {(w[0], w[5]) for w in want}
+    assert all((r.doc_id, hashlib.sha256(r.spans.encode()).hexdigest()) in base or r.spans.count(",") >= sum(r[1:5]) for r in got)
+
+
 def test_pii_learns_contexts(spark):
     rng = random.Random(1)
     made = [(i, f"pay{rng.randint(0, 9)} by wire iban-card: 4{''.join(rng.choice('0123456789') for _ in range(15))} now") for i in range(400)]
@@ -361,6 +390,33 @@ def test_substrings(docs, rows):
         assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (len(w), len(gone), hashlib.sha256(left).hexdigest())
 
 
+def plain_repeated(rows):
+    """Per row: words, removed, checksum of the rest; rows of one id, and rows without id, remove nothing from each other."""
+    least, out = {}, []
+    windows = lambda w: ((a, tuple(w[a : a + 50])) for a in range(len(w) - 49))
+    for i, text in rows:
+        for _, g in windows(words_of(text)):
+            if i is not None:
+                least[g] = min(i, least.get(g, i))
+    for i, text in rows:
+        w = words_of(text)
+        gone = {a + j for a, g in windows(w) if i is not None and least[g] < i for j in range(50)}
+        out.append((i, len(w), len(gone), hashlib.sha256(b" ".join(x for j, x in enumerate(w) if j not in gone)).hexdigest()))
+    return sorted(out, key=str)
+
+
+def test_substrings_of_texts_that_share_an_id(spark):
+    """A repeat in one text of an id takes nothing from its other texts; by value, with nulls and repeated rows."""
+    number = lambda a, n: " ".join(f"w{k}" for k in range(a, a + n))
+    P = number(0, 60)
+    few = [(1, f"{P} x y"), (5, f"{P} z"), (5, number(1000, 80)), (None, f"{P} q"), (5, f"{P} z"), (7, None), (7, ""), (8, number(1000, 80).replace(" ", "\n"))]
+    rng = random.Random(9)
+    many = [(rng.choice([*range(25), None]), " ".join(number(rng.choice([0, 30, 2000, 3000 + 100 * i]), rng.choice([10, 55, 70, 120])) for _ in range(rng.randint(1, 4)))) for i in range(120)]
+    for rows in (few, many):
+        got = substrings.repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+        assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str) == plain_repeated(rows)
+
+
 def test_suffix_automaton():
     rng = random.Random(2)
     for _ in range(200):
