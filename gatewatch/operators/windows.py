@@ -2,8 +2,9 @@
 
 features() takes two shuffles, one by IP and one by target, each in chunks of
 time; a task streams through sorted rows and holds a minute of one key.
-sliding() gives the same from running sums of what enters and leaves a window,
-in groups of a key's second: for keys whose minute is too much for a task.
+Keys whose chunk is too much for a task are found first, and only their rows
+go through sliding(), which gives the same from running sums of what enters and
+leaves a window, in groups of a key's second.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ CHUNK_S = 1
 SWEPT_S = 120
 #: Rows that a task of features() looks at together at least.
 STEP = 65_536
+#: Rows of a key in a chunk of time from which the key is busy.
+BUSY = 1_000_000
+#: Groups that rows without a time are dealt to.
+TIMELESS = 4096
 #: What an event changes: rows and values in the window, the gaps between its rows and their squares.
 CHANGES = ("d60", "d10", "different", "gap", "square")
 
@@ -95,15 +100,16 @@ def with_target(df: DataFrame) -> DataFrame:
     return df.withColumn("route", route_of(F.col("path"))).withColumn("target", target_of(F.col("route"), F.col("asn_type")))
 
 
-def _joined(held: pa.RecordBatch | None, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return pa.Table.from_batches([*([held] if held else []), *rows]).combine_chunks().to_batches()[0]
+def _codes(values: pa.ChunkedArray) -> np.ndarray:
+    """A number for each different value, -1 for null."""
+    coded = values.dictionary_encode().unify_dictionaries()
+    return np.concatenate([c.indices.fill_null(-1).to_numpy(zero_copy_only=False) for c in coded.chunks])
 
 
-def _starts(b: pa.RecordBatch) -> np.ndarray:
-    """Whether each row has another key or chunk than the one before."""
-    code = pc.dictionary_encode(b.column("_key"), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
-    chunk = b.column("_chunk").to_numpy(zero_copy_only=False)
-    return np.concatenate([[True], (code[1:] != code[:-1]) | (chunk[1:] != chunk[:-1])])
+def _narrow(b: pa.RecordBatch) -> pa.Table:
+    """What later rows need of a batch; text without the limit of 2 GB."""
+    wide = lambda c: c.cast(pa.large_string()) if pa.types.is_string(c.type) else c
+    return pa.table([wide(b.column("_key")), b.column("_chunk"), wide(b.column("_value")), b.column("_at")], ["_key", "_chunk", "_value", "_at"])
 
 
 def window_numbers(ts: np.ndarray, group: np.ndarray, value: np.ndarray, most: int | None = None) -> dict[str, np.ndarray]:
@@ -136,32 +142,40 @@ def window_numbers(ts: np.ndarray, group: np.ndarray, value: np.ndarray, most: i
 
 
 def _sweep(kinds: dict[str, Callable], kept: list[str], most: int | None) -> Callable:
-    """Rows come by key, chunk and time.  Of what has passed only the last minute of the last key stays in memory."""
+    """Rows come by key, chunk and time.  Of what has passed only key, time and value of the last key's last minute stay in memory."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows, waiting = None, [], 0
 
-        def step() -> tuple[pa.RecordBatch, pa.RecordBatch]:
-            b = _joined(held, rows)
-            old = held.num_rows if held else 0
-            ts, group = b.column("_at").to_numpy(zero_copy_only=False), np.cumsum(_starts(b)) - 1
-            found = window_numbers(ts, group, pc.dictionary_encode(b.column("_value"), null_encoding="encode").indices.to_numpy(zero_copy_only=False), most)
-            out = b.slice(old).select(kept)
-            out = pa.RecordBatch.from_arrays([*out.columns, *(pa.array(make({k: v[old:] for k, v in found.items()})) for make in kinds.values())], [*kept, *kinds])
-            mine = b.slice(old).column("_own")
-            return out.filter(mine), b.slice(int(np.searchsorted(np.where(group == group[-1], ts, np.iinfo(np.int64).min), ts[-1] - HALO)))
+        def step() -> tuple[list[pa.RecordBatch], pa.Table]:
+            t = pa.concat_tables([*([held] if held is not None else []), *map(_narrow, rows)])
+            ts, key, chunk = t.column("_at").fill_null(0).to_numpy(), _codes(t.column("_key")), t.column("_chunk").to_numpy()
+            group = np.cumsum(np.concatenate([[False], (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])]))
+            found = window_numbers(ts, group, _codes(t.column("_value")), most)
+            out, done = [], held.num_rows if held is not None else 0
+            for b in rows:
+                own = {k: v[done : done + b.num_rows] for k, v in found.items()}
+                timeless = pc.is_null(b.column("_at")).to_numpy(zero_copy_only=False)
+                numbers = [pa.array(make(own), mask=timeless) for make in kinds.values()]
+                out.append(pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *numbers], [*kept, *kinds]).filter(b.column("_own")))
+                done += b.num_rows
+            if done != t.num_rows:
+                raise RuntimeError(f"{t.num_rows} rows came and {done} were counted")
+            first = int(np.searchsorted(np.where(group == group[-1], ts, np.iinfo(np.int64).min), ts[-1] - HALO))
+            # a copy: a slice would hold all columns of the batches
+            return out, t.take(np.arange(first, t.num_rows))
 
         for b in it:
             if b.num_rows:
                 rows.append(b)
                 waiting += b.num_rows
             # as many new rows as are held: each row is looked at a few times only
-            if waiting >= max(STEP, held.num_rows if held else 0):
+            if waiting >= max(STEP, held.num_rows if held is not None else 0):
                 out, held = step()
                 rows, waiting = [], 0
-                yield out
+                yield from out
         if rows:
-            yield step()[0]
+            yield from step()[0]
 
     return run
 
@@ -170,13 +184,18 @@ def swept(df: DataFrame, key: str, value: str, kinds: dict[str, Callable], kept:
     """The columns kept of df, and those of kinds, made from window_numbers() of each row's key.
 
     One shuffle: rows go by key and chunk of time, those of a chunk's last
-    minute to the next chunk as well, so a busy key is a task for each chunk.
-    A task streams through its rows in order and holds a minute of one key.
+    minute to the next chunk as well, there without the columns kept, so a busy
+    key is a task for each chunk.  A task streams through its rows in order and
+    holds a minute of one key.  A row without ts_us is in no window: it comes
+    back with null numbers.
     """
     chunk = lambda at: F.floor(at / (chunk_s * SECOND)).cast("long")
-    to = F.explode(F.sequence(chunk(F.col("ts_us")), chunk(F.col("ts_us") + HALO)))
-    rows = df.select(*kept, F.col(key).alias("_key"), F.col(value).alias("_value"), F.col("ts_us").alias("_at"), F.col("seq").alias("_seq"), to.alias("_chunk"))
-    rows = rows.withColumn("_own", chunk(F.col("_at")) == F.col("_chunk"))
+    at = F.col("ts_us")
+    nowhere = F.array(F.lit(-(1 << 62)) + F.pmod(F.xxhash64("seq"), F.lit(TIMELESS)))
+    to = F.explode(F.when(at.isNull(), nowhere).otherwise(F.sequence(chunk(at), chunk(at + HALO))))
+    rows = df.select(*kept, F.col(key).alias("_key"), F.col(value).alias("_value"), at.alias("_at"), F.col("seq").alias("_seq"), to.alias("_chunk"))
+    rows = rows.withColumn("_own", F.coalesce(chunk(F.col("_at")) == F.col("_chunk"), F.lit(True)))
+    rows = rows.select(*[F.when(F.col("_own"), F.col(c)).alias(c) for c in kept], "_key", "_value", "_at", "_seq", "_chunk", "_own")
     dealt = rows.repartition("_key", "_chunk").sortWithinPartitions("_key", "_chunk", "_at", "_seq").drop("_seq")
     schema = df.select(*kept).schema
     for name in kinds:
@@ -184,6 +203,22 @@ def swept(df: DataFrame, key: str, value: str, kinds: dict[str, Callable], kept:
     return dealt.mapInArrow(_sweep(kinds, kept, most), schema)
 
 
+def busy_keys(df: DataFrame, keys: tuple[str, ...], chunk_s: int = SWEPT_S, most: int = BUSY) -> dict[str, DataFrame]:
+    """Of each column of keys that has any: its busy keys (column busy), those of more than ``most`` rows in a chunk of time.
+
+    Where no chunk has so many rows of all keys together, nothing but ts_us is
+    read.  Else rows are counted by key and chunk, with partial counts before
+    the shuffle.  There are fewer busy keys than rows by ``most``, so they are sent
+    to the tasks.
+    """
+    at = df.where("ts_us is not null").withColumn("_chunk", F.floor(F.col("ts_us") / (chunk_s * SECOND)))
+    if at.groupBy("_chunk").count().where(F.col("count") > most).isEmpty():
+        return {}
+    each = at.select("_chunk", F.explode(F.array(*[F.struct(F.lit(k).alias("of"), F.col(k).alias("busy")) for k in keys])).alias("k"))
+    found = each.groupBy("_chunk", "k").count().where(F.col("count") > most).select("k.of", "k.busy").distinct().collect()
+    return {k: df.sparkSession.createDataFrame([(r.busy,) for r in found if r.of == k], f"busy {df.schema[k].dataType.simpleString()}") for k in {r.of for r in found}}
+
+
 def _whole(name: str) -> Callable:
     return lambda found: found[name].astype(float)
 
@@ -199,22 +234,39 @@ def _iat_cv(found: dict[str, np.ndarray]) -> np.ndarray:
     return np.where(n == 0, 1.0, np.where(total > 0, cv, 0.0))
 
 
-BY_IP = {"req_10s": _whole("n10"), "req_60s": _whole("n60"), "distinct_paths_60s": _whole("different"), "iat_mean": _iat_mean, "iat_cv": _iat_cv}
-BY_TARGET = {"target_req_60s": _whole("n60"), "target_distinct_ips_60s": _whole("different")}
+#: What sliding() names, from window_numbers().
+NUMBERS = {"n10": _whole("n10"), "n60": _whole("n60"), "different": _whole("different"), "iat_mean": _iat_mean, "iat_cv": _iat_cv}
+BY_IP = {"req_10s": "n10", "req_60s": "n60", "distinct_paths_60s": "different", "iat_mean": "iat_mean", "iat_cv": "iat_cv"}
+BY_TARGET = {"target_req_60s": "n60", "target_distinct_ips_60s": "different"}
+
+
+def windowed(df: DataFrame, key: str, value: str, named: dict[str, str], kept: list[str], chunk_s: int = SWEPT_S, busy: DataFrame | None = None) -> DataFrame:
+    """The columns kept of df and those named, from NUMBERS: swept(), and for busy keys sliding(); seq is of one row each."""
+    kinds = {name: NUMBERS[of] for name, of in named.items()}
+    if busy is None:
+        return swept(df, key, value, kinds, kept, chunk_s)
+    met = F.col(key).eqNullSafe(F.col("busy")) & F.col("ts_us").isNotNull()
+    hot, cold = (df.join(F.broadcast(busy), met, how) for how in ("left_semi", "left_anti"))
+    sums = sliding(hot, key, value).select(F.col("seq").alias("_seq"), *[F.col(of).cast("double").alias(name) for name, of in named.items()])
+    hot = hot.select(*kept, F.col("seq").alias("_own")).join(sums, F.col("_own") == F.col("_seq")).select(*kept, *named)
+    return swept(cold, key, value, kinds, kept, chunk_s).unionByName(hot)
 
 
-def features(df: DataFrame, reputation: DataFrame | None = None, chunk_s: int = SWEPT_S, keep: tuple[str, ...] | None = None) -> DataFrame:
+def features(df: DataFrame, reputation: DataFrame | None = None, chunk_s: int = SWEPT_S, keep: tuple[str, ...] | None = None, most: int = BUSY) -> DataFrame:
     """The requests with route, target and all features; one code path for training, batch and streams.
 
     df: seq and the request columns; rows of one time count in the order of seq.
+    A row without ts_us has null window numbers and is in no other row's.
     reputation: ip, score, one row an ip; it overrides the prefixes.  keep: the
-    columns of df to carry on, all by default.
+    columns of df to carry on, all by default.  most: rows of a key in a chunk
+    of time that one task takes; busier keys are found by a job beforehand.
     """
     kept = [*(df.columns if keep is None else keep), "route", "target", *header_flags()]
     carried = [*dict.fromkeys([*kept, "ip", "ts_us", "seq"])]
     rows = with_target(df).withColumns(header_flags())
-    rows = swept(rows, "ip", "path", BY_IP, carried, chunk_s)
-    out = swept(rows, "target", "ip", BY_TARGET, [*carried, *BY_IP], chunk_s)
+    busy = busy_keys(rows, ("ip", "target"), chunk_s, most)
+    rows = windowed(rows, "ip", "path", BY_IP, carried, chunk_s, busy.get("ip"))
+    out = windowed(rows, "target", "ip", BY_TARGET, [*carried, *BY_IP], chunk_s, busy.get("target"))
     known = static_reputation(F.col("ip"))
     if reputation is not None:
         out = out.join(reputation.select("ip", F.col("score").alias("_score")), "ip", "left")

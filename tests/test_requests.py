@@ -2,6 +2,7 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -261,6 +262,44 @@ def test_hot_key_streams(spark, monkeypatch):
     assert hot.different.tolist() == np.cumsum(~hot.v.fillna("").duplicated()).tolist()
 
 
+def test_busy_keys(spark, monkeypatch):
+    """One key with more rows in a minute than a task takes, beside many others: found by itself, equal to the plain way."""
+    n = 30_000
+    base = dict(zip(NAMES[3:], [BROWSER[c] for c in NAMES[3:]], strict=True))
+    hot = F.col("id") < n
+    df = spark.range(n + 6000).select(F.col("id").alias("seq"), (T0 + F.when(hot, F.col("id") * 1999).otherwise(F.col("id") * 7919 % 300_000_000)).alias("ts_us"), F.when(hot, "9.9.9.9").otherwise(F.concat(F.lit("1.1."), F.col("id") % 900)).alias("ip"), *[F.lit(v).alias(c) for c, v in base.items() if c != "path"], F.concat(F.lit("/article?"), F.xxhash64("id") % 300).alias("path"))
+    df = df.select(*NAMES).cache()
+    found = windows.busy_keys(windows.with_target(df), ("ip", "target"), most=8000)
+    assert {k: [r.busy for r in v.collect()] for k, v in found.items()} == {"ip": ["9.9.9.9"], "target": ["/article|residential"]}
+    assert windows.busy_keys(windows.with_target(df), ("ip",), most=40_000) == {}
+    got, want = (windows.features(df, most=m) for m in (8000, 10**9))
+    assert "Sliding" not in (plan := got._jdf.queryExecution().toString()) and "Union" in plan and "Union" not in want._jdf.queryExecution().toString()
+    numbers = [*windows.BY_IP, *windows.BY_TARGET]
+    got, want = (sorted(map(tuple, x.select("seq", *[F.round(c, 6) for c in numbers]).collect())) for x in (got, want))
+    assert got == want and len(got) == n + 6000
+    # groups that hold all rows of the busy key are of a second
+    every = windows.events(df.where("ip = '9.9.9.9'"), "ip", "path").groupBy("k", F.floor(F.col("at") / 1_000_000)).count()
+    assert every.agg(F.max("count")).first()[0] < 3000
+
+
+def test_no_row_is_lost(spark):
+    """Rows without a time come back with null numbers; batches, text of several chunks and a null key or value lose nothing."""
+    df = log(spark, [{"ts_us": None}, {}, {"ts_us": T0 + 5_000_000}, {"ip": None, "path": None}, {"ts_us": None, "ip": None}])
+    got = result(check(df))
+    assert {i: r.req_60s for i, r in got.items()} == {0: None, 1: 1, 2: 2, 3: 1, 4: None} and got[0].action == "ALLOW"
+    make = {"n": windows._whole("n60"), "different": windows._whole("different")}
+    part = lambda a, z: pa.RecordBatch.from_arrays([pa.array(range(a, z)), pa.array(["k"] * (z - a)), pa.array([f"v{i % 3}" if i % 5 else None for i in range(a, z)]), pa.array([T0 + i for i in range(a, z)]), pa.array([0] * (z - a), pa.int64()), pa.array([i % 7 > 0 for i in range(a, z)])], ["seq", "_key", "_value", "_at", "_chunk", "_own"])
+    for step in (1, 40, 10**6):
+        old, windows.STEP = windows.STEP, step
+        out = pa.Table.from_batches(list(windows._sweep(make, ["seq"], None)(part(a, a + 10) for a in range(0, 100, 10))))
+        windows.STEP = old
+        own = [i for i in range(100) if i % 7]
+        assert out.column("seq").to_pylist() == own and out.column("n").to_pylist() == [i + 1 for i in own]
+        assert out.column("different").to_pylist() == [len({i % 3 if i % 5 else None for i in range(j + 1)}) for j in own]
+    codes = windows._codes(pa.chunked_array([pa.array(["a", None, "b"], pa.large_string()), pa.array(["b", "a", None, "c"], pa.large_string())]))
+    assert codes.tolist() == [0, -1, 1, 1, 0, -1, 2]
+
+
 def test_features_meet_running_sums(spark):
     """Both ways of the windows agree over chunks' borders, and so do the reports of tails and buckets with brute force."""
     rng = random.Random(12)
