@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatewatch.functions.columns import FEATURES
 from gatewatch.operators.scoring import Model, probability
+from gatewatch.sources import files
+from gatewatch.sources.puts import compact, latest, load_put, put  # noqa: F401
 
+#: Partitions whose gradients the driver adds itself.
+FLAT = 32
+#: Labels that ordered_fit() takes one after the other at most.
+MOST_ORDERED = 10_000
 MODEL = "n int, w array<double>, b double, mean array<double>, std array<double>, version long, batch long"
 
 
@@ -34,23 +44,6 @@ def solve(challenges: DataFrame, outcomes: DataFrame) -> tuple[DataFrame, DataFr
     return done, solved.join(challenges.select("token"), "token", "left_anti")
 
 
-def latest(df: DataFrame, key: str, order: str = "ts") -> DataFrame:
-    """Insert-or-replace on read: the last row of each key, of rows that are equally late the one of the greater hash."""
-    columns = [F.col(f"`{c}`") for c in df.columns]
-    last = F.max_by(F.struct(*columns), F.struct(F.col(order), F.xxhash64(*columns)))
-    return df.groupBy(F.col(key).alias("_key")).agg(last.alias("_last")).select("_last.*")
-
-
-def put(rows: DataFrame, path: str) -> None:
-    """Append decisions or challenges under the date of ts_us; what is put later replaces what load_put() gives for its key."""
-    dated = rows.withColumn("put_us", F.unix_micros(F.current_timestamp())).withColumn("date", F.to_date(F.timestamp_micros("ts_us")))
-    dated.write.mode("append").partitionBy("date").parquet(path)
-
-
-def load_put(spark: SparkSession, path: str, key: str) -> DataFrame:
-    return latest(spark.read.parquet(path), key, "put_us").drop("put_us", "date")
-
-
 def append_labels(labels: DataFrame, path: str) -> None:
     labels.select(F.unix_micros(F.current_timestamp()).alias("ts_us"), "label_source", "label", F.to_json(F.struct(*FEATURES)).alias("features_json")).write.mode("append").parquet(path)
 
@@ -68,11 +61,12 @@ def scaler(rows: DataFrame) -> DataFrame:
     return stats.select(F.array(*[f"m_{c}" for c in FEATURES]).alias("mean"), F.array(*std).alias("std"))
 
 
-def fit(rows: DataFrame, epochs: int = 400, lr: float = 0.3, l2: float = 1e-3, method: str = "gd") -> Model:
+def fit(rows: DataFrame, epochs: int = 400, lr: float = 0.3, l2: float = 1e-3, method: str = "gd", tol: float = 0.0) -> Model:
     """Logistic regression on FEATURES and label, from zero.
 
     gd: full-batch descent; blocks of rows are cached and only gradients
-    travel.  lbfgs: pyspark.ml, converged.
+    travel, from more than FLAT partitions through sums of them; it ends before
+    its epochs once no part of the gradient is over tol.  lbfgs: pyspark.ml, converged.
     """
     top = scaler(rows).first()
     mean, std = np.array(top.mean), np.array(top.std)
@@ -98,6 +92,8 @@ def fit(rows: DataFrame, epochs: int = 400, lr: float = 0.3, l2: float = 1e-3, m
     numbers = rows.select(*[F.col(c).cast("double").alias(c) for c in FEATURES], F.col("label").cast("double").alias("label"))
     data = numbers.mapInArrow(blocks, "block binary").rdd.map(read).cache()  # a row is a block of rows
     w = np.zeros(len(FEATURES) + 1)
+    # sums of sums, so that the driver adds a root of them only
+    depth = 1 if data.getNumPartitions() <= FLAT else 2
     total = data.map(lambda b: len(b[1])).sum()
     for _ in range(epochs if total else 0):
         here = w.copy()
@@ -106,8 +102,11 @@ def fit(rows: DataFrame, epochs: int = 400, lr: float = 0.3, l2: float = 1e-3, m
             x, y = block
             return x.T @ (1 / (1 + np.exp(-np.clip(x @ here, -35, 35))) - y)
 
-        g = data.map(gradient).reduce(np.add) / total
-        w -= lr * (g + l2 * np.r_[w[:-1], 0.0])
+        g = (data.map(gradient).treeReduce(np.add, depth) if depth > 1 else data.map(gradient).reduce(np.add)) / total
+        g += l2 * np.r_[w[:-1], 0.0]
+        w -= lr * g
+        if np.abs(g).max() <= tol:
+            break
     data.unpersist()
     return Model(tuple(w[:-1].tolist()), float(w[-1]), tuple(mean.tolist()), tuple(std.tolist()))
 
@@ -120,6 +119,30 @@ def partial_fit(model: Model, labels: DataFrame, lr: float = 0.05) -> Model:
     return Model(tuple(w - move(steps[c]) for w, c in zip(model.w, FEATURES, strict=True)), model.b - move(steps.bias), model.mean, model.std)
 
 
+def ordered_fit(model: Model, labels: DataFrame, order: tuple[str, ...] = ("ts_us", "seq"), lr: float = 0.05, most: int = MOST_ORDERED) -> Model:
+    """A step for each label, one after the other in their order, each from the model the last one left; the scaler is frozen.
+
+    Such steps can't be taken apart, so they are done in one task, for ``most``
+    labels; a larger batch takes the summed step of partial_fit() instead.
+    """
+    rows = labels.select(*[F.col(c).cast("double").alias(c) for c in FEATURES], F.col("label").cast("double").alias("label"), *order)
+    if rows.limit(most + 1).count() > most:
+        return partial_fit(model, labels, lr)
+    mean, std = np.array(model.mean), np.array(model.std)
+
+    def fold(pdf):
+        pdf = pdf.sort_values([*order], kind="stable")
+        w, b = np.array(model.w), model.b
+        for x, y in zip((pdf[[*FEATURES]].to_numpy() - mean) / std, pdf["label"].to_numpy(), strict=True):
+            z = float(x @ w + b)
+            error = (0.0 if z <= -35 else 1.0 if z >= 35 else 1 / (1 + np.exp(-z))) - y
+            w, b = w - lr * error * x, b - lr * error
+        return pd.DataFrame({"w": [w.tolist()], "b": [b]})
+
+    done = rows.groupBy().applyInPandas(fold, "w array<double>, b double").first()
+    return Model(tuple(done.w), done.b, model.mean, model.std) if done else model
+
+
 def retrain(seed: DataFrame, labels: DataFrame, **how) -> tuple[Model, DataFrame]:
     """(model, summary).  Duplicates count; summary: origin, n."""
     both = seed.select(*FEATURES, "label", F.lit("seed").alias("origin")).unionByName(labels.select(*FEATURES, "label", F.lit("collected").alias("origin")))
@@ -127,9 +150,9 @@ def retrain(seed: DataFrame, labels: DataFrame, **how) -> tuple[Model, DataFrame
 
 
 def publish(spark: SparkSession, seed: DataFrame, labels: DataFrame, path: str, **how) -> tuple[Model, DataFrame]:
-    """retrain(), saved as the version after the newest."""
+    """retrain(), saved as the next free version."""
     model, summary = retrain(seed, labels, **how)
-    save_model(spark, model, path, 1 + (newest(spark, path) if saved(spark, path) else -1))
+    save_model(spark, model, path)
     return model, summary
 
 
@@ -142,23 +165,53 @@ def catch_up(spark: SparkSession, seed: DataFrame, path: str, labels: DataFrame
     return load_model(spark, path)
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    return [int(x[6:-5]) for x in files.listed(spark, path) if x.startswith("model-")]
+
+
+def _name(version: int) -> str:
+    return f"model-{version:012d}.json"
+
+
 def saved(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    return bool(_versions(spark, path))
 
 
 def newest(spark: SparkSession, path: str) -> int:
-    return spark.read.schema(MODEL).json(path).agg(F.max("version")).first()[0]
+    """The largest version, -1 if there is none."""
+    return max(_versions(spark, path), default=-1)
 
 
-def save_model(spark: SparkSession, model: Model, path: str, version: int, batch: int | None = None) -> None:
-    """A new version beside the old ones; readers take the largest, so a swap is one write.  batch: that of online_update()."""
-    spark.createDataFrame([(len(model.w), list(model.w), model.b, list(model.mean), list(model.std), version, batch)], MODEL).coalesce(1).write.mode("append").json(path)
+def save_model(spark: SparkSession, model: Model, path: str, version: int | None = None, batch: int | None = None) -> int:
+    """A new version beside the old ones, the next free one by default; its number.
 
-
-def load_model(spark: SparkSession, path: str) -> Model:
-    r = spark.read.schema(MODEL).json(path).orderBy(F.desc("version"), F.desc_nulls_last("batch")).first()
-    return Model(tuple(r.w), r.b, tuple(r.mean), tuple(r.std))
+    A version is one file that is there whole or not at all and is never
+    written over: of two writers of a version one gets it, the other the next,
+    or FileExistsError if it asked for that one.  batch: that of online_update().
+    """
+    while True:
+        v = newest(spark, path) + 1 if version is None else version
+        text = json.dumps({"n": len(model.w), "w": model.w, "b": model.b, "mean": model.mean, "std": model.std, "version": v, "batch": batch})
+        if files.put_new(spark, path, _name(v), text):
+            return v
+        if version is not None:
+            raise FileExistsError(f"{path} has a version {version}")
+
+
+def load_model(spark: SparkSession, path: str, version: int | None = None) -> Model:
+    """The newest version, or the one named."""
+    r = json.loads(files.read(spark, path, _name(newest(spark, path) if version is None else version)))
+    return Model(tuple(r["w"]), r["b"], tuple(r["mean"]), tuple(r["std"]))
+
+
+def swap_model(spark: SparkSession, path: str, step: Callable[[Model], Model], batch: int | None = None) -> int:
+    """The newest model, changed by step and saved as the version right after it; begun anew if another got that first, so no version is lost."""
+    while True:
+        v = newest(spark, path)
+        try:
+            return save_model(spark, step(load_model(spark, path, v)), path, v + 1, batch)
+        except FileExistsError:
+            continue
 
 
 def predictions(rows: DataFrame, model: Model) -> DataFrame:

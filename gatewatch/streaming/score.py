@@ -12,6 +12,7 @@ from gatewatch.functions.columns import FEATURES
 from gatewatch.operators import learning
 from gatewatch.operators.scoring import check
 from gatewatch.operators.windows import with_target
+from gatewatch.sources.requests import parse
 
 RETAIN_US = 120_000_000
 #: Events later than this behind the newest of what was seen are listed as late: their window may have lost rows.
@@ -89,8 +90,42 @@ def key_rates(requests: DataFrame, key: str = "ip") -> DataFrame:
     return _timed(requests).groupBy(F.window("ts", "5 seconds"), key).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), key, "n")
 
 
+def feedback_join(feedback: DataFrame, decisions: DataFrame, oldest: str = "24 hours", ahead: str = "10 minutes", late: str = "60 seconds") -> DataFrame:
+    """Each row of feedback with its decision's features and known; two streams or two tables, no log is read.
+
+    feedback: request_id, label, said_us and perhaps source; decisions:
+    request_id, ts_us and FEATURES, a row a request.  A decision counts if it was
+    made from ``oldest`` before what is said to ``ahead`` after it.  Streams wait
+    that long for a decision, in their own time, and keep decisions as long; what
+    is then without one comes with known false and null features.  Rows that are
+    more than ``late`` behind their own stream are dropped by Spark.
+    """
+    source = F.coalesce("source", F.lit("operator")) if "source" in feedback.columns else F.lit("operator")
+    said = feedback.select("request_id", F.col("label").cast("int").alias("label"), source.alias("label_source"), F.timestamp_micros("said_us").alias("said_at"))
+    made = decisions.select(F.col("request_id").alias("_id"), F.timestamp_micros("ts_us").alias("made_at"), *FEATURES)
+    if feedback.isStreaming:
+        said, made = said.withWatermark("said_at", late), made.withWatermark("made_at", late)
+    met = F.expr(f"request_id = _id AND made_at >= said_at - INTERVAL {oldest} AND made_at <= said_at + INTERVAL {ahead}")
+    both = said.join(made, met, "left_outer")
+    return both.select("request_id", "label", "label_source", "said_at", F.col("_id").isNotNull().alias("known"), *FEATURES)
+
+
+def joined_labels(joined: DataFrame, out: str, checkpoint: str) -> DataStreamWriter:
+    """Rows of a feedback_join() stream as labels and rejected, a folder of each for a batch; a replay writes the same ones."""
+
+    def run(batch: DataFrame, n: int) -> None:
+        batch = batch.persist()
+        try:
+            batch.where("known").select("request_id", *FEATURES, "label", "label_source").write.mode("overwrite").parquet(f"{out}/labels/n={n}")
+            batch.where("not known").select("request_id", "label", "label_source").write.mode("overwrite").parquet(f"{out}/rejected/n={n}")
+        finally:
+            batch.unpersist()
+
+    return joined.writeStream.outputMode("append").foreachBatch(run).option("checkpointLocation", checkpoint)
+
+
 def label_stream(feedback: DataFrame, decisions_path: str, out: str, checkpoint: str) -> DataStreamWriter:
-    """Feedback against the decision log as it stands, appended as labels."""
+    """Feedback against the whole decision log as it stands, appended as labels; feedback_join() reads no log."""
 
     def run(batch: DataFrame, n: int) -> None:
         labels, rejected = learning.resolve_feedback(batch, batch.sparkSession.read.parquet(decisions_path))
@@ -100,14 +135,38 @@ def label_stream(feedback: DataFrame, decisions_path: str, out: str, checkpoint:
     return feedback.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
 
-def online_update(labels: DataFrame, model_path: str, checkpoint: str, lr: float = 0.05) -> DataStreamWriter:
-    """One aggregated step per micro-batch, written as the next free version with the batch's number; a replayed batch is known by that."""
+def online_update(labels: DataFrame, model_path: str, checkpoint: str, lr: float = 0.05, order: tuple[str, ...] = ()) -> DataStreamWriter:
+    """One step per micro-batch, written as the next version with the batch's number; a replayed batch is known by that.
+
+    The step is the aggregated one; with order, columns of labels, that of
+    ordered_fit().  A version that a retrain publishes meanwhile is stepped from.
+    """
 
     def run(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        model = learning.load_model(spark, model_path)
-        last = spark.read.schema(learning.MODEL).json(model_path).agg(F.max("version").alias("version"), F.max("batch").alias("batch")).first()
+        last = spark.read.schema(learning.MODEL).json(model_path).agg(F.max("batch").alias("batch")).first()
         if (last.batch is None or last.batch < n) and not batch.isEmpty():
-            learning.save_model(spark, learning.partial_fit(model, batch, lr), model_path, last.version + 1, n)
+            step = (lambda m: learning.ordered_fit(m, batch, order, lr)) if order else (lambda m: learning.partial_fit(m, batch, lr))
+            learning.swap_model(spark, model_path, step, n)
 
     return labels.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+
+
+def ingest(lines: DataFrame, out: str, checkpoint: str, column: str = "value") -> DataStreamWriter:
+    """A stream of JSON lines as requests with seq, and quarantined lines: a folder of each for a batch, from one read.
+
+    A replayed batch writes its own folders again, with the same seq: the
+    batch's number, the partition's and the row's in it, so numbers grow from
+    batch to batch (up to 1,023 partitions).
+    """
+
+    def run(batch: DataFrame, n: int) -> None:
+        batch = batch.select(column).persist()
+        try:
+            good, bad = parse(batch, column)
+            good.select((F.lit(n) * F.lit(1 << 43) + F.monotonically_increasing_id()).alias("seq"), "*").write.mode("overwrite").parquet(f"{out}/requests/n={n}")
+            bad.write.mode("overwrite").parquet(f"{out}/quarantine/n={n}")
+        finally:
+            batch.unpersist()
+
+    return lines.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
