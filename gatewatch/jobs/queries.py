@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gatewatch.functions.columns import BAD_PREFIXES, BOT_TOKENS, FEATURES, SENSITIVE, bucket_of, clamped, header_flags, route_of, vector
 from gatewatch.operators import learning, reports, sketch, windows
-from gatewatch.operators.scoring import STARTING, Model, check, probability, rounded
+from gatewatch.operators.scoring import SOFT, STARTING, Model, Policy, check, probability, rounded
 from gatewatch.sources.requests import parse, request_log
 from gatewatch.streaming import score as streams
 
@@ -283,7 +283,78 @@ def approx_target_ips(spark, sf_dir):
     return sketch.distinct_ips(log, at, 300).join(true, "target").select("target", "ips", near.alias("near"))
 
 
-_LOCAL = [routes, request_flags, feature_rows, feature_vectors, bucketed_rates, tail_windows, rule_hits, decisions, client_view, decisions_by_target, decisions_by_action, honeypot_labels, feedback_labels, feedback_rejected, labels_by_source, tracked_keys, dashboard_counters, challenge_outcomes, recent_decisions, action_timeseries, session_verdicts, confusion_matrix, archetype_actions, class_shares, review_picks, review_requests, before_after, labelled_features, online_step, json_requests, json_quarantine, tumbling_actions, endpoint_pressure, key_rates, dashboard_page, feature_scaler, retrained_accuracy, sketch_rates, sketch_heavy_hitters, sketch_total, approx_target_ips]
+def policy_decisions(spark, sf_dir):
+    """Other shares and cuts, and an added rule that escalates."""
+    log = request_log(spark, sf_dir)
+    scored = check(log, STARTING, reputation(log), blocklist(log), keep=("seq", "ts_us", "ip"), policy=POLICY)
+    return scored.select("seq", "action", F.round("score", 4).alias("score"), F.round("rule_score", 6).alias("rule_score"), F.array_join(F.transform("hits", lambda h: h["name"]), ",").alias("hits"))
+
+
+#: Other settings than the usual ones.
+POLICY = Policy(rules=(*SOFT, ("many_paths_to_signup", "route = '/signup' AND distinct_paths_60s > 3", 1.0, "many paths before a signup")), escalating=("many_paths_to_signup",), saturation=10.0, rule_share=0.5, model_share=0.5, challenge_at=0.4, block_at=0.7)
+
+
+def dense_rule_hits(spark, sf_dir):
+    """The log squeezed ten times more, so that rates reach the rule for impossible ones."""
+    log = request_log(spark, sf_dir, squeeze=30_000)
+    return check(log, STARTING, reputation(log), blocklist(log), keep=("seq",)).select("seq", "hard_reason", F.col("req_10s").cast("long").alias("req_10s"), F.round("rule_score", 6).alias("rule_score"), F.array_join(F.transform("hits", lambda h: h["name"]), ",").alias("hits"))
+
+
+def rolling_rate_bounds(spark, sf_dir):
+    """Each IP's and bucket's true requests of a minute, and whether the rolling grids cover and near them."""
+    log = request_log(spark, sf_dir)
+    at = log.select("ip", bucket_of(F.col("ts_us")).alias("bucket")).groupBy("ip", "bucket").agg(F.count("*").alias("c"))
+    true = at.select("ip", "bucket", F.sum("c").over(Window.partitionBy("ip").orderBy("bucket").rangeBetween(-12, 0)).alias("n"))
+    every = at.groupBy("bucket").agg(F.sum("c").alias("c"))
+    # each bucket is sent to those that reach it: no task gets all buckets
+    spread = every.select(F.explode(F.sequence(F.col("bucket"), F.col("bucket") + 12)).alias("bucket"), "c").groupBy("bucket").agg(F.sum("c").alias("everything"))
+    got = sketch.rolling_rates(log, "ip").select(F.col("key").alias("ip"), "bucket", "estimate")
+    both = true.join(got, ["ip", "bucket"]).join(spread, "bucket")
+    return both.select("ip", "bucket", "n", (F.col("estimate") >= F.col("n")).alias("covered"), (F.col("estimate") <= F.col("n") + 1 + F.col("everything") * 2.72 / sketch.WIDTH).alias("near"))
+
+
+def rolling_ip_bounds(spark, sf_dir):
+    """Each target's and bucket's true IPs of a minute, and whether the rolling sketches are within 5 %."""
+    log = windows.with_target(request_log(spark, sf_dir)).select("target", "ip", "ts_us")
+    at = log.select("target", "ip", bucket_of(F.col("ts_us")).alias("bucket")).distinct()
+    reach = at.select("target", "ip", F.explode(F.sequence(F.col("bucket"), F.col("bucket") + 12)).alias("bucket"))
+    true = reach.groupBy("target", "bucket").agg(F.count_distinct("ip").alias("ips"))
+    near = F.abs(F.col("approx_ips") - F.col("ips")) <= F.greatest(F.lit(1.0), F.col("ips") / 20)
+    return sketch.rolling_ips(log).join(true, ["target", "bucket"]).select("target", "bucket", "ips", near.alias("near"))
+
+
+def sketch_feature_rows(spark, sf_dir):
+    """Features in bounded memory: tails as they are, rates as whether they cover those of the buckets up to each row."""
+    log = request_log(spark, sf_dir)
+    rows = sketch.features(log, keep=("seq",))
+    exact = windows.bucketed_rate(windows.bucketed_rate(windows.with_target(log).select("seq", "ts_us", "ip", "target"), "ip"), "target").select("seq", "ip_rate", "target_rate")
+    both = rows.join(exact, "seq")
+    covered = (F.col("req_60s") >= F.col("ip_rate")) & (F.col("target_req_60s") >= F.col("target_rate")) & (F.col("req_60s") >= F.col("req_10s"))
+    return both.select("seq", F.col("distinct_paths_60s").cast("long").alias("ip_different"), F.col("target_distinct_ips_60s").cast("long").alias("target_different"), "iat_mean", F.round("iat_cv", 6).alias("iat_cv"), covered.alias("covered"))
+
+
+def endpoint_swarms(spark, sf_dir):
+    """Sliding minutes by target: IPs within 5 %, and whether they are a swarm where the count leaves no doubt."""
+    log = request_log(spark, sf_dir)
+    found = streams.endpoint_pressure(log).select(F.unix_seconds("start").alias("t"), "target", "n", "ips", "swarm")
+    at = windows.with_target(log).select("target", "ip", bucket_of(F.col("ts_us")).alias("b")).distinct()
+    true = at.select("target", "ip", F.explode(F.sequence(F.col("b") - 11, F.col("b"))).alias("b")).groupBy("target", (F.col("b") * 5).alias("t")).agg(F.count_distinct("ip").alias("true_ips"))
+    near = F.abs(F.col("ips") - F.col("true_ips")) <= F.greatest(F.lit(1.0), F.col("true_ips") / 5)
+    sure = F.when(F.abs(F.col("true_ips") - 10) > 2, F.col("swarm"))
+    return found.join(true, ["target", "t"]).select("t", "target", "n", "true_ips", near.alias("near"), sure.alias("swarm"))
+
+
+def timed_feedback(spark, sf_dir):
+    """Feedback with times, by what it meets: its decision a day before at most, or none."""
+    log = request_log(spark, sf_dir)
+    scored = check(log, keep=("seq", "ts_us", "ip")).select("request_id", "ts_us", *FEATURES)
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
+    said = _read(spark, sf_dir, "events").where(k % 4 == 0).select(F.col("event_id").alias("seq"), k.alias("k"), (F.col("user_id") % 2).cast("int").alias("label")).join(log.select("seq", "ts_us"), "seq")
+    said = said.select(F.concat(F.when(F.col("k") % 3 == 0, "req-x").otherwise("req-"), F.col("seq").cast("string")).alias("request_id"), "label", (F.col("ts_us") + (F.col("k") % 50 - 1) * 3600_000_000).alias("said_us"))
+    return streams.feedback_join(said, scored).select("request_id", "label", "label_source", "known", F.coalesce(F.col("req_60s").cast("long"), F.lit(0)).alias("req_60s"))
+
+
+_LOCAL = [policy_decisions, dense_rule_hits, rolling_rate_bounds, rolling_ip_bounds, sketch_feature_rows, endpoint_swarms, timed_feedback, routes, request_flags, feature_rows, feature_vectors, bucketed_rates, tail_windows, rule_hits, decisions, client_view, decisions_by_target, decisions_by_action, honeypot_labels, feedback_labels, feedback_rejected, labels_by_source, tracked_keys, dashboard_counters, challenge_outcomes, recent_decisions, action_timeseries, session_verdicts, confusion_matrix, archetype_actions, class_shares, review_picks, review_requests, before_after, labelled_features, online_step, json_requests, json_quarantine, tumbling_actions, endpoint_pressure, key_rates, dashboard_page, feature_scaler, retrained_accuracy, sketch_rates, sketch_heavy_hitters, sketch_total, approx_target_ips]
 QUERIES = {f.__name__: f for f in _LOCAL}
 
 # --- the same in SQL ---------------------------------------------------------
@@ -327,19 +398,24 @@ _SOFT = [
 ]
 _Z = " + ".join([f"({STARTING.b})", *[f"({w}) * ({c} - {m}) / {s}" for c, w, m, s in zip(FEATURES, STARTING.w, STARTING.mean, STARTING.std, strict=True)]])
 _Z_QUIET = _Z.replace(f"({STARTING.b})", f"({QUIET.b})", 1)
-_DEC = _FEAT + f""",
-pre AS (SELECT *, route IN ({_SENSITIVE}) AS sensitive, target_distinct_ips_60s >= 10 AND target_req_60s >= 30 AS swarm, 1 / (1 + exp(-({_Z}))) AS model_proba,
+def _dec(z=_Z, soft=_SOFT, full=8.0, shares=(0.4, 0.6), cuts=(0.45, 0.8), escalating="distributed_attack_sensitive", feat=_FEAT):
+    """Decisions in SQL."""
+    return feat + f""",
+pre AS (SELECT *, route IN ({_SENSITIVE}) AS sensitive, target_distinct_ips_60s >= 10 AND target_req_60s >= 30 AS swarm, 1 / (1 + exp(-({z}))) AS model_proba,
   CASE WHEN blocked THEN 'ip is on the blocklist' WHEN honeypot_filled <> 0 THEN 'honeypot form field was filled in' WHEN req_10s > 50 THEN 'impossible request rate' END AS hard_reason FROM rep),
-ruled AS (SELECT *, CASE WHEN hard_reason IS NOT NULL THEN 1.0 ELSE least(1.0, ({" + ".join(f"CASE WHEN {c} THEN {w} ELSE 0 END" for _, c, w, _ in _SOFT)}) / 8.0) END::DOUBLE AS rule_score,
-  CASE WHEN blocked THEN ['blocklist'] WHEN honeypot_filled <> 0 THEN ['honeypot'] WHEN req_10s > 50 THEN ['velocity_hard'] ELSE list_filter([{", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c, _, _ in _SOFT)}], lambda x: x IS NOT NULL) END AS hits FROM pre),
-blend AS (SELECT *, 0.4 * rule_score + 0.6 * model_proba AS mixed FROM ruled),
-esc AS (SELECT *, hard_reason IS NULL AND list_contains(hits, 'distributed_attack_sensitive') AND mixed < 0.45 AS escalated FROM blend),
-said AS (SELECT *, CASE WHEN hard_reason IS NOT NULL THEN hard_reason ELSE array_to_string(list_filter([{", ".join(f"CASE WHEN {c} THEN '{n}: {r}' END" for n, c, _, r in _SOFT)}, CASE WHEN escalated THEN 'escalated to CHALLENGE by a high-confidence rule' END], lambda x: x IS NOT NULL), '; ') END AS reasons FROM esc),
-fin AS (SELECT *, CASE WHEN hard_reason IS NOT NULL THEN 1.0 WHEN escalated THEN 0.45 ELSE mixed END AS score, 'req-' || seq AS request_id FROM said),
-dec AS (SELECT *, CASE WHEN hard_reason IS NOT NULL OR score >= 0.8 THEN 'BLOCK' WHEN score >= 0.45 THEN 'CHALLENGE' ELSE 'ALLOW' END AS action FROM fin),
+ruled AS (SELECT *, CASE WHEN hard_reason IS NOT NULL THEN 1.0 ELSE least(1.0, ({" + ".join(f"CASE WHEN {c} THEN {w} ELSE 0 END" for _, c, w, _ in soft)}) / {full}) END::DOUBLE AS rule_score,
+  CASE WHEN blocked THEN ['blocklist'] WHEN honeypot_filled <> 0 THEN ['honeypot'] WHEN req_10s > 50 THEN ['velocity_hard'] ELSE list_filter([{", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c, _, _ in soft)}], lambda x: x IS NOT NULL) END AS hits FROM pre),
+blend AS (SELECT *, {shares[0]} * rule_score + {shares[1]} * model_proba AS mixed FROM ruled),
+esc AS (SELECT *, hard_reason IS NULL AND list_contains(hits, '{escalating}') AND mixed < {cuts[0]} AS escalated FROM blend),
+said AS (SELECT *, CASE WHEN hard_reason IS NOT NULL THEN hard_reason ELSE array_to_string(list_filter([{", ".join(f"CASE WHEN {c} THEN '{n}: {r}' END" for n, c, _, r in soft)}, CASE WHEN escalated THEN 'escalated to CHALLENGE by a high-confidence rule' END], lambda x: x IS NOT NULL), '; ') END AS reasons FROM esc),
+fin AS (SELECT *, CASE WHEN hard_reason IS NOT NULL THEN 1.0 WHEN escalated THEN {cuts[0]} ELSE mixed END AS score, 'req-' || seq AS request_id FROM said),
+dec AS (SELECT *, CASE WHEN hard_reason IS NOT NULL OR score >= {cuts[1]} THEN 'BLOCK' WHEN score >= {cuts[0]} THEN 'CHALLENGE' ELSE 'ALLOW' END AS action FROM fin),
 fb AS (SELECT 'req-' || seq AS request_id, (user_id % 2)::INT AS label FROM e WHERE k % 10 = 0 UNION ALL SELECT 'req-x' || o_orderkey, 1 FROM orders),
 ses AS (SELECT user_id AS session_id, 'a' || user_id % 10 AS archetype, (user_id % 10 IN (0, 1, 2, 4))::INT AS label, max_by(action, seq) AS action, max_by(request_id, seq) AS request_id, min(seq) AS session_seq FROM dec GROUP BY 1, 2, 3),
 flagged AS (SELECT *, action <> 'ALLOW' AS hit FROM ses)"""
+
+
+_DEC = _dec()
 _DEC_QUIET = _DEC.replace(_Z, _Z_QUIET)
 _PICKS = "f AS (SELECT min(session_seq) AS m FROM ses WHERE label = 1 AND action = 'ALLOW'), picks AS (SELECT session_id, label FROM ses, f WHERE action = 'ALLOW' AND (label = 1 OR (right(request_id, 1) IN ('0', '2', '4', '6', '8') AND session_seq > m)))"
 _TOKEN = "CASE WHEN action = 'CHALLENGE' THEN 'chal-' || left(sha256(request_id), 16) END AS challenge_token"
@@ -348,7 +424,14 @@ _WEIGHTS = [*enumerate(zip(FEATURES, STARTING.w, STARTING.mean, STARTING.std, st
 _ROUND = ", ".join(c if c == "iat_mean" else f"round({c}, 6) AS {c}" for c in FEATURES)
 _COUNT3 = "count(*) FILTER (action = 'ALLOW') AS \"ALLOW\", count(*) FILTER (action = 'CHALLENGE') AS \"CHALLENGE\", count(*) FILTER (action = 'BLOCK') AS \"BLOCK\""
 
+_ROLL = _REQ + ", seen AS (SELECT ip, ts_us // 5000000 AS bucket, count(*) AS c FROM log GROUP BY 1, 2)"
 ORACLES = {
+    "policy_decisions": f"WITH {_dec(soft=[*_SOFT, ('many_paths_to_signup', "route = '/signup' AND distinct_paths_60s > 3", 1.0, 'many paths before a signup')], full=10.0, shares=(0.5, 0.5), cuts=(0.4, 0.7), escalating='many_paths_to_signup')} SELECT seq, action, round(score, 4) AS score, round(rule_score, 6) AS rule_score, array_to_string(hits, ',') AS hits FROM dec",
+    "dense_rule_hits": f"WITH {_DEC.replace('// 3000 AS ts_us', '// 30000 AS ts_us')} SELECT seq, hard_reason, req_10s::BIGINT AS req_10s, round(rule_score, 6) AS rule_score, array_to_string(hits, ',') AS hits FROM dec",
+    "rolling_rate_bounds": f"WITH {_ROLL} SELECT ip, bucket, (sum(c) OVER (PARTITION BY ip ORDER BY bucket RANGE BETWEEN 12 PRECEDING AND CURRENT ROW))::BIGINT AS n, true AS covered, true AS near FROM seen",
+    "rolling_ip_bounds": f"WITH {_REQ}, seen AS (SELECT DISTINCT target, ip, ts_us // 5000000 AS bucket FROM flags), w AS (SELECT target, bucket, count(DISTINCT ip) OVER (PARTITION BY target ORDER BY bucket RANGE BETWEEN 12 PRECEDING AND CURRENT ROW) AS ips FROM seen) SELECT DISTINCT target, bucket, ips, true AS near FROM w",
+    "endpoint_swarms": f"WITH {_REQ}, w AS (SELECT target, ip, ts_us, unnest(range(0, 12)) AS back FROM flags), g AS (SELECT (ts_us // 5000000 - back) * 5 AS t, target, count(*) AS n, count(DISTINCT ip) AS true_ips FROM w GROUP BY 1, 2) SELECT t, target, n, true_ips, true AS near, CASE WHEN abs(true_ips - 10) > 2 THEN n >= 30 AND true_ips >= 10 END AS swarm FROM g",
+    "timed_feedback": f"WITH {_FEAT}, said AS (SELECT CASE WHEN k % 3 = 0 THEN 'req-x' ELSE 'req-' END || seq AS request_id, (user_id % 2)::INT AS label, k % 50 - 1 AS hours, k % 3 <> 0 AND k % 50 - 1 BETWEEN 0 AND 24 AS known, req_60s FROM rep WHERE k % 4 = 0) SELECT request_id, label, 'operator' AS label_source, known, CASE WHEN known THEN req_60s::BIGINT ELSE 0 END AS req_60s FROM said",
     "routes": f"WITH {_REQ}, p AS (SELECT path FROM log UNION ALL SELECT regexp_replace(url, '^[a-z]+://[^/]*', '') FROM pages), b AS (SELECT path, string_split(rtrim(split_part(path, '?', 1), '/'), '/') AS s FROM p), r AS (SELECT path, array_to_string(list_transform(s, lambda x: CASE WHEN regexp_full_match(x, '[0-9]+|[0-9a-fA-F]{{12,}}|[0-9a-fA-F-]{{16,}}') THEN '{{id}}' ELSE x END), '/') AS r FROM b) SELECT path, CASE WHEN r = '' THEN '/' ELSE r END AS route, count(*) AS n FROM r GROUP BY 1, 2",
     "request_flags": f"WITH {_REQ} SELECT seq, target, ts_us // 5000000 AS bucket, route IN ({_SENSITIVE}) AS sensitive, ua_missing, ua_bot_token, accept_missing, accept_lang_missing, cookie_missing, honeypot_filled, asn_datacenter FROM flags",
     "feature_rows": f"WITH {_FEAT} SELECT seq, {_ROUND} FROM rep",
@@ -393,3 +476,4 @@ ORACLES = {
     "feature_scaler": "WITH " + _FEAT.replace("CASE WHEN octet <> '' AND TRY_CAST(octet AS BIGINT) % 9 = 0", "CASE WHEN false") + " " + " UNION ALL ".join(f"SELECT {i}::INT AS place, round(avg({c}), 4) AS mean, round(CASE WHEN var_pop({c}) > 1e-12 THEN sqrt(var_pop({c})) ELSE 1 END, 4) AS std FROM rep" for i, c in enumerate(FEATURES)),
     "sketch_total": f"WITH {_REQ} SELECT count(*) AS total FROM log",
 }
+ORACLES["sketch_feature_rows"] = f"SELECT seq, ip_different, target_different, iat_mean, iat_cv, true AS covered FROM ({ORACLES['tail_windows']}) AS tails"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -41,6 +42,20 @@ SOFT = [
 ]
 
 
+@dataclass(frozen=True)
+class Policy:
+    """What an operator may turn: rules (as HARD and SOFT, conditions in SQL), those that escalate, shares and cuts."""
+
+    rules: tuple[tuple[str, str, float, str], ...] = tuple(SOFT)
+    hard: tuple[tuple[str, str, str, str], ...] = tuple(HARD)
+    escalating: tuple[str, ...] = ESCALATING
+    saturation: float = SATURATION
+    rule_share: float = RULE_SHARE
+    model_share: float = MODEL_SHARE
+    challenge_at: float = CHALLENGE_AT
+    block_at: float = BLOCK_AT
+
+
 @dataclass(frozen=True)
 class Model:
     """Weights and bias over standardised features."""
@@ -64,14 +79,14 @@ def _hit(name: str, weight: float, reason: str) -> str:
     return f"named_struct('name', '{name}', 'weight', {weight}D, 'reason', {reason})"
 
 
-def evaluate(df: DataFrame, blocklist: DataFrame | None = None, rules: list[tuple[str, str, float, str]] = SOFT, saturation: float = SATURATION) -> DataFrame:
-    """Adds hard_reason, hits, rule_score.  blocklist: ip, one row each.  rules: as SOFT, conditions in SQL."""
+def evaluate(df: DataFrame, blocklist: DataFrame | None = None, rules: Sequence[tuple[str, str, float, str]] = SOFT, saturation: float = SATURATION, hard: Sequence[tuple[str, str, str, str]] = HARD) -> DataFrame:
+    """Adds hard_reason, hits, rule_score.  blocklist: ip, one row each.  rules, hard: as SOFT and HARD, conditions in SQL."""
     if blocklist is not None:
         df = df.join(blocklist.select("ip", F.lit(True).alias("_blocked")), "ip", "left")
     else:
         df = df.withColumn("_blocked", F.lit(False))
-    reason = "CASE " + " ".join(f"WHEN {cond} THEN '{text}'" for _, cond, text, _ in HARD) + " END"
-    first = "CASE " + " ".join(f"WHEN {cond} THEN array({_hit(name, 1.0, said)})" for name, cond, _, said in HARD) + " END"
+    reason = "CASE " + " ".join(f"WHEN {cond} THEN '{text}'" for _, cond, text, _ in hard) + " END"
+    first = "CASE " + " ".join(f"WHEN {cond} THEN array({_hit(name, 1.0, said)})" for name, cond, _, said in hard) + " END"
     quoted = lambda text: "'" + text.replace("'", "\\'") + "'"
     soft = "filter(array(" + ", ".join(f"IF({cond}, {_hit(name, weight, quoted(said))}, NULL)" for name, cond, weight, said in rules) + "), h -> h IS NOT NULL)"
     total = " + ".join(f"IF({cond}, {weight}D, 0D)" for _, cond, weight, _ in rules)
@@ -84,21 +99,30 @@ def probability(model: Model) -> Column:
     return F.element_at(F.expr(f"transform(array({z}), z -> CASE WHEN z <= -35 THEN 0D WHEN z >= 35 THEN 1D ELSE 1 / (1 + exp(-z)) END)"), 1)
 
 
-def decide(df: DataFrame, model: Model = STARTING) -> DataFrame:
+def decide(df: DataFrame, model: Model = STARTING, policy: Policy | None = None) -> DataFrame:
     """Adds model_proba, score, action, reasons, challenge_token.  df: evaluate()'s columns and request_id."""
+    p = policy or Policy()
     df = df.withColumn("model_proba", probability(model))
-    escalating = ", ".join(f"'{name}'" for name in ESCALATING)
-    df = df.selectExpr("*", f"{RULE_SHARE}D * rule_score + {MODEL_SHARE}D * model_proba AS _blend", f"hard_reason IS NULL AND exists(hits, h -> h.name IN ({escalating})) AND {RULE_SHARE}D * rule_score + {MODEL_SHARE}D * model_proba < {CHALLENGE_AT}D AS _escalated")
+    escalating = ", ".join(f"'{name}'" for name in p.escalating)
+    blend = f"{p.rule_share!r}D * rule_score + {p.model_share!r}D * model_proba"
+    rises = f"hard_reason IS NULL AND exists(hits, h -> h.name IN ({escalating})) AND {blend} < {p.challenge_at!r}D" if p.escalating else "false"
+    df = df.selectExpr("*", f"{blend} AS _blend", f"{rises} AS _escalated")
     said = "concat(transform(hits, h -> concat(h.name, ': ', h.reason)), array(format_string('model p(bot) = %.2f', model_proba)), IF(_escalated, array('escalated to CHALLENGE by a high-confidence rule'), CAST(array() AS array<string>)))"
-    df = df.selectExpr("*", f"CASE WHEN hard_reason IS NOT NULL THEN 1D WHEN _escalated THEN {CHALLENGE_AT}D ELSE _blend END AS score", f"IF(hard_reason IS NOT NULL, array(hard_reason), {said}) AS reasons")
-    df = df.selectExpr("*", f"CASE WHEN hard_reason IS NOT NULL OR score >= {BLOCK_AT}D THEN 'BLOCK' WHEN score >= {CHALLENGE_AT}D THEN 'CHALLENGE' ELSE 'ALLOW' END AS action")
+    df = df.selectExpr("*", f"CASE WHEN hard_reason IS NOT NULL THEN 1D WHEN _escalated THEN {p.challenge_at!r}D ELSE _blend END AS score", f"IF(hard_reason IS NOT NULL, array(hard_reason), {said}) AS reasons")
+    df = df.selectExpr("*", f"CASE WHEN hard_reason IS NOT NULL OR score >= {p.block_at!r}D THEN 'BLOCK' WHEN score >= {p.challenge_at!r}D THEN 'CHALLENGE' ELSE 'ALLOW' END AS action")
     return df.selectExpr("*", "IF(action = 'CHALLENGE', concat('chal-', substring(sha2(request_id, 256), 1, 16)), NULL) AS challenge_token").drop("_blend", "_escalated")
 
 
-def check(df: DataFrame, model: Model = STARTING, reputation: DataFrame | None = None, blocklist: DataFrame | None = None, keep: tuple[str, ...] | None = None) -> DataFrame:
-    """Score a whole request log: features, rules, model, decision.  Request ids come from seq; keep: as in features()."""
-    scored = evaluate(features(df, reputation, keep=keep), blocklist)
-    return decide(scored.withColumn("request_id", F.concat(F.lit("req-"), F.col("seq").cast("string"))), model)
+def decisions(featured: DataFrame, model: Model = STARTING, blocklist: DataFrame | None = None, policy: Policy | None = None) -> DataFrame:
+    """Rules, model and decision of rows that have their features.  Request ids come from seq."""
+    p = policy or Policy()
+    scored = evaluate(featured, blocklist, p.rules, p.saturation, p.hard)
+    return decide(scored.withColumn("request_id", F.concat(F.lit("req-"), F.col("seq").cast("string"))), model, p)
+
+
+def check(df: DataFrame, model: Model = STARTING, reputation: DataFrame | None = None, blocklist: DataFrame | None = None, keep: tuple[str, ...] | None = None, policy: Policy | None = None) -> DataFrame:
+    """Score a whole request log: features, rules, model, decision.  keep: as in features()."""
+    return decisions(features(df, reputation, keep=keep), model, blocklist, policy)
 
 
 def rounded(df: DataFrame) -> DataFrame:

@@ -240,9 +240,14 @@ BY_IP = {"req_10s": "n10", "req_60s": "n60", "distinct_paths_60s": "different",
 BY_TARGET = {"target_req_60s": "n60", "target_distinct_ips_60s": "different"}
 
 
+def kinds_of(named: dict[str, str]) -> dict[str, Callable]:
+    """For swept(): what each name is made of, from NUMBERS."""
+    return {name: NUMBERS[of] for name, of in named.items()}
+
+
 def windowed(df: DataFrame, key: str, value: str, named: dict[str, str], kept: list[str], chunk_s: int = SWEPT_S, busy: DataFrame | None = None) -> DataFrame:
     """The columns kept of df and those named, from NUMBERS: swept(), and for busy keys sliding(); seq is of one row each."""
-    kinds = {name: NUMBERS[of] for name, of in named.items()}
+    kinds = kinds_of(named)
     if busy is None:
         return swept(df, key, value, kinds, kept, chunk_s)
     met = F.col(key).eqNullSafe(F.col("busy")) & F.col("ts_us").isNotNull()

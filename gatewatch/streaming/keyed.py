@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import StructType
 
 from gatewatch.functions.columns import header_flags, static_reputation
-from gatewatch.operators.scoring import STARTING, Model, decide, evaluate
+from gatewatch.operators.scoring import STARTING, Model, Policy, decisions
 from gatewatch.operators.windows import BY_IP, BY_TARGET, NUMBERS, window_numbers, with_target
 
 RETAIN_US = 120_000_000
@@ -126,11 +126,10 @@ def features(stream: DataFrame, keep: list[str], retain_us: int = RETAIN_US, idl
     return rows.withColumn("ip_reputation", static_reputation(F.col("ip")))
 
 
-def check(stream: DataFrame, model: Model = STARTING, reputation: DataFrame | None = None, blocklist: DataFrame | None = None, keep: tuple[str, ...] = ("seq", "ts_us", "ip"), **state) -> DataFrame:
+def check(stream: DataFrame, model: Model = STARTING, reputation: DataFrame | None = None, blocklist: DataFrame | None = None, keep: tuple[str, ...] = ("seq", "ts_us", "ip"), policy: Policy | None = None, **state) -> DataFrame:
     """operators.scoring.check() of a stream; reputation (ip, score) and blocklist (ip) are tables."""
     rows = features(stream, [*keep], **state)
     if reputation is not None:
         rows = rows.join(reputation.select("ip", F.col("score").alias("_score")), "ip", "left")
         rows = rows.withColumn("ip_reputation", F.coalesce("_score", "ip_reputation")).drop("_score")
-    scored = evaluate(rows, blocklist)
-    return decide(scored.withColumn("request_id", F.concat(F.lit("req-"), F.col("seq").cast("string"))), model)
+    return decisions(rows, model, blocklist, policy)
