@@ -85,6 +85,8 @@ def evaluate(df: DataFrame, blocklist: DataFrame | None = None, rules: Sequence[
         df = df.join(blocklist.select("ip", F.lit(True).alias("_blocked")), "ip", "left")
     else:
         df = df.withColumn("_blocked", F.lit(False))
+    hard = hard or [("", "false", "", "''")]
+    rules = rules or [("", "false", 0.0, "")]
     reason = "CASE " + " ".join(f"WHEN {cond} THEN '{text}'" for _, cond, text, _ in hard) + " END"
     first = "CASE " + " ".join(f"WHEN {cond} THEN array({_hit(name, 1.0, said)})" for name, cond, _, said in hard) + " END"
     quoted = lambda text: "'" + text.replace("'", "\\'") + "'"

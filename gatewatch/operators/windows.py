@@ -142,7 +142,12 @@ def window_numbers(ts: np.ndarray, group: np.ndarray, value: np.ndarray, most: i
 
 
 def _sweep(kinds: dict[str, Callable], kept: list[str], most: int | None) -> Callable:
-    """Rows come by key, chunk and time.  Of what has passed only key, time and value of the last key's last minute stay in memory."""
+    """Rows come by key, chunk and time.
+
+    Of what has passed only key, time and value of the last key's last minute
+    stay in memory; with most only so many rows of it, so n10 and bucketed are
+    then of those alone.
+    """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows, waiting = None, [], 0
@@ -162,6 +167,8 @@ def _sweep(kinds: dict[str, Callable], kept: list[str], most: int | None) -> Cal
             if done != t.num_rows:
                 raise RuntimeError(f"{t.num_rows} rows came and {done} were counted")
             first = int(np.searchsorted(np.where(group == group[-1], ts, np.iinfo(np.int64).min), ts[-1] - HALO))
+            if most:
+                first = max(first, t.num_rows - most)
             # a copy: a slice would hold all columns of the batches
             return out, t.take(np.arange(first, t.num_rows))
 
