@@ -344,6 +344,25 @@ def endpoint_swarms(spark, sf_dir):
     return found.join(true, ["target", "t"]).select("t", "target", "n", "true_ips", near.alias("near"), sure.alias("swarm"))
 
 
+def _after_feedback(spark, sf_dir):
+    return learning.partial_fit(STARTING, learning.resolve_feedback(feedback(spark, sf_dir), checked(spark, sf_dir))[0], lr=1e-5)
+
+
+def weights_report(spark, sf_dir):
+    """The features that weigh most once operators' labels have moved the starting model."""
+    return learning.weights_report(spark, _after_feedback(spark, sf_dir))
+
+
+def recent_scores(spark, sf_dir):
+    return reports.recent(checked(spark, sf_dir), 200)
+
+
+def retrained_bounds(spark, sf_dir):
+    """Whether the retrained model is right more often than the starting one, and for nine rows in ten."""
+    r = retrained_accuracy(spark, sf_dir)
+    return r.select("n", (F.col("accuracy") > F.col("accuracy_before")).alias("better"), (F.col("accuracy") > 0.9).alias("right"))
+
+
 def timed_feedback(spark, sf_dir):
     """Feedback with times, by what it meets: its decision a day before at most, or none."""
     log = request_log(spark, sf_dir)
@@ -354,7 +373,7 @@ def timed_feedback(spark, sf_dir):
     return streams.feedback_join(said, scored).select("request_id", "label", "label_source", "known", F.coalesce(F.col("req_60s").cast("long"), F.lit(0)).alias("req_60s"))
 
 
-_LOCAL = [policy_decisions, dense_rule_hits, rolling_rate_bounds, rolling_ip_bounds, sketch_feature_rows, endpoint_swarms, timed_feedback, routes, request_flags, feature_rows, feature_vectors, bucketed_rates, tail_windows, rule_hits, decisions, client_view, decisions_by_target, decisions_by_action, honeypot_labels, feedback_labels, feedback_rejected, labels_by_source, tracked_keys, dashboard_counters, challenge_outcomes, recent_decisions, action_timeseries, session_verdicts, confusion_matrix, archetype_actions, class_shares, review_picks, review_requests, before_after, labelled_features, online_step, json_requests, json_quarantine, tumbling_actions, endpoint_pressure, key_rates, dashboard_page, feature_scaler, retrained_accuracy, sketch_rates, sketch_heavy_hitters, sketch_total, approx_target_ips]
+_LOCAL = [weights_report, recent_scores, retrained_bounds, policy_decisions, dense_rule_hits, rolling_rate_bounds, rolling_ip_bounds, sketch_feature_rows, endpoint_swarms, timed_feedback, routes, request_flags, feature_rows, feature_vectors, bucketed_rates, tail_windows, rule_hits, decisions, client_view, decisions_by_target, decisions_by_action, honeypot_labels, feedback_labels, feedback_rejected, labels_by_source, tracked_keys, dashboard_counters, challenge_outcomes, recent_decisions, action_timeseries, session_verdicts, confusion_matrix, archetype_actions, class_shares, review_picks, review_requests, before_after, labelled_features, online_step, json_requests, json_quarantine, tumbling_actions, endpoint_pressure, key_rates, dashboard_page, feature_scaler, retrained_accuracy, sketch_rates, sketch_heavy_hitters, sketch_total, approx_target_ips]
 QUERIES = {f.__name__: f for f in _LOCAL}
 
 # --- the same in SQL ---------------------------------------------------------
@@ -477,3 +496,6 @@ ORACLES = {
     "sketch_total": f"WITH {_REQ} SELECT count(*) AS total FROM log",
 }
 ORACLES["sketch_feature_rows"] = f"SELECT seq, ip_different, target_different, iat_mean, iat_cv, true AS covered FROM ({ORACLES['tail_windows']}) AS tails"
+ORACLES["weights_report"] = f"WITH o AS ({ORACLES['online_step']}), n AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{c}')" for i, c in enumerate(FEATURES))}) AS v(place, feature)) SELECT feature, round(weight, 3) AS weight FROM o JOIN n USING (place) ORDER BY abs(weight) DESC, place LIMIT 8"
+ORACLES["recent_scores"] = f"WITH {_DEC} SELECT seq, request_id, ip, route, action, round(score, 3) AS score FROM dec ORDER BY ts_us DESC, seq DESC LIMIT 200"
+ORACLES["retrained_bounds"] = "SELECT count(*) AS n, true AS better, true AS right FROM events"
