@@ -80,6 +80,6 @@ def scan(docs: DataFrame, templates: DataFrame, contained: int = CONTAINED) -> D
     # only texts that met a template are hashed again
     ids = stash(met.select(F.col("doc_id").alias("id")).distinct(), "ids")
     found = docs.join(sized(ids), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("doc_id", _shingles(whole("text")).alias("hashes"))
-    pairs = found.alias("d").join(met.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id"))).select("d.doc_id", "hashes", "template").join(sized(known), "template")
+    pairs = found.alias("d").join(met.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id"))).select("d.doc_id", "hashes", "template").join(known, "template")  # by size in bytes, as Spark sees fit: a template can be long
     share = F.size(F.array_intersect("hashes", "own")) / F.size(F.array_distinct("own"))
     return pairs.select("doc_id", "license", share.alias("share")).where(F.col("share") * 100 >= contained).groupBy("doc_id", "license").agg(F.max("share").alias("containment"))
