@@ -1,7 +1,9 @@
 """A corpus, stage by stage: rules, near duplicates, personal data, mixture, sequences.
 
 Each stage takes the documents that the one before it kept and returns
-documents again; the last returns the pieces of packed sequences.
+documents again; the last returns the pieces of packed sequences.  All stages
+hand on the five COLUMNS of documents and leave out any other column.  Texts of
+any length are taken whole, one in memory at a time.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the rules reject go, and those that their host and their own failures make junk.
 
     A null or empty text goes, a null source is a host, repeated rows are judged
-    each, an empty table stays empty.
+    each, an empty table stays empty.  A long text is counted whole, its words in
+    one array; columns beside COLUMNS go.
     """
     return quality.posterior(docs.select(*COLUMNS)).where("wanted").select(*COLUMNS)
 
@@ -28,7 +31,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, 0.8) the document of the least id stays, once.
 
-    Texts without words and rows without an id are near nothing and stay.  Rows
+    Columns beside COLUMNS go.  Texts without words and rows without an id are near nothing and stay.  Rows
     that share an id are one document: they stay or go together, and equal
     texts among them stay once.  Texts of any length are compared whole.
     """
@@ -47,7 +50,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Identifiers in texts are replaced by their kind; n_chars follows.
 
     Null texts and null n_chars stay null, repeated rows are masked alike, an
-    empty table stays empty.
+    empty table stays empty.  A long text is searched whole, in time linear in
+    it; columns beside COLUMNS go.
     """
     masked = pii.masked(pii.find(docs.select(*COLUMNS)))
     return masked.withColumn("n_chars", F.when(F.col("n_chars").isNull(), None).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
@@ -58,14 +62,20 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A text without words is there as often as its source is taken whole.  A
     null source is one of its own, repeated rows share their copies, an empty
-    table stays empty.
+    table stays empty.  Of a long text only the number of words counts, so it is
+    a large share of its source; columns beside COLUMNS go.
     """
     mixed = mixing.mix(docs.select(*COLUMNS)).where("copies > 0")
     return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces in sequences of 4096 tokens; a null id is kept, repeated rows are packed each."""
+    """Pieces in sequences of 4096 tokens; other columns than doc_id and text are not looked at.
+
+    A null id is kept, a null or empty text is one token, repeated rows are
+    packed each, an empty table gives no pieces.  A text of more tokens is cut
+    into as many pieces as it takes.
+    """
     return packing.pack(docs, vocabulary())
 
 
