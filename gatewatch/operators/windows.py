@@ -196,13 +196,13 @@ def swept(df: DataFrame, key: str, value: str, kinds: dict[str, Callable], kept:
     holds a minute of one key.  A row without ts_us is in no window: it comes
     back with null numbers.
     """
-    chunk = lambda at: F.floor(at / (chunk_s * SECOND)).cast("long")
-    at = F.col("ts_us")
-    nowhere = F.array(F.lit(-(1 << 62)) + F.pmod(F.xxhash64("seq"), F.lit(TIMELESS)))
-    to = F.explode(F.when(at.isNull(), nowhere).otherwise(F.sequence(chunk(at), chunk(at + HALO))))
-    rows = df.select(*kept, F.col(key).alias("_key"), F.col(value).alias("_value"), at.alias("_at"), F.col("seq").alias("_seq"), to.alias("_chunk"))
-    rows = rows.withColumn("_own", F.coalesce(chunk(F.col("_at")) == F.col("_chunk"), F.lit(True)))
-    rows = rows.select(*[F.when(F.col("_own"), F.col(c)).alias(c) for c in kept], "_key", "_value", "_at", "_seq", "_chunk", "_own")
+    # as text: a column of its own each would be a call to the JVM for every part of it
+    chunk = lambda at: f"CAST(floor(({at}) / {chunk_s * SECOND}) AS BIGINT)"
+    quoted = [f"`{c}`" for c in kept]
+    to = f"explode(IF(ts_us IS NULL, array({-(1 << 62)} + pmod(xxhash64(seq), {TIMELESS})), sequence({chunk('ts_us')}, {chunk(f'ts_us + {HALO}')}))) AS _chunk"
+    rows = df.selectExpr(*quoted, f"`{key}` AS _key", f"`{value}` AS _value", "ts_us AS _at", "seq AS _seq", to)
+    own = f"coalesce({chunk('_at')} = _chunk, true)"
+    rows = rows.selectExpr(*[f"IF({own}, {c}, NULL) AS {c}" for c in quoted], "_key", "_value", "_at", "_seq", "_chunk", f"{own} AS _own")
     dealt = rows.repartition("_key", "_chunk").sortWithinPartitions("_key", "_chunk", "_at", "_seq").drop("_seq")
     schema = df.select(*kept).schema
     for name in kinds:
