@@ -30,8 +30,8 @@ from gatewatch.llm.text import batches, grams, lists, raw, word_hashes
 
 WINDOW = 50
 ANCHOR = 10
-#: Words that stream through one copy of a reference's automaton.
-STREAM = 2_000_000
+#: Words that stream through one copy of a reference's automaton, and how many times its own words these are at least.
+STREAM, OWN = 65_536, 4
 
 
 class SuffixAutomaton:
@@ -242,7 +242,9 @@ def repeated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Dat
     candidates = stash(docs.join(per_doc, ["doc_id", "of"]), "candidates")
 
     runs = stash(candidates.mapInArrow(_segments(window, anchor), "ref long, role int, doc_id long, of long, start long, words binary"), "runs")
-    wide = runs.where("role = 1").groupBy("ref").agg(F.ceil(F.sum(F.length("words")) / F.lit(8 * STREAM)).cast("int").alias("copies"))
+    of_role = lambda role: F.sum(F.when(F.col("role") == role, F.length("words") / 8).otherwise(0))
+    # building a copy stays a small part of what it is built for
+    wide = runs.groupBy("ref").agg(F.ceil(of_role(1) / F.greatest(F.lit(STREAM), OWN * of_role(0))).cast("int").alias("copies"))
     spread = runs.join(sized(stash(wide.where("copies > 1"), "wide")), "ref", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
     salt = F.when(F.col("role") == 0, F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id", "of", "start"), F.col("copies")).cast("int")))
     dealt = spread.withColumn("salt", F.explode(salt)).drop("copies").repartition("ref", "salt").sortWithinPartitions("ref", "salt", "role", "doc_id", "of", "start")
