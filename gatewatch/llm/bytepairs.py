@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from gatewatch.llm.text import batches
 
 #: Bytes of text in a block, and rows; a longer text is a block of its own.
-BLOCK, ROWS = 24 << 20, 16_384
+BLOCK, ROWS = 16 << 20, 16_384
 _NONE = -1
 #: Between two characters that are no white space a single space begins a new piece.
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -203,18 +204,22 @@ def encoded(texts: pa.Array, merges: Merges, pieces_of: Callable[[str], list[str
     """
     stretches, pieces = Codes(), Codes()
     rows, sizes = [], []
-    for text, ragged in zip(texts.to_pylist(), pc.match_substring_regex(texts, _RAGGED).to_pylist(), strict=True):
+    for text, ragged in zip(map(str, texts), pc.match_substring_regex(texts, _RAGGED).to_pylist(), strict=True):
         cut = _SPACE.split(text) if ragged else text.split(" ")
         # all but the first begin with their space
         cut[0] = (cut[0],)
         rows.append(np.fromiter(map(stretches.__getitem__, cut), np.int32, len(cut)))
         sizes.append(len(cut))
-    found = [pieces_of(s[0] if type(s) is tuple else " " + s) for s in stretches]
-    flat = np.fromiter((pieces[p] for f in found for p in f), np.int64)
-    ids, ends = merges.replay([p.encode() for p in pieces])
-    counts = np.concatenate([[0], np.cumsum([*map(len, found)])]).astype(np.int64)
-    ids, to = gathered(ids, ends, flat)
-    ids, ends = gathered(ids, to[counts], np.concatenate(rows) if rows else np.empty(0, np.int64))
+    flat, counts = array("i"), array("i", [0])
+    for s in stretches:
+        flat.extend(map(pieces.__getitem__, pieces_of(s[0] if type(s) is tuple else " " + s)))
+        counts.append(len(flat))
+    stretches.clear()
+    spelled = [p.encode() for p in pieces]
+    pieces.clear()
+    ids, ends = merges.replay(spelled)
+    ids, to = gathered(ids, ends, np.frombuffer(flat, np.int32) if flat else np.empty(0, np.int32))
+    ids, ends = gathered(ids, to[np.array(counts)], np.concatenate(rows) if rows else np.empty(0, np.int64))
     return ids, ends[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)]
 
 
