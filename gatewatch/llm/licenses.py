@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gatewatch.llm.notices import TEXTS
 from gatewatch.llm.tables import free, sized, stash
 from gatewatch.llm.text import let, whole, words
 from gatewatch.llm.winnowing import gram_hashes
@@ -22,7 +23,7 @@ from gatewatch.llm.winnowing import gram_hashes
 WINDOWS = {4: (4, 2, 5), 2: (2, 1, 2), 1: (1, 1, 1)}
 CONTAINED = 80
 
-# Licence notices.
+# Notices of one line.
 NOTICES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
@@ -31,8 +32,13 @@ NOTICES = {
 }
 
 
+#: All that a scan looks for by default: notices of one line, and whole texts and longer notices.
+TEMPLATES = (*sorted(NOTICES.items()), *TEXTS)
+
+
 def notices(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(sorted(NOTICES.items()), "license string, text string")
+    """TEMPLATES as a table.  A text of BSD-3-Clause holds all of BSD-2-Clause, and counts as both."""
+    return spark.createDataFrame([*TEMPLATES], "license string, text string")
 
 
 def _shingles(text: Column) -> Column:

@@ -146,13 +146,16 @@ kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FRO
 SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
 """
 
+_quoted = lambda text: "'" + text.replace("'", "''") + "'"
+
 LICENSE_SQL = f"""
-WITH texts AS (SELECT doc_id::VARCHAR AS id, doc_id, coalesce(text, '') AS t FROM documents UNION ALL SELECT license, NULL, t FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in licenses.NOTICES.items())}) AS v(license, t)),
-b AS (SELECT id, doc_id, list_filter(list_transform(regexp_extract_all(lower(t), '[^\\x20\\x09-\\x0D]+'), lambda x: regexp_replace(x, '[.,;:!?"''()]+$', '')), lambda x: x <> '') AS ws FROM texts),
-s AS (SELECT DISTINCT id, doc_id, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) AS g FROM b WHERE len(ws) >= 5),
+WITH known AS (SELECT 'template ' || row_number() OVER () AS id, license, t FROM (VALUES {", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in licenses.TEMPLATES)}) AS v(license, t)),
+texts AS (SELECT doc_id::VARCHAR AS id, doc_id, NULL AS license, coalesce(text, '') AS t FROM documents UNION ALL SELECT id, NULL, license, t FROM known),
+b AS (SELECT id, doc_id, license, list_filter(list_transform(regexp_extract_all(lower(t), '[^\\x20\\x09-\\x0D]+'), lambda x: regexp_replace(x, '[.,;:!?"''()]+$', '')), lambda x: x <> '') AS ws FROM texts),
+s AS (SELECT DISTINCT id, doc_id, license, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) AS g FROM b WHERE len(ws) >= 5),
 n AS (SELECT id, count(*) AS n FROM s WHERE doc_id IS NULL GROUP BY 1),
-m AS (SELECT a.doc_id, n.id AS license, count(*) / any_value(n.n) AS containment FROM s a JOIN s o ON a.g = o.g AND a.doc_id IS NOT NULL AND o.doc_id IS NULL JOIN n ON n.id = o.id GROUP BY 1, 2)
-SELECT doc_id, license, containment FROM m WHERE containment * 100 >= 80
+m AS (SELECT a.doc_id, o.license, n.id, count(*) / any_value(n.n) AS containment FROM s a JOIN s o ON a.g = o.g AND a.doc_id IS NOT NULL AND o.doc_id IS NULL JOIN n ON n.id = o.id GROUP BY ALL)
+SELECT doc_id, license, max(containment) AS containment FROM m WHERE containment * 100 >= 80 GROUP BY 1, 2
 """
 
 ORACLES = {"op1_quality_rules": quality.SQL, "op3_ngram_jaccard": NGRAM_SQL, "op7_substring_dedup": SUBSTRING_SQL, "op10_license_scan": LICENSE_SQL, "op13_filter_audit": filters.SQL}
