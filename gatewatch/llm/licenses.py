@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from gatewatch.llm.notices import TEXTS
 from gatewatch.llm.tables import free, sized, stash
 from gatewatch.llm.text import let, whole, words
-from gatewatch.llm.winnowing import gram_hashes
+from gatewatch.llm.winnowing import _tail, gram_hashes
 
 #: Shingles of a window; bands of it, step of a text's windows, shingles that a template needs for it.
 WINDOWS = {4: (4, 2, 5), 2: (2, 1, 2), 1: (1, 1, 1)}
@@ -52,13 +52,30 @@ def _order(band: int) -> int:
     return ((band + 1) * 0x9E3779B97F4A7C15 % (1 << 64)) - (1 << 63)
 
 
-def _bands(hashes: str, width: int, step: int) -> Column:
-    """Band values of the windows of a column of shingles, at every step and at the end."""
-    last = F.size(hashes) - width
-    starts = F.when(last >= 0, F.array_union(F.sequence(F.lit(0), last, F.lit(step)), F.array(last))).otherwise(F.array().cast("array<int>"))
-    value = lambda i, band: [F.get(hashes, i + a).bitwiseXOR(F.lit(_order(band))) for a in range(width)]
-    least = lambda i, band: F.least(*value(i, band)) if width > 1 else value(i, band)[0]
-    return F.flatten(F.transform(starts, lambda i: F.array(*[least(i, band) for band in range(WINDOWS[width][0])])))
+def _turned(shingle: Column, band: int) -> Column:
+    return shingle.bitwiseXOR(F.lit(_order(band)))
+
+
+def _pairs(hashes: Column, band: int) -> Column:
+    """The band's values of the windows of two shingles."""
+    return let(_tail(hashes, 1), lambda t: F.zip_with(F.slice(hashes, F.lit(1), F.size(t)), t, lambda x, y: F.least(_turned(x, band), _turned(y, band))))
+
+
+def _fours(pairs: Column, last: Column, step: int) -> Column:
+    """The values of windows of four, from those of two: starts at 0, step, ... and last, none if that is negative."""
+    steps = F.sequence(F.lit(0), last, F.lit(step))
+    starts = F.when(last < 0, F.array().cast("array<int>")).when(last % step == 0, steps).otherwise(F.concat(steps, F.array(last)))
+    return F.transform(starts, lambda i: F.least(F.get(pairs, i), F.get(pairs, i + 2)))
+
+
+def _bands(hashes: Column, steps: dict[int, int]) -> Column:
+    """Band values of the windows of the widths in ``steps``, at every so many shingles; widths share a pair's values."""
+    last = F.size(hashes) - 4
+    two = lambda m, band: [m] if 2 in steps and band < WINDOWS[2][0] else []
+    four = lambda m: [_fours(m, last, steps[4])] if 4 in steps else []
+    of = lambda band: let(_pairs(hashes, band), lambda m: F.concat(*two(m, band), *four(m)))
+    found = [F.transform(hashes, lambda h: _turned(h, 0))] if 1 in steps else []
+    return F.concat(*found, *[of(band) for band in range(max((WINDOWS[w][0] for w in steps if w > 1), default=0))])
 
 
 def scan(docs: DataFrame, templates: DataFrame, contained: int = CONTAINED) -> DataFrame:
@@ -75,12 +92,12 @@ def scan(docs: DataFrame, templates: DataFrame, contained: int = CONTAINED) -> D
     known = templates.select("license", _shingles(whole("text")).alias("own")).where(F.size("own") > 0)
     known = stash(known.withColumns({"width": width, "template": F.monotonically_increasing_id()}), "templates")
     widths = [r.width for r in known.select("width").distinct().collect()]  # three at most
-    keys = F.coalesce(*[F.when(F.col("width") == w, _bands("own", w, 1)) for w in WINDOWS])
+    keys = F.coalesce(*[F.when(F.col("width") == w, _bands(F.col("own"), {w: 1})) for w in WINDOWS])
     by_key = stash(known.select("template", F.explode(keys).alias("key")).distinct(), "template-keys")
 
     docs = docs.select("doc_id", "text")
     hashed = docs.select("doc_id", _shingles(whole("text")).alias("hashes"))
-    probes = F.concat(F.array().cast("array<bigint>"), *[_bands("hashes", w, WINDOWS[w][1]) for w in sorted(widths)])
+    probes = _bands(F.col("hashes"), {w: WINDOWS[w][1] for w in widths}) if widths else F.array().cast("array<bigint>")
     met = stash(hashed.select("doc_id", F.explode(probes).alias("key")).join(sized(by_key), "key").select("doc_id", "template").distinct(), "met")
     free(by_key)
     # only texts that met a template are hashed again
