@@ -122,9 +122,9 @@ def decisions(featured: DataFrame, model: Model = STARTING, blocklist: DataFrame
     return decide(scored.withColumn("request_id", F.concat(F.lit("req-"), F.col("seq").cast("string"))), model, p)
 
 
-def check(df: DataFrame, model: Model = STARTING, reputation: DataFrame | None = None, blocklist: DataFrame | None = None, keep: tuple[str, ...] | None = None, policy: Policy | None = None) -> DataFrame:
-    """Score a whole request log: features, rules, model, decision.  keep: as in features()."""
-    return decisions(features(df, reputation, keep=keep), model, blocklist, policy)
+def check(df: DataFrame, model: Model = STARTING, reputation: DataFrame | None = None, blocklist: DataFrame | None = None, keep: tuple[str, ...] | None = None, policy: Policy | None = None, peers: bool = False) -> DataFrame:
+    """Score a whole request log: features, rules, model, decision.  keep, peers: as in features()."""
+    return decisions(features(df, reputation, keep=keep, peers=peers), model, blocklist, policy)
 
 
 def rounded(df: DataFrame) -> DataFrame:

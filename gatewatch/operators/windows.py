@@ -76,17 +76,22 @@ def events(df: DataFrame, key: str, value: str) -> DataFrame:
     return both.select("k", "seq", "e.*")
 
 
-def sliding(df: DataFrame, key: str, value: str, chunk_s: int = CHUNK_S) -> DataFrame:
+def sliding(df: DataFrame, key: str, value: str, chunk_s: int = CHUNK_S, peers: bool = False) -> DataFrame:
     """Per row (by seq) of its key's last 60 s, itself and earlier arrivals included: n10, n60, different values, gaps.
 
     Running sums of events(), within chunks of a key and from sums by chunk
     before them; the sums are of what is in the window, so they never grow with the log.
+    peers: as in features().
     """
     every = events(df, key, value).withColumn("chunk", F.floor(F.col("at") / (chunk_s * SECOND)).cast("long"))
     earlier = Window.partitionBy("k").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     sums = every.groupBy("k", "chunk").agg(*[F.sum(c).alias(c) for c in CHANGES])
     sums = sums.select(F.col("k").alias("k_"), F.col("chunk").alias("chunk_"), *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_") for c in CHANGES])
-    own = Window.partitionBy("k", "chunk").orderBy("at", "phase", "seq", "sub").rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy("k", "chunk")
+    if peers:
+        own = own.orderBy("at", "phase").rangeBetween(Window.unboundedPreceding, 0)
+    else:
+        own = own.orderBy("at", "phase", "seq", "sub").rowsBetween(Window.unboundedPreceding, 0)
     at = every.select("k", "chunk", "seq", "phase", "sub", *[F.sum(c).over(own).alias(c) for c in CHANGES]).where("phase = 1 and sub = 1")
     at = at.join(sums, F.col("k").eqNullSafe(F.col("k_")) & (F.col("chunk") == F.col("chunk_")))
     at = at.select("seq", *[(F.col(c) + F.col(f"{c}_")).alias(c) for c in CHANGES])
@@ -112,12 +117,26 @@ def _narrow(b: pa.RecordBatch) -> pa.Table:
     return pa.table([wide(b.column("_key")), b.column("_chunk"), wide(b.column("_value")), b.column("_at")], ["_key", "_chunk", "_value", "_at"])
 
 
-def window_numbers(ts: np.ndarray, group: np.ndarray, value: np.ndarray, most: int | None = None) -> dict[str, np.ndarray]:
+def _split(rows: list[pa.RecordBatch], n: int) -> tuple[list[pa.RecordBatch], list[pa.RecordBatch]]:
+    """The first n rows of batches, and the others."""
+    before, after = [], []
+    for b in rows:
+        m = min(max(n, 0), b.num_rows)
+        n -= b.num_rows
+        if m:
+            before.append(b.slice(0, m))
+        if m < b.num_rows:
+            after.append(b.slice(m))
+    return before, after
+
+
+def window_numbers(ts: np.ndarray, group: np.ndarray, value: np.ndarray, most: int | None = None, peers: bool = False) -> dict[str, np.ndarray]:
     """Of each row's last minute n10, n60, different, total and square of gaps; rows by group (0, 1, ...) and time.
 
     most: of the group's last so many rows only.  bucketed: rows since the
     beginning of the bucket that was a minute before this row's.  A value counts
-    from its row to its next one or to where the window has left it.
+    from its row to its next one or to where the window has left it.  peers: all
+    but bucketed are those of the last row of the same time; not with most.
     """
     n = len(ts)
     first = np.flatnonzero(np.diff(group, prepend=-1))
@@ -138,27 +157,40 @@ def window_numbers(ts: np.ndarray, group: np.ndarray, value: np.ndarray, most: i
     gap = np.diff(at, prepend=at[:1])
     gap[gap > SPAN] = 0
     square = np.cumsum((gap * gap).astype(np.uint64))  # may wrap; differences are right
-    return {"n10": place - lo10 + 1, "n60": place - lo + 1, "bucketed": place - buckets + 1, "different": np.cumsum(edge[:n]), "total": at - at[lo], "square": (square - square[lo]).astype(np.int64)}
+    found = {"n10": place - lo10 + 1, "n60": place - lo + 1, "different": np.cumsum(edge[:n]), "total": at - at[lo], "square": (square - square[lo]).astype(np.int64)}
+    if peers:
+        last = np.searchsorted(at, at, side="right") - 1
+        found = {k: v[last] for k, v in found.items()}
+    return {**found, "bucketed": place - buckets + 1}
 
 
-def _sweep(kinds: dict[str, Callable], kept: list[str], most: int | None) -> Callable:
+def _sweep(kinds: dict[str, Callable], kept: list[str], most: int | None, peers: bool = False) -> Callable:
     """Rows come by key, chunk and time.
 
     Of what has passed only key, time and value of the last key's last minute
     stay in memory; with most only so many rows of it, so n10 and bucketed are
-    then of those alone.
+    then of those alone.  peers: rows of a key's newest time wait for the others of it.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows, waiting = None, [], 0
+        held, rows, waiting, needed = None, [], 0, STEP
 
-        def step() -> tuple[list[pa.RecordBatch], pa.Table]:
+        def step(end: bool) -> tuple[list[pa.RecordBatch], pa.Table | None, list[pa.RecordBatch]]:
             t = pa.concat_tables([*([held] if held is not None else []), *map(_narrow, rows)])
             ts, key, chunk = t.column("_at").fill_null(0).to_numpy(), _codes(t.column("_key")), t.column("_chunk").to_numpy()
             group = np.cumsum(np.concatenate([[False], (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])]))
-            found = window_numbers(ts, group, _codes(t.column("_value")), most)
-            out, done = [], held.num_rows if held is not None else 0
-            for b in rows:
+            out, rest, done = [], [], held.num_rows if held is not None else 0
+            ready = rows
+            if peers and not end:
+                # rows without a time are nobody's peers
+                alone = pc.is_null(t.column("_at")).to_numpy()
+                cut = int(np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (ts[1:] != ts[:-1]) | alone[1:]]))[-1])
+                if cut <= done:
+                    return [], held, rows
+                ready, rest = _split(rows, cut - done)
+                t, ts, group = t.slice(0, cut), ts[:cut], group[:cut]
+            found = window_numbers(ts, group, _codes(t.column("_value")), most, peers)
+            for b in ready:
                 own = {k: v[done : done + b.num_rows] for k, v in found.items()}
                 timeless = pc.is_null(b.column("_at")).to_numpy(zero_copy_only=False)
                 numbers = [pa.array(make(own), mask=timeless) for make in kinds.values()]
@@ -170,31 +202,32 @@ def _sweep(kinds: dict[str, Callable], kept: list[str], most: int | None) -> Cal
             if most:
                 first = max(first, t.num_rows - most)
             # a copy: a slice would hold all columns of the batches
-            return out, t.take(np.arange(first, t.num_rows))
+            return out, t.take(np.arange(first, t.num_rows)), rest
 
         for b in it:
             if b.num_rows:
                 rows.append(b)
                 waiting += b.num_rows
             # as many new rows as are held: each row is looked at a few times only
-            if waiting >= max(STEP, held.num_rows if held is not None else 0):
-                out, held = step()
-                rows, waiting = [], 0
+            if waiting >= max(needed, held.num_rows if held is not None else 0):
+                out, held, rows = step(False)
+                waiting = sum(b.num_rows for b in rows)
+                needed = max(STEP, 2 * waiting)
                 yield from out
         if rows:
-            yield from step()[0]
+            yield from step(True)[0]
 
     return run
 
 
-def swept(df: DataFrame, key: str, value: str, kinds: dict[str, Callable], kept: list[str], chunk_s: int = SWEPT_S, most: int | None = None) -> DataFrame:
+def swept(df: DataFrame, key: str, value: str, kinds: dict[str, Callable], kept: list[str], chunk_s: int = SWEPT_S, most: int | None = None, peers: bool = False) -> DataFrame:
     """The columns kept of df, and those of kinds, made from window_numbers() of each row's key.
 
     One shuffle: rows go by key and chunk of time, those of a chunk's last
     minute to the next chunk as well, there without the columns kept, so a busy
     key is a task for each chunk.  A task streams through its rows in order and
     holds a minute of one key.  A row without ts_us is in no window: it comes
-    back with null numbers.
+    back with null numbers.  peers: as in features().
     """
     # as text: a column of its own each would be a call to the JVM for every part of it
     chunk = lambda at: f"CAST(floor(({at}) / {chunk_s * SECOND}) AS BIGINT)"
@@ -207,7 +240,7 @@ def swept(df: DataFrame, key: str, value: str, kinds: dict[str, Callable], kept:
     schema = df.select(*kept).schema
     for name in kinds:
         schema = schema.add(name, "double")
-    return dealt.mapInArrow(_sweep(kinds, kept, most), schema)
+    return dealt.mapInArrow(_sweep(kinds, kept, most, peers), schema)
 
 
 def busy_keys(df: DataFrame, keys: tuple[str, ...], chunk_s: int = SWEPT_S, most: int = BUSY) -> dict[str, DataFrame]:
@@ -252,19 +285,19 @@ def kinds_of(named: dict[str, str]) -> dict[str, Callable]:
     return {name: NUMBERS[of] for name, of in named.items()}
 
 
-def windowed(df: DataFrame, key: str, value: str, named: dict[str, str], kept: list[str], chunk_s: int = SWEPT_S, busy: DataFrame | None = None) -> DataFrame:
+def windowed(df: DataFrame, key: str, value: str, named: dict[str, str], kept: list[str], chunk_s: int = SWEPT_S, busy: DataFrame | None = None, peers: bool = False) -> DataFrame:
     """The columns kept of df and those named, from NUMBERS: swept(), and for busy keys sliding(); seq is of one row each."""
     kinds = kinds_of(named)
     if busy is None:
-        return swept(df, key, value, kinds, kept, chunk_s)
+        return swept(df, key, value, kinds, kept, chunk_s, peers=peers)
     met = F.col(key).eqNullSafe(F.col("busy")) & F.col("ts_us").isNotNull()
     hot, cold = (df.join(F.broadcast(busy), met, how) for how in ("left_semi", "left_anti"))
-    sums = sliding(hot, key, value).select(F.col("seq").alias("_seq"), *[F.col(of).cast("double").alias(name) for name, of in named.items()])
+    sums = sliding(hot, key, value, peers=peers).select(F.col("seq").alias("_seq"), *[F.col(of).cast("double").alias(name) for name, of in named.items()])
     hot = hot.select(*kept, F.col("seq").alias("_own")).join(sums, F.col("_own") == F.col("_seq")).select(*kept, *named)
-    return swept(cold, key, value, kinds, kept, chunk_s).unionByName(hot)
+    return swept(cold, key, value, kinds, kept, chunk_s, peers=peers).unionByName(hot)
 
 
-def features(df: DataFrame, reputation: DataFrame | None = None, chunk_s: int = SWEPT_S, keep: tuple[str, ...] | None = None, most: int = BUSY) -> DataFrame:
+def features(df: DataFrame, reputation: DataFrame | None = None, chunk_s: int = SWEPT_S, keep: tuple[str, ...] | None = None, most: int = BUSY, peers: bool = False) -> DataFrame:
     """The requests with route, target and all features; one code path for training, batch and streams.
 
     df: seq and the request columns; rows of one time count in the order of seq.
@@ -272,13 +305,14 @@ def features(df: DataFrame, reputation: DataFrame | None = None, chunk_s: int =
     reputation: ip, score, one row an ip; it overrides the prefixes.  keep: the
     columns of df to carry on, all by default.  most: rows of a key in a chunk
     of time that one task takes; busier keys are found by a job beforehand.
+    peers: rows of one time count each other, as in a RANGE frame of SQL.
     """
     kept = [*(df.columns if keep is None else keep), "route", "target", *header_flags()]
     carried = [*dict.fromkeys([*kept, "ip", "ts_us", "seq"])]
     rows = with_target(df).withColumns(header_flags())
     busy = busy_keys(rows, ("ip", "target"), chunk_s, most)
-    rows = windowed(rows, "ip", "path", BY_IP, carried, chunk_s, busy.get("ip"))
-    out = windowed(rows, "target", "ip", BY_TARGET, [*carried, *BY_IP], chunk_s, busy.get("target"))
+    rows = windowed(rows, "ip", "path", BY_IP, carried, chunk_s, busy.get("ip"), peers)
+    out = windowed(rows, "target", "ip", BY_TARGET, [*carried, *BY_IP], chunk_s, busy.get("target"), peers)
     known = static_reputation(F.col("ip"))
     if reputation is not None:
         out = out.join(reputation.select("ip", F.col("score").alias("_score")), "ip", "left")

@@ -373,3 +373,26 @@ def test_fixed_values():
     assert len(columns.BOT_TOKENS) == 18 and {"curl", "python-requests", "go-http-client", "playwright"} < set(columns.BOT_TOKENS)
     assert columns.SENSITIVE == ("/login", "/signup", "/checkout", "/password-reset", "/api/token") and columns.BAD_PREFIXES == ("185.", "45.", "193.")
     assert columns.FEATURES[0] == "req_10s" and columns.FEATURES[4] == "iat_cv" and columns.FEATURES[-1] == "target_distinct_ips_60s" and len(columns.FEATURES) == 15
+
+
+@pytest.mark.parametrize("step", [1, 7, 10**6])
+def test_peers_count_each_other(spark, step):
+    """Rows of one time, over batches and chunks, as a RANGE frame of SQL counts them; rows without a time wait for none."""
+    rng = random.Random(8)
+    rows = [{"ts_us": T0 + rng.choice([0, 1, 9, 10, 60, 61, 119, 120, 180]) * 1_000_000, "ip": rng.choice("ab"), "path": f"/{rng.randrange(4)}"} for _ in range(90)]
+    df = log(spark, rows).cache()
+    frame = "OVER (PARTITION BY ip ORDER BY ts_us RANGE BETWEEN {} PRECEDING AND CURRENT ROW)"
+    plain = df.selectExpr("seq", f"count(*) {frame.format(10_000_000)} AS n10", f"count(*) {frame.format(60_000_000)} AS n60", f"size(collect_set(path) {frame.format(60_000_000)}) AS different", f"(ts_us - min(ts_us) {frame.format(60_000_000)}) / 1e6 AS span")
+    want = {r.seq: (r.n10, r.n60, r.different, r.span / (r.n60 - 1) if r.n60 > 1 else 30.0) for r in plain.collect()}
+    told = lambda r, names: tuple(pytest.approx(r[c]) for c in names)
+    named = ("req_10s", "req_60s", "distinct_paths_60s", "iat_mean")
+    assert {i: told(r, named) for i, r in result(windows.features(df, peers=True)).items()} == want
+    assert {i: told(r, named) for i, r in result(windows.features(df, peers=True, most=5)).items()} == want
+    assert {i: told(r, ("n10", "n60", "different", "iat_mean")) for i, r in result(windows.sliding(df, "ip", "path", peers=True)).items()} == want
+    one = sorted(({"seq": i, **r} for i, r in enumerate(rows) if r["ip"] == "a"), key=lambda r: (r["ts_us"], r["seq"])) + [{"seq": i, "ts_us": None, "path": "/"} for i in range(90, 96)]
+    table = pa.table({"seq": [r["seq"] for r in one], "_key": ["a"] * len(one), "_value": [r["path"] for r in one], "_at": pa.array([r["ts_us"] for r in one], pa.int64()), "_chunk": pa.array([0 if r["ts_us"] else 1 for r in one], pa.int64()), "_own": [True] * len(one)})
+    old, windows.STEP = windows.STEP, step
+    out = pa.Table.from_batches(list(windows._sweep(windows.kinds_of({"n": "n60", "d": "different"}), ["seq"], None, True)(iter(table.to_batches(max_chunksize=4)))))
+    windows.STEP = old
+    assert out.column("seq").to_pylist() == [r["seq"] for r in one]
+    assert [(n, d) for n, d in zip(out.column("n").to_pylist(), out.column("d").to_pylist(), strict=True)] == [want[r["seq"]][1:3] if r["ts_us"] else (None, None) for r in one]
