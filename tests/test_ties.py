@@ -8,7 +8,7 @@ from gatewatch.jobs import queries
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["dense_rule_hits", "policy_decisions"])
+@pytest.mark.parametrize("name", ["dense_rule_hits", "policy_decisions", "timed_feedback", "feature_scaler"])
 def test_rows_of_one_time(spark, tmp_path, name):
     """Each event is there twice, the second time of another user who asks for the same endpoint."""
     db = duckdb.connect()
