@@ -1,9 +1,11 @@
-"""Registered queries against their SQL where rows share their time."""
+"""Registered queries against their SQL where rows share their time, and sketches of many IPs."""
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from gatewatch.jobs import queries
+from gatewatch.operators import sketch
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,3 +19,10 @@ def test_rows_of_one_time(spark, tmp_path, name):
     got = queries.QUERIES[name](spark, str(tmp_path))
     want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLES[name]})").fetchall()
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_rolling_ips_of_many(spark):
+    """Targets of 20,000 IPs that sketches of 2**12 registers miss by 3 %."""
+    many = spark.range(60_000).select(F.element_at(F.array(*[F.lit(x) for x in ("172", "217", "7")]), (F.col("id") % 3 + 1).cast("int")).alias("target"), F.expr("id div 3").alias("i"))
+    got = sketch.rolling_ips(many.select("target", F.concat("target", F.lit("."), F.col("i")).alias("ip"), F.lit(10**12).alias("ts_us"))).collect()
+    assert len(got) == 3 and all(abs(r.approx_ips - 20_000) <= 400 for r in got)
