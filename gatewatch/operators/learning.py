@@ -8,6 +8,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,13 +65,14 @@ def scaler(rows: DataFrame) -> DataFrame:
 def fit(rows: DataFrame, epochs: int = 400, lr: float = 0.3, l2: float = 1e-3, method: str = "gd", tol: float = 0.0) -> Model:
     """Logistic regression on FEATURES and label, from zero.
 
-    gd: full-batch descent; blocks of rows are cached and only gradients
-    travel, from more than FLAT partitions through sums of them; it ends before
-    its epochs once no part of the gradient is over tol.  lbfgs: pyspark.ml, converged.
+    gd: full-batch descent; rows are computed once, blocks of them are kept in
+    memory or on disk, and only sums travel, from more than FLAT partitions
+    through sums of them; it ends before its epochs once no part of the gradient
+    is over tol.  lbfgs: pyspark.ml, converged.
     """
-    top = scaler(rows).first()
-    mean, std = np.array(top.mean), np.array(top.std)
     if method == "lbfgs":
+        top = scaler(rows).first()
+        mean, std = np.array(top.mean), np.array(top.std)
         from pyspark.ml.classification import LogisticRegression
         from pyspark.ml.feature import VectorAssembler
 
@@ -80,30 +82,43 @@ def fit(rows: DataFrame, epochs: int = 400, lr: float = 0.3, l2: float = 1e-3, m
 
     def blocks(it):
         for b in it:
-            a = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in (*FEATURES, "label")], axis=1)
-            a[:, :-1] = (a[:, :-1] - mean) / std
-            if len(a):
+            if b.num_rows:
+                a = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in (*FEATURES, "label")], axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary())], ["block"])
 
     def read(row):
-        a = np.frombuffer(row.block, float).reshape(-1, len(FEATURES) + 1)
-        return np.c_[a[:, :-1], np.ones(len(a))], a[:, -1].copy()
+        return np.frombuffer(row.block, float).reshape(-1, len(FEATURES) + 1)
 
     numbers = rows.select(*[F.col(c).cast("double").alias(c) for c in FEATURES], F.col("label").cast("double").alias("label"))
-    data = numbers.mapInArrow(blocks, "block binary").rdd.map(read).cache()  # a row is a block of rows
-    w = np.zeros(len(FEATURES) + 1)
+    # a row is a block of rows; partitions for the cores, as each epoch is a job over all of them
+    held = numbers.mapInArrow(blocks, "block binary").rdd
+    held = held.coalesce(min(held.getNumPartitions(), 2 * rows.sparkSession.sparkContext.defaultParallelism))
+    data = held.map(read).persist(StorageLevel.MEMORY_AND_DISK)
     # sums of sums, so that the driver adds a root of them only
     depth = 1 if data.getNumPartitions() <= FLAT else 2
-    total = data.map(lambda b: len(b[1])).sum()
+
+    def summed(of):
+        each = data.map(of)
+        zero = np.zeros(len(FEATURES) + 1)
+        return each.treeAggregate(zero, np.add, np.add, depth) if depth > 1 else each.fold(zero, np.add)
+
+    w = np.zeros(len(FEATURES) + 1)
+    first = summed(lambda a: np.r_[a[:, :-1].sum(axis=0), len(a)])
+    total = first[-1]
+    mean = first[:-1] / max(total, 1)
+    spread = summed(lambda a: np.r_[((a[:, :-1] - mean) ** 2).sum(axis=0), 0.0])[:-1] / max(total, 1)
+    std = np.where(spread > 1e-12, np.sqrt(spread), 1.0)
     for _ in range(epochs if total else 0):
-        here = w.copy()
+        # the scaling is in the weights, so that blocks stay as they are
+        by, at = w[:-1] / std, w[-1] - (w[:-1] * mean / std).sum()
 
-        def gradient(block, here=here):
-            x, y = block
-            return x.T @ (1 / (1 + np.exp(-np.clip(x @ here, -35, 35))) - y)
+        def errors(a, by=by, at=at):
+            x = a[:, :-1]
+            e = 1 / (1 + np.exp(-np.clip(x @ by + at, -35, 35))) - a[:, -1]
+            return np.r_[e @ x, e.sum()]
 
-        g = (data.map(gradient).treeReduce(np.add, depth) if depth > 1 else data.map(gradient).reduce(np.add)) / total
-        g += l2 * np.r_[w[:-1], 0.0]
+        e = summed(errors) / total
+        g = np.r_[(e[:-1] - mean * e[-1]) / std, e[-1]] + l2 * np.r_[w[:-1], 0.0]
         w -= lr * g
         if np.abs(g).max() <= tol:
             break

@@ -4,8 +4,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from gatewatch.functions.columns import FEATURES
 from gatewatch.jobs import queries
-from gatewatch.operators import sketch
+from gatewatch.operators import learning, sketch
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,3 +27,18 @@ def test_rolling_ips_of_many(spark):
     many = spark.range(60_000).select(F.element_at(F.array(*[F.lit(x) for x in ("172", "217", "7")]), (F.col("id") % 3 + 1).cast("int")).alias("target"), F.expr("id div 3").alias("i"))
     got = sketch.rolling_ips(many.select("target", F.concat("target", F.lit("."), F.col("i")).alias("ip"), F.lit(10**12).alias("ts_us"))).collect()
     assert len(got) == 3 and all(abs(r.approx_ips - 20_000) <= 400 for r in got)
+
+
+def test_training_computes_rows_once(spark):
+    """The scaling's passes and the epochs read what the first pass kept."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def row(i):
+        seen.add(1)
+        return (*(float((i * (j + 3)) % 7) for j in range(len(FEATURES))), i % 2)
+
+    rows = spark.createDataFrame(spark.sparkContext.range(200, numSlices=3).map(row), ", ".join(f"{c} double" for c in FEATURES) + ", label int")
+    model = learning.fit(rows, epochs=3)
+    assert seen.value == 200
+    top = learning.scaler(rows).first()
+    assert model.mean == pytest.approx(top.mean) and model.std == pytest.approx(top.std)
