@@ -29,13 +29,18 @@ def honeypot_labels(decisions: DataFrame) -> DataFrame:
     return decisions.where("honeypot_filled != 0").select("request_id", *FEATURES, F.lit(1).alias("label"), F.lit("honeypot").alias("label_source"))
 
 
-def resolve_feedback(feedback: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(labels, rejected).  feedback: request_id, label and perhaps source; every row counts, unknown ids are rejected."""
+def resolve_feedback(feedback: DataFrame, decisions: DataFrame, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(labels, rejected).  feedback: request_id, label and perhaps source; every row counts, unknown ids are rejected.
+
+    parts: tasks that both are dealt to by request_id; by default Spark puts as
+    many rows in a task as it takes for a size, which ids of few bytes make millions.
+    """
+    by_id = lambda df: df.repartition(parts, "request_id") if parts else df
     source = F.coalesce("source", F.lit("operator")) if "source" in feedback.columns else F.lit("operator")
     said = feedback.select("request_id", F.col("label").cast("int").alias("label"), source.alias("label_source"))
-    logged = decisions.select("request_id", *FEATURES)
-    labels = logged.join(said, "request_id").select("request_id", *FEATURES, "label", "label_source")
-    return labels, said.join(decisions.select("request_id"), "request_id", "left_anti")
+    said = by_id(said)
+    labels = by_id(decisions.select("request_id", *FEATURES)).join(said, "request_id").select("request_id", *FEATURES, "label", "label_source")
+    return labels, said.join(by_id(decisions.select("request_id")), "request_id", "left_anti")
 
 
 def solve(challenges: DataFrame, outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,0 +1,22 @@
+"""Joins that are dealt to tasks by rows, and windows' different values without a row for each window."""
+
+import duckdb
+import pytest
+
+from gatewatch.jobs import queries
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ["labels_by_source"])
+def test_feedback_is_joined_in_tasks_of_few_rows(spark, monkeypatch, name):
+    """2,500 rows of events and orders, 100 a task."""
+    monkeypatch.setattr(queries, "JOINED", 100, raising=False)
+    got = queries.QUERIES[name](spark, SF)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert sum("hashpartitioning(request_id" in line and " 25), REPARTITION_BY_NUM" in line for line in plan.splitlines()) == 2
+    db = duckdb.connect()
+    for table in ("events", "orders"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLES[name]})").fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
