@@ -8,7 +8,7 @@ from gatewatch.jobs import queries
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["labels_by_source"])
+@pytest.mark.parametrize("name", ["labels_by_source", "dashboard_page"])
 def test_feedback_is_joined_in_tasks_of_few_rows(spark, monkeypatch, name):
     """2,500 rows of events and orders, 100 a task."""
     monkeypatch.setattr(queries, "JOINED", 100, raising=False)
