@@ -320,6 +320,29 @@ def features(df: DataFrame, reputation: DataFrame | None = None, chunk_s: int =
     return out.withColumn("ip_reputation", known).select(*dict.fromkeys(kept), *BY_IP, *BY_TARGET, "ip_reputation", *(c for c in ("ip",) if c not in kept))
 
 
+def different_in_reach(df: DataFrame, key: str, value: str, before: int, after: int) -> DataFrame:
+    """key, bucket, change: by how many the different values of the key rise there, if each row counts from ``before`` buckets before its own to ``after`` after it.
+
+    Running sums of change by bucket are the numbers.  A row counts from where
+    the value's row before it ends, so none is there once for each bucket that it
+    reaches: a shuffle by key and value, then sums of a key's buckets.  df: key, value, bucket.
+    """
+    own = Window.partitionBy(key, value).orderBy("bucket")
+    rows = df.where(F.col(value).isNotNull() & F.col("bucket").isNotNull()).select(key, "bucket", F.lag("bucket").over(own).alias("_last"))
+    # greatest() leaves out the null of a first row
+    begins = F.greatest(F.col("bucket") - before, F.col("_last") + (after + 1))
+    changes = F.array(F.struct(begins.alias("bucket"), F.lit(1).alias("change")), F.struct((F.col("bucket") + (after + 1)).alias("bucket"), F.lit(-1).alias("change")))
+    fresh = rows.where(F.col("_last").isNull() | (F.col("_last") < F.col("bucket")))
+    return fresh.select(key, F.explode(changes).alias("c")).groupBy(key, "c.bucket").agg(F.sum("c.change").alias("change"))
+
+
+def with_different(found: DataFrame, changes: DataFrame, key: str, name: str) -> DataFrame:
+    """found (key, bucket, once each) with the running sums of different_in_reach(), as ``name``."""
+    both = found.withColumn("_found", F.lit(True)).join(changes, [key, "bucket"], "full")
+    running = F.coalesce(F.sum("change").over(Window.partitionBy(key).orderBy("bucket")), F.lit(0)).cast("long")
+    return both.withColumn(name, running).where("_found").drop("_found", "change")
+
+
 def builtin_counts(df: DataFrame, key: str, value: str) -> DataFrame:
     """n60 and different of sliding() from built-in frames: fine for keys with few rows a minute."""
     w = Window.partitionBy(key).orderBy("ts_us").rangeBetween(-SPAN, 0)

@@ -1,9 +1,13 @@
 """Joins that are dealt to tasks by rows, and windows' different values without a row for each window."""
 
+import random
+from collections import defaultdict
+
 import duckdb
 import pytest
 
 from gatewatch.jobs import queries
+from gatewatch.operators import windows
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,3 +24,30 @@ def test_feedback_is_joined_in_tasks_of_few_rows(spark, monkeypatch, name):
         db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLES[name]})").fetchall()
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("reach", [(11, 0), (0, 12), (2, 3)])
+def test_different_values_in_reach(spark, reach):
+    """Against sets by bucket; rows that are there twice, gaps, and no value or bucket."""
+    rng = random.Random(5)
+    rows = [(rng.choice("ab"), rng.choice(["u", "v", "w", "x", None]), rng.choice([*range(20), *range(60, 70), None])) for _ in range(60)]
+    sets = defaultdict(set)
+    for key, value, b in rows:
+        for i in range(b - reach[0], b + reach[1] + 1) if b is not None else ():
+            sets[key, i] |= {value} - {None}
+    found = spark.createDataFrame([(key, i) for key, i in sets], "key string, bucket long")
+    changes = windows.different_in_reach(spark.createDataFrame(rows, "key string, value string, bucket long"), "key", "value", *reach)
+    got = {(r.key, r.bucket): r.n for r in windows.with_different(found, changes, "key", "n").collect()}
+    assert got == {k: len(v) for k, v in sets.items()}
+
+
+@pytest.mark.parametrize("name", ["endpoint_swarms", "rolling_ip_bounds"])
+def test_no_row_for_each_minute_and_address(spark, name):
+    """Rows are made for the sliding windows' counts by target alone."""
+    got = queries.QUERIES[name](spark, SF)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(sequence(" not in plan
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
+    want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLES[name]})").fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
