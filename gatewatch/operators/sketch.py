@@ -115,9 +115,9 @@ def features(df: DataFrame, keep: tuple[str, ...] | None = None, width: int = WI
     of one row each.  Rows without ts_us have null window numbers.
     """
     kept = [*dict.fromkeys([*(df.columns if keep is None else keep), "ip", "ts_us", "seq", "route", "target", *header_flags()])]
-    rows = with_target(df).withColumns(header_flags())
-    out = swept(rows, "ip", "path", kinds_of({"distinct_paths_60s": "different", "iat_mean": "iat_mean", "iat_cv": "iat_cv"}), kept, most=most)
-    out = swept(out, "target", "ip", kinds_of({"target_distinct_ips_60s": "different"}), [*kept, "distinct_paths_60s", "iat_mean", "iat_cv"], most=most)
+    rows, n = with_target(df).withColumns(header_flags()), df.count()
+    out = swept(rows, "ip", "path", kinds_of({"distinct_paths_60s": "different", "iat_mean": "iat_mean", "iat_cv": "iat_cv"}), kept, most=most, rows=n)
+    out = swept(out, "target", "ip", kinds_of({"target_distinct_ips_60s": "different"}), [*kept, "distinct_paths_60s", "iat_mean", "iat_cv"], most=most, rows=n)
     out = out.withColumn("_bucket", bucket_of(F.col("ts_us")))
     for key, names in (("ip", {"req_10s": TEN_S, "req_60s": MINUTE}), ("target", {"target_req_60s": MINUTE})):
         rates = rolling_rates(rows, key, names, width, depth).select(F.col("key").alias("_of"), F.col("bucket").alias("_at"), *[F.col(n).cast("double").alias(n) for n in names])

@@ -30,6 +30,8 @@ SWEPT_S = 120
 STEP = 65_536
 #: Rows of a key in a chunk of time from which the key is busy.
 BUSY = 1_000_000
+#: Rows that a task of swept() sorts, about, where there are many.
+DEALT = 100_000
 #: Groups that rows without a time are dealt to.
 TIMELESS = 4096
 #: What an event changes: rows and values in the window, the gaps between its rows and their squares.
@@ -220,40 +222,71 @@ def _sweep(kinds: dict[str, Callable], kept: list[str], most: int | None, peers:
     return run
 
 
-def swept(df: DataFrame, key: str, value: str, kinds: dict[str, Callable], kept: list[str], chunk_s: int = SWEPT_S, most: int | None = None, peers: bool = False) -> DataFrame:
+def _unpacked(kept: list[str], same: dict[str, str]) -> Callable:
+    """Batches for _sweep() from those that swept() deals: columns kept from _kept, or from those that are the same."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            carried = b.column("_kept")
+            packed = dict(zip([f.name for f in carried.type], carried.flatten(), strict=True))
+            columns = {c: b.column(same[c]) if c in same else packed[c] for c in kept}
+            columns |= {c: b.column(c) for c in ("_key", "_value", "_at", "_chunk", "_own")}
+            yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
+
+    return run
+
+
+def swept(df: DataFrame, key: str, value: str, kinds: dict[str, Callable], kept: list[str], chunk_s: int = SWEPT_S, most: int | None = None, peers: bool = False, rows: int | None = None) -> DataFrame:
     """The columns kept of df, and those of kinds, made from window_numbers() of each row's key.
 
     One shuffle: rows go by key and chunk of time, those of a chunk's last
     minute to the next chunk as well, there without the columns kept, so a busy
     key is a task for each chunk.  A task streams through its rows in order and
     holds a minute of one key.  A row without ts_us is in no window: it comes
-    back with null numbers.  peers: as in features().
+    back with null numbers.  peers: as in features().  rows: those of df; where
+    that is more than DEALT for each core, they are dealt to tasks of about so many,
+    and else to as many as Spark sees fit.
     """
     # as text: a column of its own each would be a call to the JVM for every part of it
     chunk = lambda at: f"CAST(floor(({at}) / {chunk_s * SECOND}) AS BIGINT)"
-    quoted = [f"`{c}`" for c in kept]
+    # what is sorted: the columns kept as one, null in the next chunk, without those that are there anyway
+    same = {key: "_key", value: "_value", "ts_us": "_at", "seq": "_seq"}
+    packed = ", ".join(f"'{c}', `{c}`" for c in kept if c not in same) or "'_none', CAST(NULL AS BOOLEAN)"
     to = f"explode(IF(ts_us IS NULL, array({-(1 << 62)} + pmod(xxhash64(seq), {TIMELESS})), sequence({chunk('ts_us')}, {chunk(f'ts_us + {HALO}')}))) AS _chunk"
-    rows = df.selectExpr(*quoted, f"`{key}` AS _key", f"`{value}` AS _value", "ts_us AS _at", "seq AS _seq", to)
+    every = df.selectExpr(f"named_struct({packed}) AS _kept", f"`{key}` AS _key", f"`{value}` AS _value", "ts_us AS _at", "seq AS _seq", to)
     own = f"coalesce({chunk('_at')} = _chunk, true)"
-    rows = rows.selectExpr(*[f"IF({own}, {c}, NULL) AS {c}" for c in quoted], "_key", "_value", "_at", "_seq", "_chunk", f"{own} AS _own")
-    dealt = rows.repartition("_key", "_chunk").sortWithinPartitions("_key", "_chunk", "_at", "_seq").drop("_seq")
+    every = every.selectExpr(f"IF({own}, _kept, NULL) AS _kept", "_key", "_value", "_at", "_seq", "_chunk", f"{own} AS _own")
+    # with those that go to the next chunk as well; by size alone a task gets millions, as they are packed well
+    parts = int((rows or 0) * (1 + HALO / (chunk_s * SECOND)) / DEALT) + 1
+    by_number = [parts] if parts > df.sparkSession.sparkContext.defaultParallelism else []
+    dealt = every.repartition(*by_number, "_key", "_chunk").sortWithinPartitions("_key", "_chunk", "_at", "_seq")
+    if "seq" not in kept:
+        dealt = dealt.drop("_seq")
     schema = df.select(*kept).schema
     for name in kinds:
         schema = schema.add(name, "double")
-    return dealt.mapInArrow(_sweep(kinds, kept, most, peers), schema)
+    unpacked, sweep = _unpacked(kept, same), _sweep(kinds, kept, most, peers)
+    return dealt.mapInArrow(lambda it: sweep(unpacked(it)), schema)
+
+
+def row_counts(df: DataFrame, chunk_s: int = SWEPT_S) -> tuple[int, int]:
+    """Rows of df, and those of its fullest chunk of time; nothing but ts_us is read."""
+    by_chunk = df.groupBy(F.floor(F.col("ts_us") / (chunk_s * SECOND)).alias("_chunk")).count()
+    fullest = F.max(F.when(F.col("_chunk").isNotNull(), F.col("count")))
+    return tuple(by_chunk.agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(fullest, F.lit(0))).first())
 
 
-def busy_keys(df: DataFrame, keys: tuple[str, ...], chunk_s: int = SWEPT_S, most: int = BUSY) -> dict[str, DataFrame]:
+def busy_keys(df: DataFrame, keys: tuple[str, ...], chunk_s: int = SWEPT_S, most: int = BUSY, fullest: int | None = None) -> dict[str, DataFrame]:
     """Of each column of keys that has any: its busy keys (column busy), those of more than ``most`` rows in a chunk of time.
 
-    Where no chunk has so many rows of all keys together, nothing but ts_us is
-    read.  Else rows are counted by key and chunk, with partial counts before
+    fullest: rows of the fullest chunk, from row_counts() if not given; where that
+    is not more, no key is busy.  Else rows are counted by key and chunk, with partial counts before
     the shuffle.  There are fewer busy keys than rows by ``most``, so they are sent
     to the tasks.
     """
-    at = df.where("ts_us is not null").withColumn("_chunk", F.floor(F.col("ts_us") / (chunk_s * SECOND)))
-    if at.groupBy("_chunk").count().where(F.col("count") > most).isEmpty():
+    if (row_counts(df, chunk_s)[1] if fullest is None else fullest) <= most:
         return {}
+    at = df.where("ts_us is not null").withColumn("_chunk", F.floor(F.col("ts_us") / (chunk_s * SECOND)))
     each = at.select("_chunk", F.explode(F.array(*[F.struct(F.lit(k).alias("of"), F.col(k).alias("busy")) for k in keys])).alias("k"))
     found = each.groupBy("_chunk", "k").count().where(F.col("count") > most).select("k.of", "k.busy").distinct().collect()
     return {k: df.sparkSession.createDataFrame([(r.busy,) for r in found if r.of == k], f"busy {df.schema[k].dataType.simpleString()}") for k in {r.of for r in found}}
@@ -285,16 +318,16 @@ def kinds_of(named: dict[str, str]) -> dict[str, Callable]:
     return {name: NUMBERS[of] for name, of in named.items()}
 
 
-def windowed(df: DataFrame, key: str, value: str, named: dict[str, str], kept: list[str], chunk_s: int = SWEPT_S, busy: DataFrame | None = None, peers: bool = False) -> DataFrame:
-    """The columns kept of df and those named, from NUMBERS: swept(), and for busy keys sliding(); seq is of one row each."""
+def windowed(df: DataFrame, key: str, value: str, named: dict[str, str], kept: list[str], chunk_s: int = SWEPT_S, busy: DataFrame | None = None, peers: bool = False, rows: int | None = None) -> DataFrame:
+    """The columns kept of df and those named, from NUMBERS: swept(), and for busy keys sliding(); seq is of one row each.  rows: as in swept()."""
     kinds = kinds_of(named)
     if busy is None:
-        return swept(df, key, value, kinds, kept, chunk_s, peers=peers)
+        return swept(df, key, value, kinds, kept, chunk_s, peers=peers, rows=rows)
     met = F.col(key).eqNullSafe(F.col("busy")) & F.col("ts_us").isNotNull()
     hot, cold = (df.join(F.broadcast(busy), met, how) for how in ("left_semi", "left_anti"))
     sums = sliding(hot, key, value, peers=peers).select(F.col("seq").alias("_seq"), *[F.col(of).cast("double").alias(name) for name, of in named.items()])
     hot = hot.select(*kept, F.col("seq").alias("_own")).join(sums, F.col("_own") == F.col("_seq")).select(*kept, *named)
-    return swept(cold, key, value, kinds, kept, chunk_s, peers=peers).unionByName(hot)
+    return swept(cold, key, value, kinds, kept, chunk_s, peers=peers, rows=rows).unionByName(hot)
 
 
 def features(df: DataFrame, reputation: DataFrame | None = None, chunk_s: int = SWEPT_S, keep: tuple[str, ...] | None = None, most: int = BUSY, peers: bool = False) -> DataFrame:
@@ -310,9 +343,10 @@ def features(df: DataFrame, reputation: DataFrame | None = None, chunk_s: int =
     kept = [*(df.columns if keep is None else keep), "route", "target", *header_flags()]
     carried = [*dict.fromkeys([*kept, "ip", "ts_us", "seq"])]
     rows = with_target(df).withColumns(header_flags())
-    busy = busy_keys(rows, ("ip", "target"), chunk_s, most)
-    rows = windowed(rows, "ip", "path", BY_IP, carried, chunk_s, busy.get("ip"), peers)
-    out = windowed(rows, "target", "ip", BY_TARGET, [*carried, *BY_IP], chunk_s, busy.get("target"), peers)
+    n, fullest = row_counts(rows, chunk_s)
+    busy = busy_keys(rows, ("ip", "target"), chunk_s, most, fullest)
+    rows = windowed(rows, "ip", "path", BY_IP, carried, chunk_s, busy.get("ip"), peers, n)
+    out = windowed(rows, "target", "ip", BY_TARGET, [*carried, *BY_IP], chunk_s, busy.get("target"), peers, n)
     known = static_reputation(F.col("ip"))
     if reputation is not None:
         out = out.join(reputation.select("ip", F.col("score").alias("_score")), "ip", "left")
@@ -352,12 +386,12 @@ def builtin_counts(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.select("seq", (F.count("*").over(w) - later).alias("n60"), F.size(F.array_distinct(F.transform(before, lambda x: x[value]))).cast("long").alias("different"))
 
 
-def bucketed_rate(df: DataFrame, key: str) -> DataFrame:
-    """df with <key>_rate: requests of the key in the 5 s buckets from a minute ago to now, up to this row."""
-    return swept(df, key, key, {f"{key}_rate": _whole("bucketed")}, df.columns)
+def bucketed_rate(df: DataFrame, key: str, rows: int | None = None) -> DataFrame:
+    """df with <key>_rate: requests of the key in the 5 s buckets from a minute ago to now, up to this row.  rows: as in swept()."""
+    return swept(df, key, key, {f"{key}_rate": _whole("bucketed")}, df.columns, rows=rows)
 
 
-def tail_features(df: DataFrame, key: str, value: str, most: int = 64) -> DataFrame:
-    """df with <key>_n, <key>_different, <key>_iat_mean and <key>_iat_cv of 60 s among the key's last ``most`` rows."""
+def tail_features(df: DataFrame, key: str, value: str, most: int = 64, rows: int | None = None) -> DataFrame:
+    """df with <key>_n, <key>_different, <key>_iat_mean and <key>_iat_cv of 60 s among the key's last ``most`` rows.  rows: as in swept()."""
     kinds = {"n": _whole("n60"), "different": _whole("different"), "iat_mean": _iat_mean, "iat_cv": _iat_cv}
-    return swept(df, key, value, {f"{key}_{name}": make for name, make in kinds.items()}, df.columns, most=most)
+    return swept(df, key, value, {f"{key}_{name}": make for name, make in kinds.items()}, df.columns, most=most, rows=rows)

@@ -51,3 +51,27 @@ def test_no_row_for_each_minute_and_address(spark, name):
     db.execute(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
     want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLES[name]})").fetchall()
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("name", ["dashboard_page", "decisions", "bucketed_rates", "tail_windows", "sketch_feature_rows"])
+def test_windows_are_dealt_to_tasks_of_few_rows(spark, monkeypatch, name):
+    """1,000 rows of events, and 542 for each 1,000 that go to the next chunk as well: 100 a task."""
+    monkeypatch.setattr(windows, "DEALT", 100, raising=False)
+    got = queries.QUERIES[name](spark, SF)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(_key" in line]
+    assert dealt and all(" 16), REPARTITION_BY_NUM" in line for line in dealt)
+    db = duckdb.connect()
+    for table in ("events", "orders"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLES[name]})").fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_rows_of_the_next_chunk_carry_nothing(spark):
+    """What a task sorts: the columns kept once, as one that is null where a row only counts for later ones."""
+    df = spark.sql("SELECT id AS seq, id * 1000000 AS ts_us, 'k' AS k, CAST(id % 7 AS STRING) AS v, id * 2 AS a, IF(id % 3 = 0, NULL, 'b') AS b FROM range(300)")
+    got = windows.swept(df, "k", "v", windows.kinds_of({"n": "n60"}), ["seq", "ts_us", "k", "v", "a", "b"])
+    assert "_kept" in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = {tuple(r) for r in got.collect()}
+    assert rows == {(i, i * 1_000_000, "k", str(i % 7), i * 2, None if i % 3 == 0 else "b", min(i + 1, 61)) for i in range(300)}
